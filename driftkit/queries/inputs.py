@@ -109,3 +109,10 @@ INTERNAL_TABLES = """
            CAST(1 AS INT) AS ordinal, 'value' AS "column",
            CASE WHEN max(value) >= 100 THEN 'double' ELSE 'float' END AS type
     FROM {events} GROUP BY user_id, event_type"""
+
+# Backups: lineitem without its repeated keys, documents once per text, labels as the last one left.
+LINEITEM_BACKUP = """
+    SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS l_extendedprice
+    FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+
+DOCUMENTS_BACKUP = "SELECT text, min(doc_id) AS doc_id FROM {documents} GROUP BY text"
