@@ -29,3 +29,8 @@ def provider(dsn: Column) -> Column:
         .when(dsn.startswith("d1://"), "d1")
         .otherwise("local")
     )
+
+
+def redact(dsn: Column) -> Column:
+    """An address without the token in front of its ``@``."""
+    return F.regexp_replace(dsn, "://[^@/]*@", "://")

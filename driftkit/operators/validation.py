@@ -73,19 +73,20 @@ def _listed(kind: str, *fields: tuple[str, Column]) -> Column:
 
 
 def table_specs(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Expected changes of each modified table; a list is at most as long as the table is wide."""
+    """Per changed table its expected changes, or ``kind`` when the table came or went.
+
+    A list is at most as long as the table is wide.
+    """
     name, unique = ("name", F.col("subject")), F.coalesce(F.col("new.is_unique"), F.lit(False))
     no_type, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    return (
-        changes.filter(~F.col("kind").isin(M.TABLE_ADDED, M.TABLE_REMOVED))
-        .groupBy(*by, "table")
-        .agg(
-            _listed(M.COLUMN_ADDED, name, ("type", F.col("new.type"))).alias("added_columns"),
-            _listed(M.COLUMN_REMOVED, name, ("type", no_type)).alias("removed_columns"),
-            _listed(M.COLUMN_CHANGED, name, ("type", F.col("new.type"))).alias("changed_columns"),
-            _listed(M.INDEX_ADDED, name, ("unique", unique)).alias("added_indexes"),
-            _listed(M.INDEX_REMOVED, name, ("unique", no_flag)).alias("removed_indexes"),
-        )
+    whole = F.col("kind").isin(M.TABLE_ADDED, M.TABLE_REMOVED)
+    return changes.groupBy(*by, "table").agg(
+        F.max(F.when(whole, F.col("kind"))).alias("kind"),
+        _listed(M.COLUMN_ADDED, name, ("type", F.col("new.type"))).alias("added_columns"),
+        _listed(M.COLUMN_REMOVED, name, ("type", no_type)).alias("removed_columns"),
+        _listed(M.COLUMN_CHANGED, name, ("type", F.col("new.type"))).alias("changed_columns"),
+        _listed(M.INDEX_ADDED, name, ("unique", unique)).alias("added_indexes"),
+        _listed(M.INDEX_REMOVED, name, ("unique", no_flag)).alias("removed_indexes"),
     )
 
 
@@ -95,60 +96,49 @@ def spec_from_diff(changes: DataFrame, description: str | None = None, by: Seque
     def names(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("table"))))
 
-    def empty(dtype: T.DataType) -> Column:
-        return F.lit(None).cast(dtype)
-
-    whole = changes.filter(F.col("kind").isin(M.TABLE_ADDED, M.TABLE_REMOVED)).select(
-        *by, "kind", "table", empty(M.TABLE_SPEC).alias("spec")
-    )
-    modified = table_specs(changes, by).select(
-        *by, F.lit(None).cast("string").alias("kind"), "table",
-        F.struct(*[F.col(f) for f in M.TABLE_SPEC.fieldNames()]).cast(M.TABLE_SPEC).alias("spec"),
-    )
-    docs = whole.unionByName(modified).groupBy(*by).agg(
+    fields = {f.name: f.dataType for f in M.SPEC.fields}
+    table = F.struct(*[F.col(f) for f in M.TABLE_SPEC.fieldNames()])
+    docs = table_specs(changes, by).groupBy(*by).agg(
         F.struct(
             names(M.TABLE_ADDED).alias("added_tables"),
             names(M.TABLE_REMOVED).alias("removed_tables"),
-            F.array_sort(F.collect_list("spec")).alias("modified_tables"),
+            F.array_sort(F.collect_list(F.when(F.col("kind").isNull(), table))).alias("modified_tables"),
         ).alias("schema")
     )
-    fields = {f.name: f.dataType for f in M.SPEC.fields}
     return docs.select(
-        F.col("database") if "database" in by else empty(fields["database"]).alias("database"),
+        (F.col("database") if "database" in by else F.lit(None).cast("string")).alias("database"),
         F.lit(1).alias("version"),
         F.lit(description).cast("string").alias("description"),
         F.col("schema").cast(fields["schema"]).alias("schema"),
-        empty(fields["data"]).alias("data"),
+        F.lit(None).cast(fields["data"]).alias("data"),
     )
 
 
 def spec_changes(spec: DataFrame) -> DataFrame:
     """Expected changes of spec documents: ``database, kind, table, subject``."""
+    nothing = F.array().cast("array<struct<kind:string,table:string,subject:string>>")
+
+    def change(kind: str, table: Column, subject: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), table.alias("table"), subject.cast("string").alias("subject"))
 
-    def tables(field: str, kind: str) -> DataFrame:
-        return spec.select("database", F.explode(f"schema.{field}").alias("table")).select(
-            "database", F.lit(kind).alias("kind"), "table", F.lit(None).cast("string").alias("subject")
-        )
+    def tables(field: str, kind: str) -> Column:
+        return F.coalesce(F.transform(f"schema.{field}", lambda t: change(kind, t, F.lit(None))), nothing)
 
-    modified = spec.select("database", F.explode("schema.modified_tables").alias("m"))
+    # The lists of a modified table and the kind of change in each.
     lists = {
         "added_columns": M.COLUMN_ADDED, "removed_columns": M.COLUMN_REMOVED, "changed_columns": M.COLUMN_CHANGED,
         "added_indexes": M.INDEX_ADDED, "removed_indexes": M.INDEX_REMOVED,
     }
 
-    def entries(field: str, kind: str) -> Column:
-        names = F.coalesce(F.col(f"m.{field}.name"), F.array().cast("array<string>"))
-        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("subject")))
+    def inside(m: Column) -> Column:
+        def entries(field: str, kind: str) -> Column:
+            return F.coalesce(F.transform(m[field]["name"], lambda n: change(kind, m["table"], n)), nothing)
 
-    expected = F.concat(*[entries(field, kind) for field, kind in lists.items()])
-    inner = modified.select("database", F.col("m.table").alias("table"), F.explode(expected).alias("e")).select(
-        "database", "e.kind", "table", "e.subject"
-    )
-    return (
-        tables("added_tables", M.TABLE_ADDED)
-        .unionByName(tables("removed_tables", M.TABLE_REMOVED))
-        .unionByName(inner)
-    )
+        return F.concat(*[entries(field, kind) for field, kind in lists.items()])
+
+    modified = F.coalesce(F.flatten(F.transform("schema.modified_tables", inside)), nothing)
+    every = F.concat(tables("added_tables", M.TABLE_ADDED), tables("removed_tables", M.TABLE_REMOVED), modified)
+    return spec.select("database", F.explode(every).alias("c")).select("database", "c.*")
 
 
 def spec_ranges(spec: DataFrame) -> DataFrame:

@@ -116,3 +116,48 @@ LINEITEM_BACKUP = """
     FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
 
 DOCUMENTS_BACKUP = "SELECT text, min(doc_id) AS doc_id FROM {documents} GROUP BY text"
+
+# Members of a fleet: the customers, spread over providers by their segment.
+REGISTRY = """
+    SELECT c_custkey AS pos, concat('cust_', c_custkey) AS name,
+           CASE c_mktsegment WHEN 'BUILDING' THEN concat('turso://tok', c_custkey, '@org/db', c_custkey)
+                             WHEN 'MACHINERY' THEN concat('d1://tok@acc/', c_custkey)
+                             ELSE concat('/fleet/', c_custkey, '.db') END AS dsn,
+           CASE WHEN c_acctbal < 0 THEN NULL ELSE concat('/base/', c_custkey) END AS baseline,
+           CASE WHEN c_acctbal < 500 THEN NULL ELSE split(concat(lower(c_mktsegment), ',nation:', c_nationkey), ',') END AS tags
+    FROM {customer}"""
+
+# Newcomers and updates: the buyers, in the order they bought, some with tags.
+INCOMING = """
+    SELECT o_orderkey AS pos, concat('cust_', o_custkey * 3) AS name, concat('/moved/', o_orderkey) AS dsn,
+           concat('/base/o', o_orderkey) AS baseline,
+           CASE o_orderstatus WHEN 'F' THEN split(concat('moved,', o_orderpriority), ',') ELSE NULL END AS tags
+    FROM {orders}"""
+
+# A registry kept without care: parts share names, some lack one, some lack an address.
+CARELESS_REGISTRY = """
+    SELECT CASE WHEN p_brand = 'Brand#1' THEN '' ELSE p_name END AS name,
+           CASE WHEN p_type = 'SMALL' AND p_size > 40 THEN NULL ELSE concat('/fleet/', p_partkey, '.db') END AS dsn
+    FROM {part}"""
+
+# One snapshot of a customer's catalog per year with orders.
+SNAPSHOTS = """
+    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table",
+           o_orderpriority AS "column", CAST(concat(year(o_orderdate), '-01-01') AS DATE) AS captured_at, count(*) AS seen,
+           CASE WHEN min(o_totalprice) < 1500 THEN 'file is not a database' ELSE NULL END AS error
+    FROM {orders} GROUP BY o_custkey, o_orderstatus, o_orderpriority, year(o_orderdate)"""
+
+# Live catalogs with members that could not be read: customers deep in debt.
+UNREADABLE = """
+    SELECT concat('cust_', c_custkey) AS database, 'unable to open database file' AS error
+    FROM {customer} WHERE c_acctbal < -500"""
+
+# Checks of many sources: each event is a check, an error event found drift.
+HISTORY = """
+    SELECT concat('db_', user_id) AS source, ts AS checked_at, event_type = 'error' AS has_drift, event_id
+    FROM {events}"""
+
+# Outcomes of a rollout: each user is a fleet, each event a member.
+OUTCOMES = """
+    SELECT user_id AS fleet, event_id AS pos, event_type <> 'error' AS ok FROM {events}"""
+
