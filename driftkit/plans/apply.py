@@ -1,0 +1,198 @@
+"""Migrations carried out: staged, verified, then published.
+
+A table lives in a folder with one subfolder per version and a log of published
+versions. A migration writes a new version, checks what was written, and only
+then appends to the log, so readers see the old version or the new one and a
+failure leaves the table as it was. Versions stay where they are: the previous
+one is the backup. One writer at a time.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftkit.operators.fleet import rollout_states
+from driftkit.operators.migration import Parent, migration_dry_run, rebuild_table
+
+_LOG = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("version", T.StringType()), T.StructField("rows", T.LongType()),
+])
+
+
+@dataclass(frozen=True)
+class Migration:
+    """What to do to a table, and what must hold before and after.
+
+    ``source`` is the layout the migration was planned for; a table that has
+    another one is refused.
+    """
+
+    target: T.StructType
+    source: T.StructType | None = None
+    defaults: Mapping[str, object] = field(default_factory=dict)
+    keys: Sequence[str] = ()
+    parents: Sequence[Parent] = ()
+    on_bad: str = "fail"
+
+
+@dataclass(frozen=True)
+class ApplyResult:
+    ok: bool
+    dry_run: bool = False
+    version: str | None = None
+    rows: int = 0
+    backup: str | None = None
+    problems: tuple[str, ...] = ()
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_LOG).json(f"{root}/_log")
+
+
+def publish(df: DataFrame, root: str) -> str:
+    """Writes the first version of a table at ``root``."""
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{root}/version={version}")
+    spark = df.sparkSession
+    _announce(spark, root, 1, version, spark.read.parquet(f"{root}/version={version}").count())
+    return version
+
+
+def _announce(spark: SparkSession, root: str, seq: int, version: str, rows: int) -> None:
+    spark.createDataFrame([(seq, version, rows)], _LOG).coalesce(1).write.mode("append").json(f"{root}/_log")
+
+
+def current(spark: SparkSession, root: str) -> tuple[DataFrame, int, str]:
+    """The published version of a table, its number in the log, and its name."""
+    newest = _log(spark, root).orderBy(F.desc("seq")).first()
+    if newest is None:
+        raise ValueError(f"{root} holds no published table")
+    return spark.read.parquet(f"{root}/version={newest['version']}"), newest["seq"], newest["version"]
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """The published version of a table."""
+    return current(spark, root)[0]
+
+
+_SAID = {
+    "lost_casts": "values do not fit their new type", "null_violations": "NULLs where none is allowed",
+    "duplicate_keys": "duplicate keys", "orphan_rows": "rows without a parent",
+}
+
+
+def _measure(df: DataFrame, target: T.StructType, defaults: Mapping[str, object], keys: Sequence[str],
+             parents: Sequence[Parent]) -> tuple[int, dict[str, int]]:
+    """Rows of ``df`` and what rebuilding it as ``target`` would break."""
+    member = "__member"
+    row = migration_dry_run(df.withColumn(member, F.lit(0)), target, member, defaults, keys, parents).first()
+    if row is None:
+        return 0, {}
+    return row["rows"], {m: row[m] for m in _SAID if row[m]}
+
+
+def _texts(found: Mapping[str, int], when: str) -> tuple[str, ...]:
+    return tuple(f"{when}: {n} {_SAID[m]}" for m, n in found.items())
+
+
+def _layout(schema: T.StructType) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+
+def apply_migration(
+    spark: SparkSession,
+    root: str,
+    migration: Migration,
+    dry_run: bool = False,
+    backup_dir: str | None = None,
+) -> ApplyResult:
+    """Migrates the table at ``root``; on any problem nothing is published.
+
+    A dry run measures what would break and writes nothing.
+    """
+    try:
+        table, seq, version = current(spark, root)
+    except Exception as e:  # noqa: BLE001 - an unreadable table is a result, not a crash
+        return ApplyResult(False, dry_run, problems=(f"pre-check: {type(e).__name__}: {str(e).splitlines()[0]}",))
+    target = migration.target
+    if migration.source is not None and _layout(table.schema) != _layout(migration.source):
+        return ApplyResult(False, dry_run, problems=("pre-check: the table does not have the planned layout",))
+    if _layout(table.schema) == _layout(target):
+        raise ValueError("nothing to migrate: the table already has the target layout")
+
+    rows, found = _measure(
+        table, target, migration.defaults, [k for k in migration.keys if k in table.columns], migration.parents
+    )
+    if migration.on_bad == "null":
+        found.pop("lost_casts", None)
+    if found:
+        return ApplyResult(False, dry_run, rows=rows, problems=_texts(found, "pre-check"))
+    if dry_run:
+        return ApplyResult(True, True, rows=rows)
+
+    backup = f"{root}/version={version}"
+    if backup_dir is not None:
+        backup = f"{backup_dir}/{root.rstrip('/').rsplit('/', 1)[-1]}-{version}"
+        table.write.parquet(backup)
+
+    staged = uuid.uuid4().hex
+    rebuild_table(table, target, migration.defaults, migration.on_bad).write.parquet(f"{root}/version={staged}")
+    written = spark.read.parquet(f"{root}/version={staged}")
+    written_rows, found = _measure(written, target, migration.defaults, migration.keys, migration.parents)
+    problems = _texts(found, "post-check")
+    if written_rows != rows:
+        problems += (f"post-check: {written_rows} rows written of {rows}",)
+    if problems:
+        return ApplyResult(False, rows=rows, backup=backup, problems=problems)
+    _announce(spark, root, seq + 1, staged, written_rows)
+    return ApplyResult(True, version=staged, rows=written_rows, backup=backup)
+
+
+_OUTCOME = T.StructType([
+    T.StructField("pos", T.LongType()), T.StructField("database", T.StringType()),
+    T.StructField("ok", T.BooleanType()), T.StructField("rows", T.LongType()), T.StructField("error", T.StringType()),
+])
+
+
+def rollout(
+    registry: DataFrame,
+    migration: Migration,
+    canary: int = 0,
+    dry_run: bool = False,
+    backup_dir: str | None = None,
+    order_by: str = "pos",
+) -> DataFrame:
+    """Migrates the members' tables (``name, dsn``) one by one in ``order_by`` order.
+
+    The first failure stops the rollout, ``canary`` successes hold back the
+    rest; a dry run tries every member and writes nothing. Members are fetched
+    one at a time; the report has ``pos, database, ok, rows, error, state``.
+    """
+    spark = registry.sparkSession
+    if not migration.target.fields:
+        raise ValueError("empty migration")
+    ordered = registry.select(F.col(order_by).cast("bigint").alias("pos"), F.col("name").alias("database"), "dsn").orderBy("pos")
+    outcomes: list[tuple] = []
+    done = 0
+    for member in ordered.toLocalIterator():
+        result = apply_migration(spark, member["dsn"], migration, dry_run, backup_dir)
+        outcomes.append((member["pos"], member["database"], result.ok, result.rows, "; ".join(result.problems) or None))
+        done += result.ok
+        if not dry_run and (not result.ok or (canary and done >= canary)):
+            break
+    if not outcomes:
+        raise ValueError("no members to migrate")
+    tried = spark.createDataFrame(outcomes, _OUTCOME)
+    every = ordered.select("pos", "database").join(
+        tried.drop("database").withColumn("__tried", F.lit(True)), "pos", "left"
+    )
+    # Members not reached count as failures here, but only behind the one that stopped the rollout.
+    states = rollout_states(every.withColumn("fleet", F.lit("fleet")), canary, dry_run)
+    return states.select("pos", "database", "ok", "rows", "error", "state").orderBy("pos")
+

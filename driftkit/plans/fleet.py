@@ -1,0 +1,39 @@
+"""Fleet-wide jobs over members kept as SQLite files."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftkit.operators.drift import latest_snapshot
+from driftkit.operators.fleet import fleet_check, snapshot_report
+from driftkit.sources.snapshots import load_snapshots, save_snapshot
+from driftkit.sources.sqlite import scan_members
+
+
+def fleet_snapshot(
+    registry: DataFrame, path: str, captured_at: datetime.datetime, tasks: int | None = None
+) -> DataFrame:
+    """Captures a baseline of every member; reports tables captured, or the error, per member.
+
+    The report is made from what was stored, so members are opened once for it;
+    only those that left nothing behind are opened again for their error.
+    """
+    spark = registry.sparkSession
+    save_snapshot(scan_members(registry, tasks=tasks), path, captured_at)
+    # A day's margin: folders are named by the date in the session's time zone.
+    stored = load_snapshots(spark, path, captured_at.date() - datetime.timedelta(days=1))
+    stored = stored.filter(stored["captured_at"] == F.lit(captured_at).cast("timestamp"))
+    missing = registry.join(
+        stored.select(stored["database"].alias("name")).distinct(), "name", "left_anti"
+    )
+    failed = scan_members(missing, tasks=tasks)
+    return snapshot_report(stored.unionByName(failed)).orderBy("database")
+
+
+def fleet_check_files(registry: DataFrame, path: str, tasks: int | None = None) -> DataFrame:
+    """State of every member against its newest baseline stored at ``path``."""
+    baselines = latest_snapshot(load_snapshots(registry.sparkSession, path))
+    return fleet_check(registry, baselines, scan_members(registry, tasks=tasks))

@@ -1,0 +1,298 @@
+"""SQLite files read in parallel: catalogs, index lists and rows of many databases.
+
+Register with ``register(spark)``, then::
+
+    spark.read.format("sqlite_catalog").option("paths", "/fleet/*.db").load()
+    spark.read.format("sqlite_catalog").option("paths", "/fleet/*.db").option("what", "indexes").load()
+    spark.read.format("sqlite_table").option("paths", "/fleet/*.db").option("table", "users").schema(s).load()
+
+Each file is a partition of its own, and a large table is cut into row id
+ranges, so one big file does not end up in one task. The files must be reachable
+from every executor. A file that cannot be read gives one row with its error.
+"""
+
+from __future__ import annotations
+
+import glob
+import json
+import os
+import sqlite3
+from collections.abc import Iterator
+from contextlib import closing
+from dataclasses import dataclass
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from driftkit import model as M
+from driftkit.sources.tables import INTERNAL_PREFIXES
+
+_BATCH = 20_000
+
+
+@dataclass
+class FilePart(InputPartition):
+    """One range of one file; ``of`` ranges together cover it."""
+
+    database: str
+    path: str
+    part: int = 0
+    of: int = 1
+
+
+def _open(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _user_tables(con: sqlite3.Connection) -> list[str]:
+    names = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+    return [n for n in names if not n.startswith(INTERNAL_PREFIXES)]
+
+
+def catalog_rows(database: str, path: str) -> list[tuple]:
+    """Catalog rows of one file, or its one error row.
+
+    A database without tables still gives a row, with no table in it.
+    """
+    try:
+        with closing(_open(path)) as con:
+            rows = [
+                (database, table, cid + 1, name, kind, not_null == 1, default, pk, None, None)
+                for table in _user_tables(con)
+                for cid, name, kind, not_null, default, pk in con.execute(f"PRAGMA table_info({_quoted(table)})")
+            ]
+    except (sqlite3.Error, UnicodeError) as e:
+        return [(database, *[None] * 8, f"{type(e).__name__}: {e}")]
+    return rows or [(database, *[None] * 9)]
+
+
+def index_rows(database: str, path: str) -> list[tuple]:
+    """Index rows of one file, or its one error row."""
+    try:
+        with closing(_open(path)) as con:
+            return [
+                (database, table, row[1], row[2] == 1, None)
+                for table in _user_tables(con)
+                for row in con.execute(f"PRAGMA index_list({_quoted(table)})")
+            ]
+    except (sqlite3.Error, UnicodeError) as e:
+        return [(database, None, None, None, f"{type(e).__name__}: {e}")]
+
+
+_WHAT = {"catalog": (catalog_rows, M.CATALOG), "indexes": (index_rows, M.INDEXES)}
+
+
+def _files(options: dict) -> list[tuple[str, str]]:
+    """(database, path) of every file the ``paths`` option names: patterns in a JSON list, or one pattern."""
+    given = options.get("paths") or options.get("path")
+    if not given:
+        raise ValueError("give the files as option paths")
+    patterns = json.loads(given) if given.startswith("[") else [given]
+    # A plain path is kept even if nothing is there: a missing member is to be reported.
+    found = [p for pattern in patterns for p in (sorted(glob.glob(pattern)) if glob.has_magic(pattern) else [pattern])]
+    names = [os.path.splitext(os.path.basename(p))[0] for p in found]
+    repeated = {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set()
+    return [(p if n in repeated else n, p) for n, p in zip(names, found, strict=True)]
+
+
+class SqliteCatalog(DataSource):
+    """Columns, or with ``what=indexes`` the indexes, of every table of every file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_catalog"
+
+    def schema(self) -> T.StructType:
+        return _WHAT[self.options.get("what", "catalog")][1]
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _CatalogReader(self.options)
+
+
+class _CatalogReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self._files = _files(options)
+        self._what = options.get("what", "catalog")
+
+    def partitions(self) -> list[InputPartition]:
+        return [FilePart(database, path) for database, path in self._files]
+
+    def read(self, partition: FilePart) -> Iterator[tuple]:
+        yield from _WHAT[self._what][0](partition.database, partition.path)
+
+
+class SqliteTable(DataSource):
+    """Rows of one table of every file, with a ``database`` column.
+
+    Values that do not fit their column are NULL there and named in ``error``,
+    if the schema has that column.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_table"
+
+    def schema(self) -> T.StructType:
+        raise ValueError("sqlite_table needs a schema; table_schema() builds one from catalog rows")
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _TableReader(self.options, schema)
+
+
+def _fits(value, dtype: T.DataType):
+    """``value`` as ``dtype`` would hold it; raises when it does not fit."""
+    if isinstance(dtype, T.StringType):
+        return value.decode() if isinstance(value, bytes) else str(value)
+    if isinstance(dtype, T.BinaryType):
+        return value if isinstance(value, bytes) else str(value).encode()
+    if isinstance(value, (str, bytes)):
+        raise ValueError("text in a numeric column")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return float(value)
+    if int(value) != value:
+        raise ValueError("fraction in a whole-number column")
+    return bool(value) if isinstance(dtype, T.BooleanType) else int(value)
+
+
+class _TableReader(DataSourceReader):
+    def __init__(self, options: dict, schema: T.StructType) -> None:
+        self._files = _files(options)
+        self._table = options["table"]
+        self._split = int(options.get("split_mb", "128")) * 1024 * 1024
+        self._schema = schema
+        self._columns = [f for f in schema.fields if f.name not in ("database", "error")]
+
+    def partitions(self) -> list[InputPartition]:
+        parts = []
+        for database, path in self._files:
+            size = os.path.getsize(path) if os.path.exists(path) else 0
+            of = max(1, -(-size // self._split))
+            parts += [FilePart(database, path, i, of) for i in range(of)]
+        return parts
+
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        try:
+            with closing(_open(partition.path)) as con:
+                con.text_factory = bytes
+                yield from self._batches(con, partition)
+        except sqlite3.Error as e:
+            if partition.part > 0:
+                return
+            problem = f"{type(e).__name__}: {e}"
+            if "error" not in self._schema.names:
+                raise ValueError(f"{partition.path}: {problem}") from e
+            yield self._batch(partition.database, [], problem)
+
+    def _batches(self, con: sqlite3.Connection, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        table = _quoted(self._table)
+        names = ", ".join(_quoted(f.name) for f in self._columns) or "1"
+        query, bounds = f"SELECT {names} FROM {table}", ()
+        if partition.of > 1:
+            try:
+                low, high = con.execute(f"SELECT min(_rowid_), max(_rowid_) FROM {table}").fetchone()
+            except sqlite3.OperationalError:
+                low = high = None
+            if low is not None:
+                width = -(-(high - low + 1) // partition.of)
+                query += " WHERE _rowid_ BETWEEN ? AND ?"
+                bounds = (low + partition.part * width, min(high, low + (partition.part + 1) * width - 1))
+            elif partition.part > 0:
+                return
+        cursor = con.execute(query, bounds)
+        while rows := cursor.fetchmany(_BATCH):
+            yield self._batch(partition.database, rows)
+
+    def _batch(self, database: str, rows: list[tuple], problem: str | None = None) -> pa.RecordBatch:
+        n = len(rows) if problem is None else 1
+        problems: list[str | None] = [problem] * n
+        data: dict[str, list] = {"database": [database] * n}
+        for i, field in enumerate(self._columns):
+            out: list = []
+            for r, row in enumerate(rows):
+                value = row[i]
+                if value is not None:
+                    try:
+                        value = _fits(value, field.dataType)
+                    except (ValueError, OverflowError, UnicodeError):
+                        shown = value.decode(errors="replace") if isinstance(value, bytes) else str(value)
+                        said = f"{field.name}={shown}"
+                        problems[r] = f"{problems[r]}; {said}" if problems[r] else said
+                        value = None
+                out.append(value)
+            data[field.name] = out if problem is None else [None]
+        data["error"] = problems
+        arrow = to_arrow_schema(self._schema)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(data[f.name], type=f.type) for f in arrow], schema=arrow
+        )
+
+
+# Which declared type holds what, by the words in it, first match wins.
+_AFFINITY = (
+    (("BOOL",), "boolean"), (("DATE", "TIME"), "string"), (("INT",), "bigint"),
+    (("CHAR", "CLOB", "TEXT"), "string"), (("BLOB",), "binary"), (("REAL", "FLOA", "DOUB"), "double"),
+)
+
+
+def affinity(declared: str) -> str:
+    """The Spark type for a declared SQLite type."""
+    upper = (declared or "").upper()
+    for words, kind in _AFFINITY:
+        if any(w in upper for w in words):
+            return kind
+    return "double" if upper else "binary"
+
+
+def table_schema(catalog: DataFrame, table: str) -> T.StructType:
+    """A schema for ``sqlite_table`` that covers every member's version of a table.
+
+    A column declared differently by two members is read as text.
+    """
+    columns = (
+        catalog.filter((F.col("table") == table) & F.col("column").isNotNull())
+        .groupBy("column")
+        .agg(F.min("ordinal").alias("ordinal"), F.collect_set("type").alias("types"))
+        .orderBy("ordinal", "column")
+    )
+    fields = [T.StructField("database", T.StringType())]
+    for row in columns.collect():
+        kinds = {affinity(t) for t in row["types"]}
+        fields.append(T.StructField(row["column"], T._parse_datatype_string(
+            kinds.pop() if len(kinds) == 1 else "string")))
+    return T.StructType([*fields, T.StructField("error", T.StringType())])
+
+
+def register(spark: SparkSession) -> None:
+    """Makes both sources known to the session."""
+    spark.dataSource.register(SqliteCatalog)
+    spark.dataSource.register(SqliteTable)
+
+
+def scan_members(registry: DataFrame, what: str = "catalog", tasks: int | None = None) -> DataFrame:
+    """Catalog (or ``indexes``) rows of the registry's local members, read where the registry rows are.
+
+    The member list never passes through the driver. ``tasks`` spreads it.
+    """
+    read, schema = _WHAT[what]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for member in batch.to_pylist():
+                rows = read(member["name"], member["dsn"])
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
+                )
+
+    tasks = tasks or 4 * registry.sparkSession.sparkContext.defaultParallelism
+    return registry.select("name", "dsn").repartition(tasks, "name").mapInArrow(scan, schema)
