@@ -238,18 +238,19 @@ class _TableReader(DataSourceReader):
 
 # Which declared type holds what, by the words in it, first match wins.
 _AFFINITY = (
-    (("BOOL",), "boolean"), (("DATE", "TIME"), "string"), (("INT",), "bigint"),
-    (("CHAR", "CLOB", "TEXT"), "string"), (("BLOB",), "binary"), (("REAL", "FLOA", "DOUB"), "double"),
+    (("BOOL",), T.BooleanType()), (("DATE", "TIME"), T.StringType()), (("INT",), T.LongType()),
+    (("CHAR", "CLOB", "TEXT"), T.StringType()), (("BLOB",), T.BinaryType()),
+    (("REAL", "FLOA", "DOUB"), T.DoubleType()),
 )
 
 
-def affinity(declared: str) -> str:
+def affinity(declared: str) -> T.DataType:
     """The Spark type for a declared SQLite type."""
     upper = (declared or "").upper()
     for words, kind in _AFFINITY:
         if any(w in upper for w in words):
             return kind
-    return "double" if upper else "binary"
+    return T.DoubleType() if upper else T.BinaryType()
 
 
 def table_schema(catalog: DataFrame, table: str) -> T.StructType:
@@ -266,8 +267,7 @@ def table_schema(catalog: DataFrame, table: str) -> T.StructType:
     fields = [T.StructField("database", T.StringType())]
     for row in columns.collect():
         kinds = {affinity(t) for t in row["types"]}
-        fields.append(T.StructField(row["column"], T._parse_datatype_string(
-            kinds.pop() if len(kinds) == 1 else "string")))
+        fields.append(T.StructField(row["column"], kinds.pop() if len(kinds) == 1 else T.StringType()))
     return T.StructType([*fields, T.StructField("error", T.StringType())])
 
 

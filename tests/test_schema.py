@@ -20,7 +20,7 @@ def cat(spark, tables, database="db"):
     rows = []
     for table, columns in tables.items():
         for i, c in enumerate(columns):
-            name, kind, not_null, default, pk = (tuple(c) + (False, None, 0))[:5] if len(c) < 5 else c
+            name, kind, not_null, default, pk = (*c, *(None, None, False, None, 0)[len(c):])
             rows.append((database, table, i + 1, name, kind, not_null, default, pk, None, None))
     return spark.createDataFrame(rows, M.CATALOG)
 

@@ -1,0 +1,116 @@
+"""SQLite files read through Spark."""
+
+import datetime
+import sqlite3
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftkit.plans.fleet import fleet_check_files, fleet_snapshot
+from driftkit.sources import sqlite as Q
+from tests.test_fleet import members
+
+
+def build(path, *statements):
+    con = sqlite3.connect(path)
+    for s in statements:
+        con.execute(s)
+    con.commit()
+    con.close()
+    return str(path)
+
+
+@pytest.fixture
+def files(tmp_path):
+    build(tmp_path / "a.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT NOT NULL DEFAULT 'x', v REAL)",
+          "CREATE UNIQUE INDEX idx_name ON users (name)", "INSERT INTO users VALUES (1, 'ann', 1.5), (2, 'bob', 'odd')")
+    build(tmp_path / "b.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT)", "CREATE TABLE logs (id INTEGER PRIMARY KEY AUTOINCREMENT)",
+          "INSERT INTO users VALUES (1, 'cy')")
+    build(tmp_path / "empty.db")
+    (tmp_path / "broken.db").write_bytes(b"this is not a database, but long enough to be read as one" * 20)
+    return tmp_path
+
+
+def load(spark, fmt, files, **options):
+    Q.register(spark)
+    return spark.read.format(fmt).options(paths=f"{files}/*.db", **options)
+
+
+def test_catalog(spark, files):
+    df = load(spark, "sqlite_catalog", files).load()
+    assert df.rdd.getNumPartitions() == 4
+    rows = df.collect()
+    got = {(r["database"], r["table"], r["ordinal"], r["column"], r["type"], r["not_null"], r["default_value"], r["pk"])
+           for r in rows if r["table"]}
+    assert got == {
+        ("a", "users", 1, "id", "INTEGER", False, None, 1), ("a", "users", 2, "name", "TEXT", True, "'x'", 0),
+        ("a", "users", 3, "v", "REAL", False, None, 0), ("b", "users", 1, "id", "INTEGER", False, None, 1),
+        ("b", "users", 2, "name", "TEXT", False, None, 0), ("b", "logs", 1, "id", "INTEGER", False, None, 1)}
+    rest = {r["database"]: r["error"] for r in rows if not r["table"]}
+    assert rest["empty"] is None and "not a database" in rest["broken"]
+
+
+def test_indexes(spark, files):
+    rows = load(spark, "sqlite_catalog", files, what="indexes").load().collect()
+    assert {(r["database"], r["table"], r["index"], r["is_unique"]) for r in rows if r["table"]} == {
+        ("a", "users", "idx_name", True)}
+
+
+def test_table(spark, files):
+    catalog = load(spark, "sqlite_catalog", files).load()
+    schema = Q.table_schema(catalog, "users")
+    assert [(f.name, f.dataType.simpleString()) for f in schema] == [
+        ("database", "string"), ("id", "bigint"), ("name", "string"), ("v", "double"), ("error", "string")]
+    narrow = Q.T.StructType([f for f in schema if f.name != "v"])
+    rows = load(spark, "sqlite_table", files, table="users").schema(narrow).load().collect()
+    assert {(r["database"], r["id"], r["name"]) for r in rows if r["id"]} == {("a", 1, "ann"), ("a", 2, "bob"), ("b", 1, "cy")}
+    assert {r["database"] for r in rows if r["error"]} == {"empty", "broken"}
+    Q.register(spark)
+    one = spark.read.format("sqlite_table").options(paths=f"{files}/a.db", table="users").schema(schema).load()
+    assert {(r["id"], r["v"], r["error"]) for r in one.collect()} == {(1, 1.5, None), (2, None, "v=odd")}
+
+
+def test_large_file_is_read_in_ranges(spark, tmp_path):
+    path = tmp_path / "big.db"
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, pad TEXT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i * 3 - 50, "x" * 200) for i in range(30_000)])
+    con.execute("CREATE TABLE w (id INTEGER PRIMARY KEY) WITHOUT ROWID")
+    con.executemany("INSERT INTO w VALUES (?)", [(i,) for i in range(100)])
+    con.commit()
+    con.close()
+    Q.register(spark)
+    read = spark.read.format("sqlite_table").options(paths=str(path), split_mb="1")
+    df = read.option("table", "t").schema("database string, id bigint").load()
+    assert df.rdd.getNumPartitions() > 4
+    assert df.agg(F.count("id"), F.countDistinct("id")).first()[:] == (30_000, 30_000)
+    assert read.option("table", "w").schema("database string, id bigint").load().count() == 100
+
+
+def test_missing_member_is_an_error_row(spark, tmp_path):
+    Q.register(spark)
+    row = spark.read.format("sqlite_catalog").options(paths=f"{tmp_path}/none.db").load().first()
+    assert row["database"] == "none" and "unable to open" in row["error"]
+
+
+@pytest.mark.parametrize("declared,kind", [
+    ("INTEGER", "bigint"), ("VARCHAR(10)", "string"), ("TIMESTAMP", "string"), ("BOOLEAN", "boolean"),
+    ("BLOB", "binary"), ("", "binary"), ("DOUBLE", "double"), ("DECIMAL(10,2)", "double")])
+def test_affinity(declared, kind):
+    assert Q.affinity(declared).simpleString() == kind
+
+
+def test_fleet_from_snapshot_to_drift(spark, files, tmp_path):
+    base = str(tmp_path / "baselines")
+    reg = members(spark, [(n, f"{files}/{n}.db") for n in ("a", "b", "empty", "broken")])
+    taken = datetime.datetime(2024, 5, 1, tzinfo=datetime.timezone.utc)
+    report = {r["database"]: (r["tables"], r["error"] is None) for r in fleet_snapshot(reg, base, taken).collect()}
+    assert report == {"a": (1, True), "b": (2, True), "empty": (0, True), "broken": (0, False)}
+
+    def states():
+        return {r["database"]: r["state"] for r in fleet_check_files(reg, base).collect()}
+
+    assert states() == {"a": "ok", "b": "ok", "empty": "ok", "broken": "no-baseline"}
+    build(files / "a.db", "ALTER TABLE users ADD COLUMN email TEXT")
+    (files / "b.db").write_bytes(b"damaged")
+    assert states() == {"a": "drift", "b": "error", "empty": "ok", "broken": "no-baseline"}
