@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftkit import model as M
 from driftkit.functions.values import comparable, text_form
 from driftkit.operators.data_diff import row_counts
+from driftkit.operators.keyed import without_match
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ def orphan_keys(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFram
     known = parent.select(
         *[_c(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns, strict=True)]
     ).filter(_complete(fk.columns)).distinct()
-    return held.join(known, list(fk.columns), "left_anti")
+    return without_match(held, known, fk.columns)
 
 
 def _relation(fk: ForeignKey) -> list[Column]:

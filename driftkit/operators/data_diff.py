@@ -142,12 +142,12 @@ def _check_keys(keys: Sequence[str], columns: Sequence[str]) -> list[str]:
 
 def added_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the new version whose key the old one does not have."""
-    return membership(new, old, list(keys), "left_anti")
+    return membership(new, old, keys, present=False)
 
 
 def removed_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the old version whose key the new one does not have."""
-    return membership(old, new, list(keys), "left_anti")
+    return membership(old, new, keys, present=False)
 
 
 def diff_rows(
@@ -178,7 +178,7 @@ def diff_rows(
     )
     row = F.struct(*[_c(v).alias(v) for v in values]) if values else F.struct(F.lit(True).alias("present"))
     gained = F.col(_NET) > 0
-    several = membership(diff, _per_key(diff, keys).filter(repeated), keys, "left_semi").select(
+    several = membership(diff, _per_key(diff, keys).filter(repeated), keys, present=True).select(
         F.when(gained, M.ADDED).otherwise(M.REMOVED).alias("status"),
         key,
         F.when(~gained, row).alias("old"),

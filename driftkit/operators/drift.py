@@ -16,7 +16,7 @@ from driftkit.operators.schema_diff import DATABASE, schema_diff
 def latest_snapshot(snapshots: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame:
     """The catalog rows of each database's newest snapshot."""
     newest = snapshots.groupBy(*by).agg(F.max("captured_at").alias("captured_at"))
-    return membership(snapshots, newest, [*by, "captured_at"], "left_semi")
+    return membership(snapshots, newest, [*by, "captured_at"], present=True)
 
 
 def drift(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftkit import model as M
 from driftkit.functions.text import provider, redact
-from driftkit.operators.keyed import same_key
+from driftkit.operators.keyed import lookup
 from driftkit.operators.schema_diff import schema_diff
 
 
@@ -159,7 +159,9 @@ def rollout_states(
     ``canary`` successes hold the rest back. A dry run tries every member.
 
     Where a fleet stops follows from two positions, its first failure and its
-    ``canary``-th success, so no fleet is ever walked through in one task.
+    ``canary``-th success. The first is an aggregate; for the second each task
+    passes on no more than ``canary`` members of a fleet, up to the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold``.
     """
     ok = F.coalesce(F.col("ok"), F.lit(False))
     if dry_run:
@@ -182,8 +184,7 @@ def rollout_states(
         .otherwise(M.APPLIED)
     )
     return (
-        outcomes.join(stops, same_key(outcomes, stops, [fleet]), "left")
-        .drop(stops[fleet])
+        lookup(outcomes, stops, [fleet])
         .withColumn("state", state)
         .drop("__fail", "__hold")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from driftkit import model as M
 from driftkit.functions.values import comparable
+from driftkit.operators.keyed import without_match
 from driftkit.operators.schema_diff import DATABASE, readable
 
 _TABLE = [*DATABASE, "table"]
@@ -282,7 +283,7 @@ def migration_dry_run(
         known = p.rows.select(
             *own, *[_c(pc).alias(c) for pc, c in zip(p.parent_columns, p.columns, strict=True)]
         ).distinct()
-        orphans = held.join(known, [*own, *p.columns], "left_anti")
+        orphans = without_match(held, known, [*own, *p.columns])
         parts.append(part(orphans, orphan_rows=F.col("__n")))
     summed = reduce(DataFrame.unionByName, parts).groupBy(member).agg(*[F.sum(m).alias(m) for m in measures])
     broken = reduce(lambda a, b: a + b, [F.col(m) for m in measures[1:]])
