@@ -1,11 +1,12 @@
 """Differences between the rows of two versions of a table.
 
 Both versions are put together with a sign, -1 for an old row and +1 for a new
-one, and grouped by all compared columns. Equal rows cancel, most of them
-before the shuffle when they sit in the same task, and what is left over is the
-difference, exact also for repeated rows, repeated keys and NULL keys. No key
-is ever gathered in one task, and only the differences go on to the second
-grouping, by key, that tells a changed row from an added or removed one.
+one, and grouped by all compared columns. Equal rows cancel, and what is left
+over is the difference, exact also for repeated rows, repeated keys and NULL
+keys. Copies of one row are counted before the shuffle and rows that share a key
+are spread by their values, so no key or copy fills a task. Only the differences
+go on to the second grouping, by key, that tells a changed row from an added or
+removed one.
 """
 
 from __future__ import annotations
@@ -332,7 +333,8 @@ def page(
         beyond = F.lit(False)
         equal_so_far = F.lit(True)
         for col, value in zip(order, after, strict=True):
-            beyond = beyond | (equal_so_far & (col > F.lit(value)))
-            equal_so_far = equal_so_far & (col == F.lit(value))
+            # NULLs come first in the order.
+            beyond = beyond | (equal_so_far & (col.isNotNull() if value is None else col > F.lit(value)))
+            equal_so_far = equal_so_far & (col.isNull() if value is None else col == F.lit(value))
         rows = rows.filter(beyond)
     return rows.orderBy(*order).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("total"))

@@ -15,8 +15,17 @@ from driftkit.operators.schema_diff import DATABASE, schema_diff
 
 def latest_snapshot(snapshots: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame:
     """The catalog rows of each database's newest snapshot."""
-    newest = snapshots.groupBy(*by).agg(F.max("captured_at").alias("captured_at"))
-    return membership(snapshots, newest, [*by, "captured_at"], present=True)
+    return membership(snapshots, newest_times(snapshots, by), [*by, "captured_at"], present=True)
+
+
+def newest_times(snapshots: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame:
+    """When each database was captured last."""
+    return snapshots.groupBy(*by).agg(F.max("captured_at").alias("captured_at"))
+
+
+def indexes_at(indexes: DataFrame, times: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame:
+    """The index rows captured at those times; a snapshot without indexes has none."""
+    return membership(indexes, times, [*by, "captured_at"], present=True)
 
 
 def drift(
@@ -74,13 +83,30 @@ def drift(
     )
 
 
-def drift_of_snapshots(baseline: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Each snapshot, told apart by database and capture time, against the database's baseline."""
+def drift_of_snapshots(
+    baseline: DataFrame,
+    snapshots: DataFrame,
+    baseline_indexes: DataFrame | None = None,
+    indexes: DataFrame | None = None,
+) -> DataFrame:
+    """Each snapshot, told apart by database and capture time, against the database's baseline.
+
+    ``indexes`` may hold the indexes of other snapshots too.
+    """
     by = ["database", "captured_at"]
     taken = snapshots.select(*by).distinct()
-    at = baseline.withColumnRenamed("captured_at", "__baseline_at").join(taken, "database")
+
+    def once_per_snapshot(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("captured_at", "__baseline_at").join(taken, "database")
+
+    at = once_per_snapshot(baseline)
     times = at.groupBy(*by).agg(F.max("__baseline_at").alias("baseline_at"))
-    report = drift(at.drop("__baseline_at"), snapshots, by=by).drop("baseline_at")
+    report = drift(
+        at.drop("__baseline_at"), snapshots,
+        None if baseline_indexes is None else once_per_snapshot(baseline_indexes),
+        None if indexes is None else membership(indexes, taken, by, present=True),
+        by=by,
+    ).drop("baseline_at")
     return report.join(
         times.withColumnRenamed("database", "source"), ["source", "captured_at"]
     ).select(*M.DRIFT_REPORT.fieldNames())

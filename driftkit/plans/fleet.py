@@ -7,9 +7,10 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftkit.operators.drift import latest_snapshot
+from driftkit.operators.drift import indexes_at, latest_snapshot, newest_times
 from driftkit.operators.fleet import fleet_check, snapshot_report
-from driftkit.sources.snapshots import load_snapshots, save_snapshot
+from driftkit.operators.keyed import membership
+from driftkit.sources import snapshots as S
 from driftkit.sources.sqlite import scan_members
 
 
@@ -18,22 +19,28 @@ def fleet_snapshot(
 ) -> DataFrame:
     """Captures a baseline of every member; reports tables captured, or the error, per member.
 
-    The report is made from what was stored, so members are opened once for it;
-    only those that left nothing behind are opened again for their error.
+    Indexes are stored first, so whoever watches the catalogs finds them. The
+    report is made from what was stored; only members that left nothing behind
+    are opened again for their error.
     """
     spark = registry.sparkSession
-    save_snapshot(scan_members(registry, tasks=tasks), path, captured_at)
+    S.save_index_snapshot(scan_members(registry, "indexes", tasks), f"{path}/indexes", captured_at)
+    S.save_snapshot(scan_members(registry, tasks=tasks), f"{path}/columns", captured_at)
     # A day's margin: folders are named by the date in the session's time zone.
-    stored = load_snapshots(spark, path, captured_at.date() - datetime.timedelta(days=1))
-    stored = stored.filter(stored["captured_at"] == F.lit(captured_at).cast("timestamp"))
-    missing = registry.join(
-        stored.select(stored["database"].alias("name")).distinct(), "name", "left_anti"
-    )
-    failed = scan_members(missing, tasks=tasks)
-    return snapshot_report(stored.unionByName(failed)).orderBy("database")
+    stored = S.load_snapshots(spark, f"{path}/columns", captured_at.date() - datetime.timedelta(days=1))
+    stored = stored.filter(F.col("captured_at") == F.lit(captured_at).cast("timestamp"))
+    missing = membership(registry, stored.withColumnRenamed("database", "name"), ["name"], present=False)
+    return snapshot_report(stored.unionByName(scan_members(missing, tasks=tasks))).orderBy("database")
 
 
 def fleet_check_files(registry: DataFrame, path: str, tasks: int | None = None) -> DataFrame:
     """State of every member against its newest baseline stored at ``path``."""
-    baselines = latest_snapshot(load_snapshots(registry.sparkSession, path))
-    return fleet_check(registry, baselines, scan_members(registry, tasks=tasks))
+    spark = registry.sparkSession
+    stored = S.load_snapshots(spark, f"{path}/columns")
+    return fleet_check(
+        registry,
+        latest_snapshot(stored),
+        scan_members(registry, tasks=tasks),
+        indexes_at(S.load_index_snapshots(spark, f"{path}/indexes"), newest_times(stored)),
+        scan_members(registry, "indexes", tasks),
+    )

@@ -80,12 +80,12 @@ def index_rows(database: str, path: str) -> list[tuple]:
     try:
         with closing(_open(path)) as con:
             return [
-                (database, table, row[1], row[2] == 1, None)
+                (database, table, row[1], row[2] == 1, None, None)
                 for table in _user_tables(con)
                 for row in con.execute(f"PRAGMA index_list({_quoted(table)})")
             ]
     except (sqlite3.Error, UnicodeError) as e:
-        return [(database, None, None, None, f"{type(e).__name__}: {e}")]
+        return [(database, *[None] * 4, f"{type(e).__name__}: {e}")]
 
 
 _WHAT = {"catalog": (catalog_rows, M.CATALOG), "indexes": (index_rows, M.INDEXES)}

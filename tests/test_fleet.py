@@ -12,7 +12,7 @@ from driftkit.operators import drift as R
 from driftkit.operators import fleet as L
 from driftkit.sources.history import append_report, load_history
 from driftkit.sources.registry import load_registry, save_registry
-from driftkit.sources.snapshots import load_snapshots, save_snapshot
+from driftkit.sources.snapshots import load_index_snapshots, load_snapshots, save_index_snapshot, save_snapshot
 from driftkit.streaming.alerts import alert_payload
 from driftkit.streaming.watch import snapshot_stream, watch
 from tests.test_schema import cat
@@ -198,6 +198,25 @@ def test_alerts(spark):
         alert_payload(drifted(spark), "fax")
 
 
+def test_watch_sees_indexes(spark, tmp_path):
+    path, kept, out, mark = (str(tmp_path / n) for n in ("in", "indexes", "out", "checkpoint"))
+    index = spark.createDataFrame([("a", "users", "idx", True, None, None)], M.INDEXES)
+    baseline = users(spark, "a").withColumn("captured_at", F.lit(at(1)))
+    save_index_snapshot(index, kept, at(2))
+    save_snapshot(users(spark, "a"), path, at(2))
+    save_snapshot(users(spark, "a"), path, at(3))
+
+    def run():
+        watch(snapshot_stream(spark, path), lambda: baseline, out, mark, baseline_indexes=index,
+              indexes=lambda: load_index_snapshots(spark, kept)).awaitTermination()
+        return {(r["checked_at"].day, r["has_drift"]) for r in load_history(spark, out).collect()}
+
+    assert run() == {(2, False), (3, True)}
+    save_index_snapshot(index, kept, at(4))
+    save_snapshot(users(spark, "a"), path, at(4))
+    assert run() == {(2, False), (3, True), (4, False)}
+
+
 def test_watch(spark, tmp_path):
     path, out, mark = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     baseline = users(spark, "a").unionByName(users(spark, "b")).withColumn("captured_at", F.lit(at(1)))

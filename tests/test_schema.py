@@ -26,7 +26,7 @@ def cat(spark, tables, database="db"):
 
 
 def idx(spark, indexes):
-    return spark.createDataFrame([("db", t, i, u, None) for t, i, u in indexes], M.INDEXES)
+    return spark.createDataFrame([("db", t, i, u, None, None) for t, i, u in indexes], M.INDEXES)
 
 
 def listed(changes):

@@ -114,3 +114,9 @@ def test_fleet_from_snapshot_to_drift(spark, files, tmp_path):
     build(files / "a.db", "ALTER TABLE users ADD COLUMN email TEXT")
     (files / "b.db").write_bytes(b"damaged")
     assert states() == {"a": "drift", "b": "error", "empty": "ok", "broken": "no-baseline"}
+    fleet_snapshot(reg, base, taken + datetime.timedelta(days=1)).collect()
+    assert states()["a"] == "ok"
+    build(files / "a.db", "DROP INDEX idx_name")
+    assert states()["a"] == "drift"
+    fleet_snapshot(reg, base, taken + datetime.timedelta(days=2)).collect()
+    assert states()["a"] == "ok"
