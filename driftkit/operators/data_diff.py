@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,16 @@ def _is_map(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
 
 
+def _read_as(df: DataFrame, name: str, dtype: T.DataType) -> Column:
+    """The column in another type; NULL where, or when, that cannot be done."""
+    read = _c(name).try_cast(dtype)
+    try:
+        df.select(read)
+    except AnalysisException:
+        return F.lit(None).cast(dtype)
+    return read
+
+
 def _aligned(
     old: DataFrame, new: DataFrame, columns: Sequence[str], compare: str
 ) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -63,7 +74,7 @@ def _aligned(
             left.append(comparable(_c(name), was).alias(name))
             right.append(comparable(_c(name), now).alias(name))
             continue
-        read = _c(name).try_cast(now)
+        read = _read_as(old, name, now)
         left.append(comparable(read, now).alias(name))
         right.append(comparable(_c(name), now).alias(name))
         lost = f"{_LOST}{name}"

@@ -181,7 +181,10 @@ def rollout(
     outcomes: list[tuple] = []
     done = 0
     for member in ordered.toLocalIterator():
-        result = apply_migration(spark, member["dsn"], migration, dry_run, backup_dir)
+        try:
+            result = apply_migration(spark, member["dsn"], migration, dry_run, backup_dir)
+        except Exception as e:  # noqa: BLE001 - one member's failure is a result of the rollout
+            result = ApplyResult(False, dry_run, problems=(f"{type(e).__name__}: {str(e).splitlines()[0]}",))
         outcomes.append((member["pos"], member["database"], result.ok, result.rows, "; ".join(result.problems) or None))
         done += result.ok
         if not dry_run and (not result.ok or (canary and done >= canary)):

@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftkit.operators.checks import compare_counts, not_null_check, pk_unique_check
+from driftkit.operators.checks import check_row_ranges, compare_counts, not_null_check, pk_unique_check
 from driftkit.operators.data_diff import diff_tables_data, row_counts
 from driftkit.operators.schema_diff import schema_diff
+from driftkit.operators.validation import validate
 from driftkit.sources.catalog import catalog
 
 Tables = Mapping[str, DataFrame]
@@ -32,6 +33,14 @@ def diff_database(
     return DatabaseDiff(changes, diff_tables_data(old, new, keys, mode))
 
 
+def validate_data(
+    changes: DataFrame, expected: DataFrame, counts: DataFrame, ranges: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """``validate``, with every row count outside its range as one more, unexpected, change."""
+    seen = changes.select(*by, "kind", "table", "subject", "detail")
+    return validate(seen.unionByName(check_row_ranges(counts, ranges, by)), expected, by)
+
+
 def integrity_errors(tables: Tables, keys: Keys, not_null: Keys | None = None) -> DataFrame:
     """``error``: one line per duplicate key set and per column with unwanted NULLs.
 

@@ -273,6 +273,30 @@ def validate_verdict(spark, sf_dir):
     return V.validation_passed(result, by=["database"])
 
 
+# Each customer's tables are to keep at least as many orders as they gain columns.
+_TABLE_COUNTS = f"""
+    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table", count(*) AS rows
+    FROM {{orders}} WHERE {I.LIVE_PERIOD} GROUP BY o_custkey, o_orderstatus"""
+_TABLE_RANGES = f"""
+    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table",
+           count(*) AS min_rows, CAST(NULL AS BIGINT) AS max_rows
+    FROM {{orders}} WHERE {I.BASELINE_PERIOD} GROUP BY o_custkey, o_orderstatus"""
+
+
+@query("validate_data", _validated(_SPEC_KEY) + f""",
+    r AS (SELECT database, "table", coalesce(rows, 0) || ' not in ' || min_rows || '..' AS detail
+          FROM {duck(_TABLE_RANGES)} LEFT JOIN {duck(_TABLE_COUNTS)} USING (database, "table")
+          WHERE coalesce(rows, 0) < min_rows)
+    SELECT verdict, {", ".join(_SPEC_KEY)}, detail, count(*) AS copies FROM matched GROUP BY ALL
+    UNION ALL
+    SELECT 'unexpected', database, 'row count out of range', "table", NULL, detail, 1 FROM r""")
+def validate_data(spark, sf_dir):
+    return P.validate_data(
+        live_changes(spark, sf_dir), _expected(spark, sf_dir), derive(spark, sf_dir, _TABLE_COUNTS),
+        derive(spark, sf_dir, _TABLE_RANGES), by=["database"],
+    )
+
+
 def _agg(kind, text):
     return f"coalesce(string_agg({text}, '; ' ORDER BY subject) FILTER (kind = '{kind}'), '')"
 

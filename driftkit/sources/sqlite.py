@@ -45,7 +45,9 @@ class FilePart(InputPartition):
     of: int = 1
 
 
-def _open(path: str) -> sqlite3.Connection:
+def _open(path: str | None) -> sqlite3.Connection:
+    if not path:
+        raise sqlite3.OperationalError("no address")
     return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
 
 
@@ -158,11 +160,20 @@ def _fits(value, dtype: T.DataType):
         raise ValueError("text in a numeric column")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return float(value)
-    if int(value) != value:
-        raise ValueError("fraction in a whole-number column")
+    low, high = _RANGE[type(dtype)]
+    if int(value) != value or not low <= value <= high:
+        raise ValueError("not a whole number the column can hold")
     return bool(value) if isinstance(dtype, T.BooleanType) else int(value)
 
 
+# Whole-number types and what they hold.
+_RANGE = {
+    T.BooleanType: (0, 1), T.ByteType: (-(2**7), 2**7 - 1), T.ShortType: (-(2**15), 2**15 - 1),
+    T.IntegerType: (-(2**31), 2**31 - 1), T.LongType: (-(2**63), 2**63 - 1),
+}
+_TYPES = (T.StringType, T.BinaryType, T.DoubleType, T.FloatType, *_RANGE)
+
+
 class _TableReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self._files = _files(options)
@@ -170,6 +181,9 @@ class _TableReader(DataSourceReader):
         self._split = int(options.get("split_mb", "128")) * 1024 * 1024
         self._schema = schema
         self._columns = [f for f in schema.fields if f.name not in ("database", "error")]
+        unusable = [f.name for f in self._columns if not isinstance(f.dataType, _TYPES)]
+        if unusable:
+            raise ValueError(f"SQLite has no values for the types of {', '.join(unusable)}")
 
     def partitions(self) -> list[InputPartition]:
         parts = []

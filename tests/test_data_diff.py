@@ -90,6 +90,12 @@ def test_retyped_column_reads_in_its_new_type(spark):
     assert cells == {(2, "v", "x", None), (3, "v", "y", "3")}
 
 
+def test_column_that_cannot_be_read_in_its_new_type(spark):
+    a = spark.createDataFrame([(1, [1]), (2, None)], "id int, v array<int>")
+    b = spark.createDataFrame([(1, 1), (2, None)], "id int, v int")
+    assert {tuple(r) for r in D.diff_cells(a, b, ["id"]).collect()} == {(1, "v", "[1]", "1")}
+
+
 def test_nested_values_and_special_floats(spark):
     schema = "id int, m map<string,int>, l array<struct<k:map<string,int>>>, f double"
     a = spark.createDataFrame([(1, {"a": 1, "b": 2}, [({"x": 1, "y": 2},)], float("nan")), (2, {"a": 1}, None, 0.0)], schema)

@@ -93,6 +93,21 @@ def test_missing_member_is_an_error_row(spark, tmp_path):
     assert row["database"] == "none" and "unable to open" in row["error"]
 
 
+def test_values_out_of_range_and_unusable_types(spark, tmp_path):
+    path = build(tmp_path / "n.db", "CREATE TABLE t (a INTEGER, b BOOLEAN)", "INSERT INTO t VALUES (3000000000, 7), (1, 1)")
+    Q.register(spark)
+    read = spark.read.format("sqlite_table").options(paths=path, table="t")
+    rows = read.schema("database string, a int, b boolean, error string").load().collect()
+    assert {(r["a"], r["b"], r["error"]) for r in rows} == {(None, None, "a=3000000000; b=7"), (1, True, None)}
+    with pytest.raises(Exception, match="no values for the types of a"):
+        read.schema("database string, a date").load().collect()
+
+
+def test_member_without_address(spark):
+    row = Q.scan_members(members(spark, [("lost", None)])).first()
+    assert row["database"] == "lost" and "no address" in row["error"]
+
+
 @pytest.mark.parametrize("declared,kind", [
     ("INTEGER", "bigint"), ("VARCHAR(10)", "string"), ("TIMESTAMP", "string"), ("BOOLEAN", "boolean"),
     ("BLOB", "binary"), ("", "binary"), ("DOUBLE", "double"), ("DECIMAL(10,2)", "double")])
