@@ -51,3 +51,18 @@ def text_form(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.MapType, T.ArrayType, T.StructType, T.VariantType)):
         return F.to_json(comparable(col, dtype))
     return col.cast("string")
+
+
+def hash_parts(col: Column, dtype: T.DataType, seed: int) -> list[Column]:
+    """What to hash so that unequal values of a ``comparable`` column differ.
+
+    A hash passes over NULLs and empty arrays, so these are told apart by flags
+    and sizes.
+    """
+    if isinstance(dtype, T.StructType):
+        inner = [p for f in dtype.fields for p in hash_parts(col[f.name], f.dataType, seed)]
+        return [col.isNull(), *inner]
+    if isinstance(dtype, T.ArrayType):
+        items = F.transform(col, lambda e: F.xxhash64(F.lit(seed), *hash_parts(e, dtype.elementType, seed)))
+        return [col.isNull(), F.size(col), items]
+    return [col.isNull(), col]

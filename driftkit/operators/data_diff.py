@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftkit import model as M
-from driftkit.functions.values import comparable, text_form
+from driftkit.functions.values import comparable, hash_parts, text_form
 from driftkit.operators.keyed import membership
 
 _NET = "__net"
@@ -53,7 +53,7 @@ def _read_as(df: DataFrame, name: str, dtype: T.DataType) -> Column:
 
 def _aligned(
     old: DataFrame, new: DataFrame, columns: Sequence[str], compare: str
-) -> tuple[DataFrame, DataFrame, list[str]]:
+) -> tuple[DataFrame, DataFrame]:
     """Both sides with the same comparable columns.
 
     A retyped column is read in its new type. Old values that type cannot hold
@@ -63,7 +63,6 @@ def _aligned(
     right: list[Column] = []
     extra_left: list[Column] = []
     extra_right: list[Column] = []
-    extras: list[str] = []
     for name in columns:
         was, now = old.schema[name].dataType, new.schema[name].dataType
         if compare == "text":
@@ -80,8 +79,32 @@ def _aligned(
         lost = f"{_LOST}{name}"
         extra_left.append(F.when(read.isNull(), text_form(_c(name), was)).alias(lost))
         extra_right.append(F.lit(None).cast("string").alias(lost))
-        extras.append(lost)
-    return old.select(*left, *extra_left), new.select(*right, *extra_right), [*columns, *extras]
+    return old.select(*left, *extra_left), new.select(*right, *extra_right)
+
+
+def _signed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both sides grouped by all columns, with the net number of copies where it is not 0."""
+    both = left.withColumn(_NET, F.lit(-1)).unionByName(right.withColumn(_NET, F.lit(1)))
+    return both.groupBy(*[_c(n) for n in left.columns]).agg(F.sum(_NET).alias(_NET)).filter(F.col(_NET) != 0)
+
+
+def _hashed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key and 128 bits for the rest of each row."""
+    values = [f for f in df.schema.fields if f.name not in keys]
+
+    def half(seed: int) -> Column:
+        parts = [p for f in values for p in hash_parts(_c(f.name), f.dataType, seed)]
+        return F.xxhash64(F.lit(seed), *parts).alias(f"__h{seed}")
+
+    # Two seeds for the two halves.
+    hashes = [half(seed) for seed in (1, 2)]
+    return df.select(*[_c(k) for k in keys], *hashes)
+
+
+def _suspects(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the keys whose hashes all agree."""
+    differing = _signed(_hashed(left, keys), _hashed(right, keys))
+    return membership(left, differing, keys, present=True), membership(right, differing, keys, present=True)
 
 
 def differences(
@@ -89,30 +112,26 @@ def differences(
     new: DataFrame,
     columns: Sequence[str] | None = None,
     compare: str = "typed",
+    mode: str = "exact",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """The compared columns plus ``__net``: copies gained (> 0) or lost (< 0).
 
     ``compare="text"`` compares printed values, so ``1`` equals ``'1'``.
+    ``mode="hash"`` first finds the ``keys`` whose rows differ by hash, and only
+    moves the rows of those: two narrow shuffles in place of a wide one.
     """
     if compare not in ("typed", "text"):
         raise ValueError("compare must be 'typed' or 'text'")
+    if mode not in ("exact", "hash"):
+        raise ValueError("mode must be 'exact' or 'hash'")
     columns = list(columns or shared_columns(old, new))
     if not columns:
         raise ValueError("the two versions share no column")
-    left, right, names = _aligned(old, new, columns, compare)
-    both = left.withColumn(_NET, F.lit(-1)).unionByName(right.withColumn(_NET, F.lit(1)))
-    return (
-        both.groupBy(*[_c(n) for n in names])
-        .agg(F.sum(_NET).alias(_NET))
-        .filter(F.col(_NET) != 0)
-    )
-
-
-def _hashed(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    cols = [comparable(_c(v), df.schema[v].dataType) for v in values]
-    # Two seeds, so that a row is told by 128 bits.
-    hashes = [F.xxhash64(F.lit(seed), *cols).alias(f"__h{seed}") for seed in (1, 2)]
-    return df.select(*[comparable(_c(k), df.schema[k].dataType).alias(k) for k in keys], *hashes)
+    left, right = _aligned(old, new, columns, compare)
+    if mode == "hash":
+        left, right = _suspects(left, right, _check_keys(keys, columns))
+    return _signed(left, right)
 
 
 def _gained(net: Column) -> Column:
@@ -168,17 +187,18 @@ def diff_rows(
     keys: Sequence[str],
     limit: int | None = None,
     compare: str = "typed",
+    mode: str = "exact",
 ) -> DataFrame:
     """Rows that differ: ``status, key, old, new, copies``.
 
     A key with one differing row on each side is ``changed``. When a key is
     repeated and more than one of its rows differ, each of them is listed as
     ``removed`` or ``added`` with its number of copies. ``limit`` applies to the
-    finished result in key order.
+    finished result in key order. ``mode`` is that of ``differences``.
     """
     columns = shared_columns(old, new)
     keys = _check_keys(keys, columns)
-    diff = differences(old, new, columns, compare)
+    diff = differences(old, new, columns, compare, mode, keys)
     values = [c for c in diff.columns if c not in keys and c != _NET]
     key = F.struct(*[_c(k).alias(k) for k in keys]).alias("key")
 
@@ -203,12 +223,14 @@ def diff_rows(
     return rows
 
 
-def diff_cells(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: str = "typed") -> DataFrame:
+def diff_cells(
+    old: DataFrame, new: DataFrame, keys: Sequence[str], compare: str = "typed", mode: str = "exact"
+) -> DataFrame:
     """Cells of changed rows that differ: keys, ``column``, ``old``, ``new`` as text."""
     columns = shared_columns(old, new)
     keys = _check_keys(keys, columns)
     values = [c for c in columns if c not in keys]
-    diff = differences(old, new, columns, compare)
+    diff = differences(old, new, columns, compare, mode, keys)
     kept = [c for c in diff.columns if c not in keys and c != _NET]
     types = {f.name: f.dataType for f in diff.schema.fields}
 
@@ -248,14 +270,10 @@ def diff_counts(
     columns = shared_columns(old, new)
     keys = _check_keys(keys, columns)
     if mode == "hash":
-        values = [c for c in columns if c not in keys]
-        if compare != "typed" or any(old.schema[c].dataType != new.schema[c].dataType for c in columns):
-            raise ValueError("hash mode needs typed comparison and equal column types")
-        diff = differences(_hashed(old, keys, values), _hashed(new, keys, values))
-    elif mode == "exact":
-        diff = differences(old, new, columns, compare)
+        left, right = _aligned(old, new, columns, compare)
+        diff = _signed(_hashed(left, keys), _hashed(right, keys))
     else:
-        raise ValueError("mode must be 'exact' or 'hash'")
+        diff = differences(old, new, columns, compare, mode)
     changed = _is_changed()
     zero = F.lit(0).cast("bigint")
     return _per_key(diff, keys).agg(

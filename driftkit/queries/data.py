@@ -114,6 +114,22 @@ def data_diff_limit(spark, sf_dir):
     return _flat(rows, I.ORDERS_KEYS, _VALUES)
 
 
+_DOC_VALUES = ["text", "lang", "source", "n_chars"]
+
+
+@query("data_diff_rows_hash", f"""
+    SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS status,
+           CAST(1 AS BIGINT) AS copies, coalesce(o.doc_id, n.doc_id) AS doc_id,
+           {", ".join(f"o.{v} AS old_{v}, n.{v} AS new_{v}" for v in _DOC_VALUES)}
+    FROM documents o FULL JOIN {_DOC_NEW} n ON o.doc_id = n.doc_id
+    WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR {_differs(_DOC_VALUES)}""")
+def data_diff_rows_hash(spark, sf_dir):
+    rows = D.diff_rows(
+        table(spark, sf_dir, "documents"), derive(spark, sf_dir, I.DOCUMENTS_AFTER), ["doc_id"], mode="hash"
+    )
+    return _flat(rows, ["doc_id"], _DOC_VALUES)
+
+
 _CUSTOMER_VALUES = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _CUSTOMER_NET = _net_sql(
     duck(I.CUSTOMER_NULLS_BEFORE), duck(I.CUSTOMER_NULLS_AFTER),

@@ -106,6 +106,31 @@ def test_nested_values_and_special_floats(spark):
     assert [(r["id"], r["column"]) for r in cells] == [(2, "m")]
 
 
+def test_hash_mode_agrees_on_zeros_nans_and_retyped_columns(spark):
+    schema = "id int, f double, g array<float>, h string"
+    a = spark.createDataFrame([(1, 0.0, [0.0], "7"), (2, float("nan"), None, "x"), (3, None, [], "8")], schema)
+    b = spark.createDataFrame([(1, -0.0, [-0.0], 7), (2, float("nan"), None, None), (3, None, None, 8)],
+                              schema.replace("string", "int"))
+    for mode in ("exact", "hash"):
+        assert one(D.diff_counts(a, b, ["id"], mode=mode)) == {"added": 0, "removed": 0, "changed": 2}
+        cells = {(r["id"], r["column"]) for r in D.diff_cells(a, b, ["id"], mode=mode).collect()}
+        assert cells == {(2, "h"), (3, "g")}
+
+
+def test_hash_mode_tells_nulls_and_empties_apart(spark):
+    schema = "id int, a string, b string, l array<string>, m array<struct<x:int,y:int>>, n map<string,int>"
+    a = spark.createDataFrame([
+        (1, "v", None, None, None, None), (2, None, None, [], None, None), (3, None, None, [None], None, None),
+        (4, None, None, None, [(1, None)], None), (5, None, None, None, [None], None), (6, None, None, None, None, {}),
+        (7, "ab", "c", ["ab", "c"], [], {"k": None})], schema)
+    b = spark.createDataFrame([
+        (1, None, "v", None, None, None), (2, None, None, None, None, None), (3, None, None, [], None, None),
+        (4, None, None, None, [(None, 1)], None), (5, None, None, None, [(None, None)], None),
+        (6, None, None, None, None, None), (7, "ab", "c", ["ab", "c"], [], {"k": None})], schema)
+    for mode in ("exact", "hash"):
+        assert one(D.diff_counts(a, b, ["id"], mode=mode))["changed"] == 6
+
+
 def test_keyless_net_counts(spark):
     a, b = frame(spark, OLD), frame(spark, NEW[:1])
     assert one(D.diff_counts(a, b)) == {"added": 0, "removed": 3, "changed": 0}
@@ -154,11 +179,12 @@ def test_random_tables_with_repeats_and_nulls(spark, seed):
     old, new = table(), table()
     counts, rows = brute_force(old, new)
     a, b = frame(spark, old), frame(spark, new)
-    assert one(D.diff_counts(a, b, ["id"])) == counts
-    got = Counter()
-    for r in D.diff_rows(a, b, ["id"]).collect():
-        got[(r["status"], r["key"]["id"], r["old"] and tuple(r["old"]), r["new"] and tuple(r["new"]))] += r["copies"]
-    assert got == rows
+    for mode in ("exact", "hash"):
+        assert one(D.diff_counts(a, b, ["id"], mode=mode)) == counts
+        got = Counter()
+        for r in D.diff_rows(a, b, ["id"], mode=mode).collect():
+            got[(r["status"], r["key"]["id"], r["old"] and tuple(r["old"]), r["new"] and tuple(r["new"]))] += r["copies"]
+        assert got == rows
     # Taking the lost copies away and adding the gained ones turns old into new.
     patched = Counter(old)
     for r in D.diff_multiset(a, b).collect():
