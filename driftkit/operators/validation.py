@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftkit import model as M
+from driftkit.operators.schema_diff import DATABASE
 
 _KEY = ("kind", "table", "subject")
 
@@ -72,7 +73,12 @@ def _listed(kind: str, *fields: tuple[str, Column]) -> Column:
     return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))
 
 
-def table_specs(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _own_groups(changes: DataFrame, by: Sequence[str] | None) -> Sequence[str]:
+    """One spec per database, unless told otherwise or the changes name none."""
+    return [c for c in DATABASE if c in changes.columns] if by is None else by
+
+
+def table_specs(changes: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """Per changed table its expected changes, or ``kind`` when the table came or went.
 
     A list is at most as long as the table is wide.
@@ -80,7 +86,7 @@ def table_specs(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     name, unique = ("name", F.col("subject")), F.coalesce(F.col("new.is_unique"), F.lit(False))
     no_type, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     whole = F.col("kind").isin(M.TABLE_ADDED, M.TABLE_REMOVED)
-    return changes.groupBy(*by, "table").agg(
+    return changes.groupBy(*_own_groups(changes, by), "table").agg(
         F.max(F.when(whole, F.col("kind"))).alias("kind"),
         _listed(M.COLUMN_ADDED, name, ("type", F.col("new.type"))).alias("added_columns"),
         _listed(M.COLUMN_REMOVED, name, ("type", no_type)).alias("removed_columns"),
@@ -90,8 +96,11 @@ def table_specs(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def spec_from_diff(changes: DataFrame, description: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """The spec that expects exactly ``changes``: one document, or one per ``by`` group."""
+def spec_from_diff(
+    changes: DataFrame, description: str | None = None, by: Sequence[str] | None = None
+) -> DataFrame:
+    """The spec that expects exactly ``changes``: one document per database, or per ``by`` group."""
+    by = _own_groups(changes, by)
 
     def names(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("table"))))

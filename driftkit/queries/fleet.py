@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -235,6 +234,14 @@ def history_last_n(spark, sf_dir):
     return R.history_last(derive(spark, sf_dir, I.HISTORY), 3, ["event_id"])
 
 
+def _typed(catalog):
+    return catalog.select(*[F.col(f.name).cast(f.dataType) for f in M.CATALOG.fields])
+
+
+def _taken(day):
+    return F.lit(day).cast("timestamp")
+
+
 def _new_folder(spark, name):
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -306,7 +313,21 @@ def alert_payload(spark, sf_dir):
     return alerts(_drift(spark, sf_dir), "slack")
 
 
-@query("alert_payload_generic")
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.000')"
+
+
+@query("alert_payload_generic", _DRIFT + f""",
+    j AS (SELECT database, count(DISTINCT "table") AS tables, string_agg(
+              '{{"kind":"' || kind || '","table":"' || "table" || '"' || coalesce(',"subject":"' || subject || '"', '')
+              || coalesce(',"detail":"' || detail || '"', '') || '}}', ',' ORDER BY kind, "table", subject NULLS FIRST)
+              AS items
+          FROM changes GROUP BY database)
+    SELECT source, checked_at,
+           '{{"text":"Schema drift detected in ' || source || ' (' || tables || ' changes)","result":{{"source":"' || source
+           || '","baseline_at":"' || {_ISO.format("baseline_at")} || '"'
+           || coalesce(',"checked_at":"' || {_ISO.format("checked_at")} || '"', '')
+           || ',"has_drift":true,"changes":[' || items || ']}}}}' AS payload
+    FROM d JOIN j ON source = database WHERE has_drift""")
 def alert_payload_generic(spark, sf_dir):
     return alerts(_drift(spark, sf_dir))
 
@@ -320,10 +341,8 @@ def alert_payload_generic(spark, sf_dir):
     FROM b SEMI JOIN n ON b.database = n.database LEFT JOIN c ON b.database = c.database""")
 def watch_drift(spark, sf_dir):
     arrived, report, checkpoint = (_new_folder(spark, f"watch-{n}") for n in ("in", "out", "checkpoint"))
-    live = derive(spark, sf_dir, I.LIVE).select(*[F.col(f.name).cast(f.dataType) for f in M.CATALOG.fields])
-    taken_at = datetime.datetime(2001, 9, 1, tzinfo=datetime.timezone.utc)
-    save_snapshot(live, arrived, taken_at)
-    baseline = derive(spark, sf_dir, I.BASELINE).select(*[F.col(f.name).cast(f.dataType) for f in M.CATALOG.fields])
+    save_snapshot(_typed(derive(spark, sf_dir, I.LIVE)).withColumn("captured_at", _taken("2001-09-01")), arrived)
+    baseline = _typed(derive(spark, sf_dir, I.BASELINE))
     watch(snapshot_stream(spark, arrived), baseline, report, checkpoint).awaitTermination()
     return load_history(spark, report).select(
         "source", F.col("baseline_at").cast("timestamp_ntz").alias("baseline_at"),
@@ -336,6 +355,5 @@ def watch_drift(spark, sf_dir):
     SELECT database, "table", "column", type, not_null FROM {duck(I.BASELINE)}""")
 def snapshot_round_trip(spark, sf_dir):
     path = _new_folder(spark, "snapshots")
-    captured = derive(spark, sf_dir, I.BASELINE).select(*[F.col(f.name).cast(f.dataType) for f in M.CATALOG.fields])
-    save_snapshot(captured, path, datetime.datetime(1998, 4, 15, tzinfo=datetime.timezone.utc))
+    save_snapshot(_typed(derive(spark, sf_dir, I.BASELINE)).withColumn("captured_at", _taken("1998-04-15")), path)
     return load_snapshots(spark, path).select("database", "table", "column", "type", "not_null")

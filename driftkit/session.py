@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,6 +39,9 @@ def work_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="driftkit-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"driftkit-{application}-")
