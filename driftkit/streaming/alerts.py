@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftkit import model as M
 
@@ -51,7 +52,7 @@ def alert_payload(drift: DataFrame, style: str = "generic") -> DataFrame:
         raise ValueError("style must be 'generic' or 'slack'")
     lines = drift_lines(drift)
     if style == "slack":
-        return lines.select("source", "checked_at", F.to_json(_slack()).alias("payload"))
+        return lines.select("source", "checked_at", F.to_json(_slack(lines)).alias("payload"))
     keyed = drift.filter(F.col("has_drift")).select(*_CHECK, "has_drift", "changes")
     counted = keyed.withColumn("__tables", F.size(F.array_distinct(F.col("changes")["table"])))
     # The wording of the message.
@@ -60,11 +61,17 @@ def alert_payload(drift: DataFrame, style: str = "generic") -> DataFrame:
     return counted.select("source", "checked_at", F.to_json(F.struct(text.alias("text"), result)).alias("payload"))
 
 
-def _slack() -> Column:
+def _utc(df: DataFrame, name: str) -> Column:
+    """A time as the message shows it; a time without a zone is taken to be UTC."""
+    zoned = isinstance(df.schema[name].dataType, T.TimestampType)
+    at = F.to_utc_timestamp(name, F.current_timezone()) if zoned else F.col(name)
+    return F.date_format(at, "yyyy-MM-dd HH:mm 'UTC'")
+
+
+def _slack(df: DataFrame) -> Column:
     # The wording and block layout of the message.
     title = F.lit("⚠️ Schema Drift Detected")
     text = F.format_string("⚠️ Schema drift detected in `%s`", "source")
-    time = "yyyy-MM-dd HH:mm 'UTC'"
 
     def field(label: str, value: Column) -> Column:
         return F.struct(
@@ -74,8 +81,8 @@ def _slack() -> Column:
     fields = F.array(
         field("Source", F.concat(F.lit("`"), F.col("source"), F.lit("`"))),
         field("Changes", F.format_string("%d table(s)", "tables")),
-        field("Baseline", F.date_format("baseline_at", time)),
-        field("Detected", F.date_format("checked_at", time)),
+        field("Baseline", _utc(df, "baseline_at")),
+        field("Detected", _utc(df, "checked_at")),
     )
     no_text = F.lit(None).cast("struct<type:string,text:string>")
     no_fields = F.lit(None).cast("array<struct<type:string,text:string>>")
