@@ -273,14 +273,14 @@ def validate_verdict(spark, sf_dir):
     return V.validation_passed(result, by=["database"])
 
 
-# Each customer's tables are to keep at least as many orders as they gain columns.
+# The tables of the live state are to keep at least the rows of the baseline.
 _TABLE_COUNTS = f"""
-    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table", count(*) AS rows
-    FROM {{orders}} WHERE {I.LIVE_PERIOD} GROUP BY o_custkey, o_orderstatus"""
+    SELECT concat('cust_', o_custkey) AS database, {I.fleet_table(I.LIVE_LIMIT)} AS "table", count(*) AS rows
+    FROM {{orders}} GROUP BY concat('cust_', o_custkey), {I.fleet_table(I.LIVE_LIMIT)}"""
 _TABLE_RANGES = f"""
-    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table",
+    SELECT concat('cust_', o_custkey) AS database, {I.fleet_table(I.BASE_LIMIT)} AS "table",
            count(*) AS min_rows, CAST(NULL AS BIGINT) AS max_rows
-    FROM {{orders}} WHERE {I.BASELINE_PERIOD} GROUP BY o_custkey, o_orderstatus"""
+    FROM {{orders}} GROUP BY concat('cust_', o_custkey), {I.fleet_table(I.BASE_LIMIT)}"""
 
 
 @query("validate_data", _validated(_SPEC_KEY) + f""",

@@ -66,40 +66,52 @@ CUSTOMER_NULLS_AFTER = """
 
 # A fleet: each customer is a database, its order states are tables, the
 # priorities seen are columns typed by the prices seen, the months are indexes.
-# The baseline is what the earlier orders show, the live state what the later show.
-BASELINE_PERIOD = "o_orderdate < DATE '1998-04-15'"
-LIVE_PERIOD = "o_orderdate >= DATE '1998-04-15'"
-LATE_PERIOD = "o_orderdate >= DATE '1999-01-01'"
+# Every version is drawn from all orders; a later one files the dearer orders
+# under other tables, columns and indexes, which adds, removes and retypes some.
+def _status(limit: int | None) -> str:
+    return f"CASE WHEN o_orderstatus = 'P' AND o_totalprice >= {limit} THEN 'X' ELSE o_orderstatus END" if limit else "o_orderstatus"
 
 
-def catalog_of(period: str) -> str:
+def _priority(limit: int | None) -> str:
+    return (f"CASE WHEN o_orderstatus = 'F' AND o_totalprice >= {limit} THEN '9-LATER' ELSE o_orderpriority END"
+            if limit else "o_orderpriority")
+
+
+def _month(limit: int | None) -> str:
+    return f"CASE WHEN o_totalprice >= {limit} THEN 12 + month(o_orderdate) ELSE month(o_orderdate) END" if limit else "month(o_orderdate)"
+
+
+def fleet_table(limit: int | None) -> str:
+    """The name of the table an order belongs to."""
+    return f"concat('orders_', lower({_status(limit)}))"
+
+
+def catalog_of(limit: int | None, days: int) -> str:
     return f"""
-    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table",
-           CAST(substr(o_orderpriority, 1, 1) AS INT) AS ordinal, o_orderpriority AS "column",
+    SELECT concat('cust_', o_custkey) AS database, {fleet_table(limit)} AS "table",
+           CAST(substr({_priority(limit)}, 1, 1) AS INT) AS ordinal, {_priority(limit)} AS "column",
            CASE WHEN max(o_totalprice) >= 400000 THEN 'decimal(12,2)'
                 WHEN max(o_totalprice) >= 200000 THEN 'double' ELSE 'int' END AS type,
-           min(o_totalprice) >= 150000 AS not_null,
+           min(o_totalprice) >= {145000 if limit else 150000} AS not_null,
            CASE WHEN count(*) > 1 THEN '0' ELSE NULL END AS default_value,
-           CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 1 ELSE 0 END AS pk,
-           max(o_orderdate) AS captured_at, CAST(NULL AS STRING) AS error
-    FROM {{orders}} WHERE {period}
-    GROUP BY o_custkey, o_orderstatus, o_orderpriority"""
+           CASE WHEN substr({_priority(limit)}, 1, 1) = '1' THEN 1 ELSE 0 END AS pk,
+           max(o_orderdate) + INTERVAL '{days}' DAY AS captured_at, CAST(NULL AS STRING) AS error
+    FROM {{orders}}
+    GROUP BY o_custkey, {_status(limit)}, {_priority(limit)}"""
 
 
-def indexes_of(period: str) -> str:
+def indexes_of(limit: int | None) -> str:
     return f"""
-    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table",
-           concat('ix_', month(o_orderdate)) AS "index", count(*) = 1 AS is_unique
-    FROM {{orders}} WHERE {period}
-    GROUP BY o_custkey, o_orderstatus, month(o_orderdate)"""
+    SELECT concat('cust_', o_custkey) AS database, {fleet_table(limit)} AS "table",
+           concat('ix_', {_month(limit)}) AS "index", count(*) = 1 AS is_unique
+    FROM {{orders}}
+    GROUP BY o_custkey, {_status(limit)}, {_month(limit)}"""
 
 
-BASELINE = catalog_of(BASELINE_PERIOD)
-LIVE = catalog_of(LIVE_PERIOD)
-LATE = catalog_of(LATE_PERIOD)
-BASELINE_INDEXES = indexes_of(BASELINE_PERIOD)
-LIVE_INDEXES = indexes_of(LIVE_PERIOD)
-LATE_INDEXES = indexes_of(LATE_PERIOD)
+BASE_LIMIT, LIVE_LIMIT, LATE_LIMIT = None, 450000, 420000
+BASELINE, BASELINE_INDEXES = catalog_of(BASE_LIMIT, 0), indexes_of(BASE_LIMIT)
+LIVE, LIVE_INDEXES = catalog_of(LIVE_LIMIT, 30), indexes_of(LIVE_LIMIT)
+LATE, LATE_INDEXES = catalog_of(LATE_LIMIT, 60), indexes_of(LATE_LIMIT)
 
 # Event types as tables of a database per user, two of them internal.
 INTERNAL_TABLES = """
@@ -117,7 +129,7 @@ LINEITEM_BACKUP = """
 
 DOCUMENTS_BACKUP = "SELECT text, min(doc_id) AS doc_id FROM {documents} GROUP BY text"
 
-# Members of a fleet: the customers, spread over providers by their segment.
+# Members of a fleet: the customers, spread over providers by their segment, and the suppliers.
 REGISTRY = """
     SELECT c_custkey AS pos, concat('cust_', c_custkey) AS name,
            CASE c_mktsegment WHEN 'BUILDING' THEN concat('turso://tok', c_custkey, '@org/db', c_custkey)
@@ -125,7 +137,11 @@ REGISTRY = """
                              ELSE concat('/fleet/', c_custkey, '.db') END AS dsn,
            CASE WHEN c_acctbal < 0 THEN NULL ELSE concat('/base/', c_custkey) END AS baseline,
            CASE WHEN c_acctbal < 500 THEN NULL ELSE split(concat(lower(c_mktsegment), ',nation:', c_nationkey), ',') END AS tags
-    FROM {customer}"""
+    FROM {customer}
+    UNION ALL
+    SELECT -1 - s_suppkey AS pos, concat('supp_', s_suppkey) AS name, concat('/fleet/s', s_suppkey, '.db') AS dsn,
+           NULL AS baseline, split('supplier', ',') AS tags
+    FROM {supplier}"""
 
 # Newcomers and updates: the buyers, in the order they bought, some with tags.
 INCOMING = """

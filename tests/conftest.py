@@ -10,7 +10,7 @@ from driftkit.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
     session = build_session(
         "driftkit-tests",
@@ -18,6 +18,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
         spark__ui__enabled="false",
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -104,6 +104,20 @@ def test_only_differences_are_shuffled_twice(spark):
     assert "Join" not in plan
 
 
+def test_tables_bucketed_by_key_are_diffed_without_a_shuffle(spark, tmp_path):
+    orders = table(spark, SF_DIR, "orders")
+    for name in ("bucketed_old", "bucketed_new"):
+        orders.write.bucketBy(8, "o_orderkey").option("path", str(tmp_path / name)).saveAsTable(name)
+    try:
+        new = spark.table("bucketed_new").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+        counts = D.diff_counts(spark.table("bucketed_old"), new, ["o_orderkey"])
+        assert "Exchange hashpartitioning" not in executed(counts)
+        assert counts.first().asDict() == {"added": 0, "removed": 0, "changed": orders.count()}
+    finally:
+        for name in ("bucketed_old", "bucketed_new"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_row_listing_reuses_the_wide_shuffle(spark):
     old, new = table(spark, SF_DIR, "lineitem"), derive(spark, SF_DIR, I.LINEITEM_AFTER)
     plan = executed(D.diff_rows(old, new, I.LINEITEM_KEYS))
