@@ -1,8 +1,9 @@
 """Differences between the catalogs of databases, for a whole fleet at once.
 
 Both catalogs, and their index lists if given, are put together and grouped by
-table. One shuffle on (database, table) serves all of it, and no group is larger
-than the width of one table.
+column or index, which also folds rows captured twice before they are shuffled,
+and then by table. What is gathered per table is its changes, at most as many as
+it is wide.
 """
 
 from __future__ import annotations
@@ -110,11 +111,7 @@ def schema_diff(
     if new_indexes is not None:
         both = both.unionByName(_indexes(new_indexes, by, "new"))
 
-    items = (
-        both.repartition(*by, "table")
-        .groupBy(*by, "table", "part", "name")
-        .agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
-    )
+    items = both.groupBy(*by, "table", "part", "name").agg(F.max("old").alias("old"), F.max("new").alias("new"))
     is_column = F.col("part") == "column"
     kind = (
         F.when(is_column & F.col("old").isNull(), M.COLUMN_ADDED)
