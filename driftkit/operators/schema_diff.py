@@ -120,14 +120,15 @@ def schema_diff(
         .when(~is_column & F.col("old").isNull(), M.INDEX_ADDED)
         .when(~is_column & F.col("new").isNull(), M.INDEX_REMOVED)
     )
-    detail = F.when(kind == M.COLUMN_CHANGED, F.concat(F.col("old.type"), F.lit("→"), F.col("new.type")))
+    arrow = F.concat(F.col("old.type"), F.lit("→"), F.col("new.type"))
     change = F.struct(
-        kind.alias("kind"), F.col("name").alias("subject"), detail.alias("detail"), F.col("old"), F.col("new")
+        "kind", F.col("name").alias("subject"), F.when(F.col("kind") == M.COLUMN_CHANGED, arrow).alias("detail"),
+        "old", "new",
     )
-    tables = items.groupBy(*by, "table").agg(
+    tables = items.withColumn("kind", kind).groupBy(*by, "table").agg(
         F.bool_or(is_column & F.col("old").isNotNull()).alias("__in_old"),
         F.bool_or(is_column & F.col("new").isNotNull()).alias("__in_new"),
-        F.collect_list(F.when(kind.isNotNull(), change)).alias("__changes"),
+        F.collect_list(F.when(F.col("kind").isNotNull(), change)).alias("__changes"),
     )
     whole = F.array(F.struct(
         F.when(F.col("__in_new"), M.TABLE_ADDED).otherwise(M.TABLE_REMOVED).alias("kind"),

@@ -154,6 +154,17 @@ def apply_migration(
     return ApplyResult(True, version=staged, rows=written_rows, backup=backup)
 
 
+def rollout_dry_run(tables: DataFrame, migration: Migration, member: str) -> DataFrame:
+    """A dry run of all members in one job: ``tables`` holds their rows, told apart by ``member``.
+
+    What would break per member, and the ``state`` of each.
+    """
+    measured = migration_dry_run(
+        tables, migration.target, member, migration.defaults, migration.keys, migration.parents
+    )
+    return rollout_states(measured.withColumn("pos", F.col(member)), dry_run=True).drop("pos")
+
+
 _OUTCOME = T.StructType([
     T.StructField("pos", T.LongType()), T.StructField("database", T.StringType()),
     T.StructField("ok", T.BooleanType()), T.StructField("rows", T.LongType()), T.StructField("error", T.StringType()),

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from driftkit.functions import risk_text
 from driftkit.operators import migration as G
+from driftkit.plans import apply as A
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query, table
 from driftkit.queries.schema import diff_ctes, live_changes
@@ -180,6 +181,24 @@ def migration_dry_run(spark, sf_dir):
     )
 
 
+@query("rollout_dry_run", """
+    SELECT c_mktsegment, count(*) AS rows, CAST(0 AS BIGINT) AS lost_casts,
+           count(*) FILTER (c_acctbal < 0 AND c_mktsegment = 'BUILDING') AS null_violations,
+           CAST(0 AS BIGINT) AS duplicate_keys, CAST(0 AS BIGINT) AS orphan_rows,
+           count(*) FILTER (c_acctbal < 0 AND c_mktsegment = 'BUILDING') = 0 AS ok,
+           CASE WHEN count(*) FILTER (c_acctbal < 0 AND c_mktsegment = 'BUILDING') = 0 THEN 'dry-run' ELSE 'failed'
+           END AS state
+    FROM customer GROUP BY c_mktsegment""")
+def rollout_dry_run(spark, sf_dir):
+    members = table(spark, sf_dir, "customer").withColumn(
+        "c_acctbal", F.when((F.col("c_acctbal") >= 0) | (F.col("c_mktsegment") != "BUILDING"), F.col("c_acctbal"))
+    )
+    target = T.StructType([
+        T.StructField("c_custkey", T.StringType(), False), T.StructField("c_acctbal", T.DoubleType(), False),
+    ])
+    return A.rollout_dry_run(members, A.Migration(target, keys=["c_custkey"]), "c_mktsegment")
+
+
 @query("migration_dry_run_lines", """
     SELECT l_shipdate, count(*) AS rows, CAST(0 AS BIGINT) AS lost_casts, CAST(0 AS BIGINT) AS null_violations,
            CAST(0 AS BIGINT) AS duplicate_keys, CAST(0 AS BIGINT) AS orphan_rows, true AS ok
