@@ -63,7 +63,10 @@ def check_row_ranges(counts: DataFrame, ranges: DataFrame, by: Sequence[str] = (
     """
     rows = F.coalesce(F.col("rows"), F.lit(0).cast("bigint"))
     outside = F.coalesce(rows < F.col("min_rows"), F.lit(False)) | F.coalesce(rows > F.col("max_rows"), F.lit(False))
-    bound = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    def bound(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
     return (
         ranges.join(counts, [*by, "table"], "left")
         .filter(outside)

@@ -37,7 +37,7 @@ def shared_columns(old: DataFrame, new: DataFrame) -> list[str]:
     return [c for c in new.columns if c in have]
 
 
-def _is_map(dtype: T.DataType) -> bool:
+def _is_nested(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
 
 
@@ -69,7 +69,7 @@ def _aligned(
             left.append(text_form(_c(name), was).alias(name))
             right.append(text_form(_c(name), now).alias(name))
             continue
-        if was == now or (_is_map(was) and was.simpleString() == now.simpleString()):
+        if was == now or (_is_nested(was) and was.simpleString() == now.simpleString()):
             left.append(comparable(_c(name), was).alias(name))
             right.append(comparable(_c(name), now).alias(name))
             continue
@@ -226,7 +226,11 @@ def diff_rows(
 def diff_cells(
     old: DataFrame, new: DataFrame, keys: Sequence[str], compare: str = "typed", mode: str = "exact"
 ) -> DataFrame:
-    """Cells of changed rows that differ: keys, ``column``, ``old``, ``new`` as text."""
+    """Cells of changed rows that differ: keys, ``column``, ``old``, ``new`` as text.
+
+    Rows of a repeated key of which several differ have no counterparts, so
+    ``diff_rows`` lists them and they have no cells here.
+    """
     columns = shared_columns(old, new)
     keys = _check_keys(keys, columns)
     values = [c for c in columns if c not in keys]

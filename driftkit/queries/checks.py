@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftkit.functions import change_text
 from driftkit.operators import checks as C
-from driftkit.operators import data_diff as D
 from driftkit.operators import schema_diff as S
 from driftkit.operators import validation as V
 from driftkit.plans import compare as P
@@ -173,7 +173,10 @@ def backup_check(spark, sf_dir):
     reference = tables(spark, sf_dir, "customer", "events", "lineitem", "orders")
     keys = {"customer": ["c_custkey"], "orders": ["o_custkey"], "lineitem": I.LINEITEM_KEYS}
     report = P.check(spark, backup, reference, True, keys, {"events": ["user_id"]})
-    line = lambda t: F.concat_ws(" ", t["table"], t["backup_rows"], t["reference_rows"], t["rows_match"].cast("string"))
+
+    def line(t):
+        return F.concat_ws(" ", t["table"], t["backup_rows"], t["reference_rows"], t["rows_match"].cast("string"))
+
     return report.select(
         "integrity_ok", F.array_join("integrity_errors", "; ").alias("integrity_errors"), "schema_ok",
         "schema_changes", "data_ok", F.array_join(F.transform("tables", line), "; ").alias("tables"), "passed",
@@ -200,8 +203,6 @@ _DB_KEYS = {"orders": ["o_orderkey"], "documents": ["doc_id"]}
         ('documents', 'documents.lang: column removed '), ('documents', 'documents.source: column removed '),
         ('documents', 'documents.n_chars: column removed ')) v(t, c)""")
 def diff_database(spark, sf_dir):
-    from driftkit.functions import change_text
-
     old = tables(spark, sf_dir, "customer", "documents", "events", "orders")
     new = {
         **tables(spark, sf_dir, "events", "labels"),

@@ -131,10 +131,11 @@ _DRIFT = f"""
 
 @query("drift_check", _DRIFT + "SELECT * FROM d")
 def drift_check(spark, sf_dir):
-    line = lambda c: F.concat(
-        c["kind"], F.lit(" "), c["table"], F.coalesce(F.concat(F.lit("."), c["subject"]), F.lit("")),
-        F.coalesce(F.concat(F.lit(" "), c["detail"]), F.lit("")),
-    )
+    def line(c):
+        subject = F.coalesce(F.concat(F.lit("."), c["subject"]), F.lit(""))
+        detail = F.coalesce(F.concat(F.lit(" "), c["detail"]), F.lit(""))
+        return F.concat(c["kind"], F.lit(" "), c["table"], subject, detail)
+
     return _drift(spark, sf_dir).withColumn("changes", F.array_join(F.transform("changes", line), "; ")).drop("error")
 
 

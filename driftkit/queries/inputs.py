@@ -68,17 +68,20 @@ CUSTOMER_NULLS_AFTER = """
 # priorities seen are columns typed by the prices seen, the months are indexes.
 # Every version is drawn from all orders; a later one files the dearer orders
 # under other tables, columns and indexes, which adds, removes and retypes some.
+def _dearer(limit: int | None, condition: str, then: str, usual: str) -> str:
+    return f"CASE WHEN {condition} AND o_totalprice >= {limit} THEN {then} ELSE {usual} END" if limit else usual
+
+
 def _status(limit: int | None) -> str:
-    return f"CASE WHEN o_orderstatus = 'P' AND o_totalprice >= {limit} THEN 'X' ELSE o_orderstatus END" if limit else "o_orderstatus"
+    return _dearer(limit, "o_orderstatus = 'P'", "'X'", "o_orderstatus")
 
 
 def _priority(limit: int | None) -> str:
-    return (f"CASE WHEN o_orderstatus = 'F' AND o_totalprice >= {limit} THEN '9-LATER' ELSE o_orderpriority END"
-            if limit else "o_orderpriority")
+    return _dearer(limit, "o_orderstatus = 'F'", "'9-LATER'", "o_orderpriority")
 
 
 def _month(limit: int | None) -> str:
-    return f"CASE WHEN o_totalprice >= {limit} THEN 12 + month(o_orderdate) ELSE month(o_orderdate) END" if limit else "month(o_orderdate)"
+    return _dearer(limit, "o_orderdate IS NOT NULL", "12 + month(o_orderdate)", "month(o_orderdate)")
 
 
 def fleet_table(limit: int | None) -> str:

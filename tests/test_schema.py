@@ -4,7 +4,6 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException  # noqa: F401
 
 from driftkit import model as M
 from driftkit.functions import change_text, risk_text

@@ -24,7 +24,8 @@ def build(path, *statements):
 def files(tmp_path):
     build(tmp_path / "a.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT NOT NULL DEFAULT 'x', v REAL)",
           "CREATE UNIQUE INDEX idx_name ON users (name)", "INSERT INTO users VALUES (1, 'ann', 1.5), (2, 'bob', 'odd')")
-    build(tmp_path / "b.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT)", "CREATE TABLE logs (id INTEGER PRIMARY KEY AUTOINCREMENT)",
+    build(tmp_path / "b.db", "CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT)",
+          "CREATE TABLE logs (id INTEGER PRIMARY KEY AUTOINCREMENT)",
           "INSERT INTO users VALUES (1, 'cy')")
     build(tmp_path / "empty.db")
     (tmp_path / "broken.db").write_bytes(b"this is not a database, but long enough to be read as one" * 20)
