@@ -1,6 +1,7 @@
 """Row comparison on small and random tables."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -209,6 +210,24 @@ def test_page_and_total(spark):
     assert [r["id"] for r in after.collect()] == [13, 14, 15]
 
 
+def test_deep_page_is_exact_and_ranks_few_rows(spark):
+    df = spark.range(0, 200_000, 1, 8).select(
+        (F.col("id") % 1000).alias("a"), F.col("id").alias("b"),
+        F.when(F.col("id") % 4 > 0, F.timestamp_seconds("id").cast("timestamp_ntz")).alias("t"))
+    rows, _ = D.page(df, ["a", "b"], limit=3, offset=150_000, within=500)
+    assert [tuple(r)[:2] for r in rows.collect()] == [(750, 750), (750, 1750), (750, 2750)]
+    ranked = int(re.search(r"TakeOrderedAndProject\(limit=(\d+)", rows._jdf.queryExecution().toString()).group(1))
+    assert ranked < 2000
+    times, _ = D.page(df, ["t", "b"], limit=2, offset=120_000, within=500)
+    want = df.orderBy("t", "b").offset(120_000).limit(2).collect()
+    assert times.collect() == want
+    after, _ = D.page(df, ["t", "b"], limit=1, after=[want[0]["t"], want[0]["b"]])
+    assert after.collect() == want[1:]
+    nulls, _ = D.page(df, ["t", "b"], limit=1, offset=40_000, within=500)
+    assert nulls.first()["b"] == 160_000
+    assert D.page(df, ["a"], limit=2, offset=300_000, within=500)[0].count() == 0
+
+
 def test_tables_of_two_databases(spark):
     t = frame(spark, OLD)
     got = D.diff_tables_data(
