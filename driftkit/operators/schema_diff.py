@@ -1,9 +1,9 @@
 """Differences between the catalogs of databases, for a whole fleet at once.
 
 Both catalogs, and their index lists if given, are put together and grouped by
-column or index, which also folds rows captured twice before they are shuffled,
-and then by table. What is gathered per table is its changes, at most as many as
-it is wide.
+all that is known of a column or index, so that what both sides have alike, or
+what was captured twice, folds into one row. Only what differs is shuffled again
+to pair old and new, and dropped where the whole table came or went.
 """
 
 from __future__ import annotations
@@ -14,11 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftkit import model as M
+from driftkit.operators.keyed import membership
 from driftkit.sources.tables import INTERNAL_PREFIXES
 
 DATABASE = ("database",)
 
-_ITEM = "struct<type:string,not_null:boolean,default_value:string,pk:int,is_unique:boolean>"
+# What is known of a column or an index, and its type.
+_PROPERTIES = {
+    "type": "string", "not_null": "boolean", "default_value": "string", "pk": "int", "is_unique": "boolean",
+}
+_ITEM = "struct<" + ",".join(f"{p}:{t}" for p, t in _PROPERTIES.items()) + ">"
 
 
 def user_tables(catalog: DataFrame) -> DataFrame:
@@ -35,44 +40,22 @@ def readable(catalog: DataFrame) -> DataFrame:
     return rows.filter(F.col("error").isNull()) if "error" in catalog.columns else rows
 
 
-def _columns(catalog: DataFrame, by: Sequence[str], side: str) -> DataFrame:
-    have = set(catalog.columns)
-    extra = {"default_value": "string", "pk": "int"}
-    item = F.struct(
-        F.col("type").alias("type"),
-        F.col("not_null").alias("not_null"),
-        *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in extra.items()],
-        F.lit(None).cast("boolean").alias("is_unique"),
-    )
-    return _side(readable(user_tables(catalog)), by, "column", item, side)
-
-
-def _indexes(indexes: DataFrame, by: Sequence[str], side: str) -> DataFrame:
-    item = F.struct(
-        F.lit(None).cast("string").alias("type"),
-        F.lit(None).cast("boolean").alias("not_null"),
-        F.lit(None).cast("string").alias("default_value"),
-        F.lit(None).cast("int").alias("pk"),
-        F.col("is_unique").alias("is_unique"),
-    )
-    return _side(readable(user_tables(indexes)), by, "index", item, side)
-
-
-def _side(rows: DataFrame, by: Sequence[str], part: str, item: Column, side: str) -> DataFrame:
-    nothing = F.lit(None).cast(_ITEM)
-    return rows.select(
+def _items(rows: DataFrame, by: Sequence[str], part: str, side: str) -> DataFrame:
+    """Columns or indexes of one side, with the properties that side's frame has."""
+    have = set(rows.columns)
+    return readable(user_tables(rows)).select(
         *by, "table", F.lit(part).alias("part"), F.col(part).alias("name"),
-        (item if side == "old" else nothing).cast(_ITEM).alias("old"),
-        (item if side == "new" else nothing).cast(_ITEM).alias("new"),
+        *[(F.col(p) if p in have else F.lit(None)).cast(t).alias(p) for p, t in _PROPERTIES.items()],
+        F.lit(int(side == "old")).alias("__old"), F.lit(int(side == "new")).alias("__new"),
     )
 
 
 def diff_tables(old: DataFrame, new: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame:
     """Tables only one catalog has: ``kind, table, columns``."""
-    both = _columns(old, by, "old").unionByName(_columns(new, by, "new"))
+    both = _items(old, by, "column", "old").unionByName(_items(new, by, "column", "new"))
     return (
         both.groupBy(*by, "table")
-        .agg(F.count("old").alias("__old"), F.count("new").alias("__new"))
+        .agg(F.sum("__old").alias("__old"), F.sum("__new").alias("__new"))
         .filter("__old = 0 or __new = 0")
         .select(
             *by,
@@ -88,7 +71,7 @@ def _is_changed(compare_default: bool, compare_pk: bool) -> Column:
     differs = F.lit(False)
     for f in fields:
         differs = differs | ~F.col(f"old.{f}").eqNullSafe(F.col(f"new.{f}"))
-    return (F.col("part") == "column") & F.col("old").isNotNull() & F.col("new").isNotNull() & differs
+    return F.col("old").isNotNull() & F.col("new").isNotNull() & differs
 
 
 def schema_diff(
@@ -105,46 +88,50 @@ def schema_diff(
     A table only one side has is one change; its columns and indexes are not
     listed. A column has changed when its type or NOT NULL differs.
     """
-    both = _columns(old, by, "old").unionByName(_columns(new, by, "new"))
+    both = _items(old, by, "column", "old").unionByName(_items(new, by, "column", "new"))
     if old_indexes is not None:
-        both = both.unionByName(_indexes(old_indexes, by, "old"))
+        both = both.unionByName(_items(old_indexes, by, "index", "old"))
     if new_indexes is not None:
-        both = both.unionByName(_indexes(new_indexes, by, "new"))
+        both = both.unionByName(_items(new_indexes, by, "index", "new"))
 
-    items = both.groupBy(*by, "table", "part", "name").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    # What both sides have alike becomes one row here and goes no further.
+    items = both.groupBy(*by, "table", "part", "name", *_PROPERTIES).agg(
+        F.max("__old").alias("__old"), F.max("__new").alias("__new")
+    )
     is_column = F.col("part") == "column"
+    one_sided = (
+        items.groupBy(*by, "table")
+        .agg(*[F.max(F.when(is_column, F.col(s)).otherwise(0)).alias(s) for s in ("__old", "__new")])
+        .filter("__old + __new < 2")
+    )
+    nothing = F.lit(None).cast("string")
+    no_item = F.lit(None).cast(_ITEM)
+    tables = one_sided.filter("__old + __new = 1").select(
+        *by, F.when(F.col("__new") == 1, M.TABLE_ADDED).otherwise(M.TABLE_REMOVED).alias("kind"), "table",
+        nothing.alias("subject"), nothing.alias("detail"), no_item.alias("old"), no_item.alias("new"),
+    )
+    item = F.struct(*_PROPERTIES)
+    pairs = (
+        items.filter(F.col("__old") != F.col("__new"))
+        .groupBy(*by, "table", "part", "name")
+        .agg(
+            F.max(F.when(F.col("__old") == 1, item)).alias("old"),
+            F.max(F.when(F.col("__new") == 1, item)).alias("new"),
+        )
+    )
     kind = (
         F.when(is_column & F.col("old").isNull(), M.COLUMN_ADDED)
         .when(is_column & F.col("new").isNull(), M.COLUMN_REMOVED)
-        .when(_is_changed(compare_default, compare_pk), M.COLUMN_CHANGED)
+        .when(is_column & _is_changed(compare_default, compare_pk), M.COLUMN_CHANGED)
         .when(~is_column & F.col("old").isNull(), M.INDEX_ADDED)
         .when(~is_column & F.col("new").isNull(), M.INDEX_REMOVED)
     )
-    arrow = F.concat(F.col("old.type"), F.lit("→"), F.col("new.type"))
-    change = F.struct(
-        "kind", F.col("name").alias("subject"), F.when(F.col("kind") == M.COLUMN_CHANGED, arrow).alias("detail"),
-        "old", "new",
-    )
-    tables = items.withColumn("kind", kind).groupBy(*by, "table").agg(
-        F.bool_or(is_column & F.col("old").isNotNull()).alias("__in_old"),
-        F.bool_or(is_column & F.col("new").isNotNull()).alias("__in_new"),
-        F.collect_list(F.when(F.col("kind").isNotNull(), change)).alias("__changes"),
-    )
-    whole = F.array(F.struct(
-        F.when(F.col("__in_new"), M.TABLE_ADDED).otherwise(M.TABLE_REMOVED).alias("kind"),
-        F.lit(None).cast("string").alias("subject"),
-        F.lit(None).cast("string").alias("detail"),
-        F.lit(None).cast(_ITEM).alias("old"),
-        F.lit(None).cast(_ITEM).alias("new"),
-    ))
-    return (
-        tables.filter(F.col("__in_old") | F.col("__in_new"))
-        .select(
-            *by, "table",
-            F.explode(F.when(F.col("__in_old") & F.col("__in_new"), F.col("__changes")).otherwise(whole)).alias("c"),
-        )
-        .select(*by, "c.kind", "table", "c.subject", "c.detail", "c.old", "c.new")
+    types = F.concat(F.col("old.type"), F.lit("→"), F.col("new.type"))
+    inside = pairs.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
+        *by, "kind", "table", F.col("name").alias("subject"),
+        F.when(F.col("kind") == M.COLUMN_CHANGED, types).alias("detail"), "old", "new",
     )
+    return tables.unionByName(membership(inside, one_sided, [*by, "table"], present=False))
 
 
 def diff_columns(old: DataFrame, new: DataFrame, by: Sequence[str] = DATABASE, **switches: bool) -> DataFrame:
