@@ -205,6 +205,27 @@ def test_broken_spec_fails(spark, tmp_path):
         specs.load_spec(spark, str(path))[0].collect()
 
 
+def test_schema_diff_is_mirrored_and_ignores_repeats(spark):
+    old = cat(spark, {**USERS, "gone": [("id", "INT")], "odd": [("a", "INT"), ("b", "TEXT")]})
+    new = cat(spark, {**USERS, "logs": [("id", "INT")], "odd": [("a", "BIGINT"), ("c", "TEXT")]})
+    swap = {"added": "removed", "removed": "added"}
+
+    def turned(kind):
+        noun, verb = kind.rsplit(" ", 1)
+        return f"{noun} {swap.get(verb, verb)}"
+
+    there = {(k, t, s) for k, t, s, _ in listed(S.schema_diff(old, new))}
+    back = {(turned(k), t, s) for k, t, s, _ in listed(S.schema_diff(new, old))}
+    assert there == back and len(there) == 5
+    twice = S.schema_diff(old.unionByName(old), new.unionByName(new).unionByName(new))
+    assert twice.count() == 5 and {(k, t, s) for k, t, s, _ in listed(twice)} == there
+
+
+def test_indexes_of_unknown_tables_are_left_out(spark):
+    stray = idx(spark, [("nowhere", "i", False)])
+    assert S.schema_diff(cat(spark, USERS), cat(spark, USERS), None, stray).count() == 0
+
+
 def test_summary_and_detail(spark):
     changes = full_diff(spark)
     assert S.change_summary(changes).first().asDict() == {
