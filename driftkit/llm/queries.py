@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..queries.base import table
 from .jaccard_join import jaccard_classes
 from .language_id import language_report
+from .quality import quality_scores
 from .topk import top_k
 
 _SQL: dict[str, str] = {}
@@ -22,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +48,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op6_topk, op7_jaccard_join)}
+    return {f.__name__: f for f in (op2_language_id, op4_quality, op6_topk, op7_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
