@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..queries.base import table
 from .jaccard_join import jaccard_classes
 from .language_id import language_report
 from .quality import quality_scores
+from .sentencepiece_codec import encoded_documents
 from .topk import top_k
 
+#: A public vocabulary of the installed tokenizer files.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 _SQL: dict[str, str] = {}
 
 
@@ -47,8 +52,14 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and a checksum of the ids, and whether parity and the round trip hold."""
+    out = encoded_documents(table(spark, sf_dir, "documents"), MODEL)
+    return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc"), "parity", "round_trip")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_quality, op6_topk, op7_jaccard_join)}
+    return {f.__name__: f for f in (op2_language_id, op4_quality, op6_topk, op7_jaccard_join, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
