@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.base import table
+from .html_text import extract, learn_weights
 from .jaccard_join import jaccard_classes
 from .language_id import language_report
 from .quality import quality_scores
@@ -28,6 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, learn_weights(pages))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,7 +65,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_quality, op6_topk, op7_jaccard_join, op9_sentencepiece)}
+    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op6_topk, op7_jaccard_join, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
