@@ -13,11 +13,15 @@ from .jaccard_join import jaccard_classes
 from .language_id import language_report
 from .quality import quality_scores
 from .sentencepiece_codec import encoded_documents
+from .surrogates import HINT, PATTERN, with_surrogates
 from .topk import top_k
 
 #: A public vocabulary of the installed tokenizer files.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: The key of the surrogates; a deployment passes its own secret.
+KEY = "driftkit"
+
 _SQL: dict[str, str] = {}
 
 
@@ -64,8 +68,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc"), "parity", "round_trip")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data; ``n_replaced`` counts the mentions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mentions = F.when(F.col("text").rlike(HINT), F.regexp_count("text", F.lit(PATTERN))).otherwise(0)
+    return with_surrogates(docs.withColumn("n_replaced", mentions), KEY)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op6_topk, op7_jaccard_join, op9_sentencepiece)}
+    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op6_topk, op7_jaccard_join, op9_sentencepiece, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
