@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.base import table
+from .decontamination import leaks
 from .html_text import extract, learn_weights
 from .jaccard_join import jaccard_classes
 from .language_id import language_report
@@ -42,6 +43,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -76,7 +81,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op6_topk, op7_jaccard_join, op9_sentencepiece, op10_surrogates)}
+    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op5_decontamination, op6_topk, op7_jaccard_join, op9_sentencepiece, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
