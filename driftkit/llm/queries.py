@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..queries.base import table
+from ..queries.base import derive, duck, table
 from .decontamination import leaks
 from .html_text import extract, learn_weights
 from .jaccard_join import jaccard_classes
 from .language_id import language_report
 from .quality import quality_scores
+from .quotations import linked_conversations
 from .sentencepiece_codec import encoded_documents
 from .surrogates import HINT, PATTERN, with_surrogates
 from .topk import top_k
@@ -67,6 +68,65 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+#: The conversations as mail: each message quotes the one that it answers, and that one's answer in turn.
+MAIL = """
+SELECT c.conv_id, c.turn, c.role,
+  coalesce(c.text, '') || CASE WHEN p.turn IS NULL THEN '' ELSE chr(10) || chr(10) || 'On turn ' || CAST(p.turn AS VARCHAR(20)) || ' '
+    || p.role || ' wrote:' || chr(10) || '> ' || replace(coalesce(p.text, ''), chr(10), chr(10) || '> ') END
+  || CASE WHEN q.turn IS NULL THEN '' ELSE chr(10) || '>> ' || replace(coalesce(q.text, ''), chr(10), chr(10) || '>> ') END AS text
+FROM {conversations} c
+LEFT JOIN {conversations} p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 - (c.conv_id + c.turn) % 2
+LEFT JOIN {conversations} q ON q.conv_id = p.conv_id AND q.turn = p.turn - 1 - (p.conv_id + p.turn) % 2
+"""
+
+
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_conversations(derive(spark, sf_dir, MAIL))
+
+
+_SQL["op8_quotations"] = rf"""
+WITH RECURSIVE mail AS {duck(MAIL)},
+lines AS (
+  SELECT conv_id, turn, n, length(replace(replace(regexp_extract(x, '^(?:[ \t]*>)+'), ' ', ''), chr(9), '')) AS level,
+    trim(regexp_replace(x, '^(?:[ \t]*>)+', '')) AS body
+  FROM (SELECT conv_id, turn, unnest(l) AS x, generate_subscripts(l, 1) AS n
+        FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM mail))
+), kept AS (
+  SELECT * FROM (SELECT *, lead(level, 1, 0) OVER (PARTITION BY conv_id, turn ORDER BY n) AS next FROM lines)
+  WHERE NOT (regexp_matches(body, '(?i)(?:wrote|writes|schrieb|schreibt|a écrit|écrit|escribió|escribe) ?:$') AND next > level)
+), levels AS (SELECT DISTINCT conv_id, turn, level FROM kept
+), joined AS (
+  SELECT l.conv_id, l.turn, l.level, string_agg(CASE WHEN k.level = l.level THEN k.body ELSE chr(1) END, ' ' ORDER BY k.n) AS t
+  FROM levels l JOIN kept k ON k.conv_id = l.conv_id AND k.turn = l.turn GROUP BY ALL
+), passages AS (
+  SELECT DISTINCT conv_id, turn, level, p FROM (
+    SELECT conv_id, turn, level, lower(trim(regexp_replace(u, '\s+', ' ', 'g'))) AS p FROM (
+      SELECT conv_id, turn, level, unnest(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS u FROM joined))
+  WHERE p <> ''
+), linked AS (
+  SELECT q.conv_id, q.turn, q.level, q.p, max(w.turn) AS source
+  FROM passages q LEFT JOIN passages w ON w.conv_id = q.conv_id AND w.level = 0 AND w.p = q.p AND w.turn < q.turn
+  WHERE q.level > 0 GROUP BY ALL
+), votes AS (SELECT conv_id, turn, level, source, count(*) AS n FROM linked GROUP BY ALL
+), counts AS (
+  SELECT conv_id, turn, max(CASE WHEN level = 1 AND source IS NOT NULL THEN {{'n': n, 'source': source}} END).source AS reply_to,
+    sum(n) AS n_quoted, sum(CASE WHEN source IS NOT NULL THEN n END) AS n_linked
+  FROM votes GROUP BY ALL
+), replies AS (SELECT m.conv_id, m.turn, c.reply_to FROM mail m LEFT JOIN counts c USING (conv_id, turn)
+), threads AS (
+  SELECT conv_id, turn, turn AS thread, 0 AS depth FROM replies WHERE reply_to IS NULL
+  UNION ALL
+  SELECT r.conv_id, r.turn, t.thread, t.depth + 1 FROM replies r JOIN threads t ON r.conv_id = t.conv_id AND r.reply_to = t.turn
+), own AS (
+  SELECT conv_id, turn, regexp_replace(string_agg(body, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS text
+  FROM kept WHERE level = 0 GROUP BY ALL
+)
+SELECT m.conv_id, m.turn, m.role, c.reply_to, t.thread, t.depth, CAST(coalesce(c.n_quoted, 0) AS BIGINT) AS n_quoted,
+  CAST(coalesce(c.n_linked, 0) AS BIGINT) AS n_linked, coalesce(o.text, '') AS text
+FROM mail m LEFT JOIN counts c USING (conv_id, turn) LEFT JOIN threads t USING (conv_id, turn) LEFT JOIN own o USING (conv_id, turn)
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and a checksum of the ids, and whether parity and the round trip hold."""
     out = encoded_documents(table(spark, sf_dir, "documents"), MODEL)
@@ -81,7 +141,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op5_decontamination, op6_topk, op7_jaccard_join, op9_sentencepiece, op10_surrogates)}
+    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op5_decontamination, op6_topk, op7_jaccard_join, op8_quotations, op9_sentencepiece, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
