@@ -16,6 +16,7 @@ from .quality import quality_scores
 from .quotations import linked_conversations
 from .sentencepiece_codec import encoded_documents
 from .surrogates import HINT, PATTERN, with_surrogates
+from .token_shards import write_shards
 from .topk import top_k
 
 #: A public vocabulary of the installed tokenizer files.
@@ -31,6 +32,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the shards that are written, a row per sequence."""
+    return write_shards(table(spark, sf_dir, "documents"), MODEL)[0]
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -141,7 +147,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_html_text, op4_quality, op5_decontamination, op6_topk, op7_jaccard_join, op8_quotations, op9_sentencepiece, op10_surrogates)}
+    return {f.__name__: f for f in (op1_token_shards, op2_language_id, op3_html_text, op4_quality, op5_decontamination, op6_topk, op7_jaccard_join, op8_quotations, op9_sentencepiece, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
