@@ -22,10 +22,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage.
 
     A lost executor then costs a read of files, not a recomputation of all
-    that came before.
+    that came before. The shuffle files of the steps up to here are garbage
+    now; Spark deletes them when the driver collects its own, so it is asked to.
     """
     path = scratch(df, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

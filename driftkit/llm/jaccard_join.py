@@ -13,15 +13,18 @@ lies in one band together.
 No text is ever compared with all others:
 
 * equal sets are one class, found by a key before anything else;
+* features that repeat inside a block of documents have partitions of their
+  own, ordered last, so that passages which many documents share sign nothing
+  unless a set consists of them;
 * a signature that more than ``hot`` classes share is taken out, and the
-  classes under it are signed again with common features (those in more than
-  ``hot`` of these classes) in partitions of their own, ordered last; what they
-  share then is rare, unless they consist of common features;
+  classes under it are signed again, with the features that more than ``hot`` of
+  these classes hold ordered last;
 * the classes of a signature are compared with its smallest one only; after
   the links so found are joined into components, only members of different
-  components are compared.
+  components are compared, in blocks where they are more than ``hot``.
 
-Every comparison is exact.
+Pairs whose parity bitmaps differ in more bits than their sets may differ in
+features cannot link; the texts of the others are compared exactly.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from .components import components
 
 _STEP, _REACH = 4, 16 / 3  # a band holds sizes from 4^i to 4^i * 16/3
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_FEW_BITS, _MOST_BITS = 1 << 10, 1 << 17
+BLOCK, OFTEN = 2_000_000, 3
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -90,53 +95,175 @@ def signatures(features: np.ndarray, common: np.ndarray | None = None) -> np.nda
     return np.concatenate(out)
 
 
-def _set_rows(with_signatures: bool):
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+    """Size and key of every set; also the features found ``OFTEN`` times or more in a block of different sets."""
+    seen: set[bytes] = set()
+    block, held = [], 0
+
+    def repeated() -> dict:
+        nonlocal block, held
+        f, n = np.unique(np.concatenate(block), return_counts=True)
+        block, held = [], 0
+        often = n >= OFTEN
+        return {
+            "doc_id": [None], "n_shingles": [None], "high": [None], "low": [None],
+            "features": [f[often].view(np.int64)], "times": [n[often].astype(np.int32)],
+        }
+
+    for batch in batches:
+        ids, sizes, highs, lows = batch.column(0).to_pylist(), [], [], []
+        for text in batch.column(1).to_pylist():
+            features = shingles(text)
+            key = xxhash.xxh3_128_digest(features.tobytes())
+            high, low = np.frombuffer(key, np.int64).tolist()
+            sizes.append(len(features))
+            highs.append(high)
+            lows.append(low)
+            if key not in seen:
+                seen.add(key)
+                block.append(features)
+                held += len(features)
+                if held > BLOCK:
+                    yield repeated()
+        none = [None] * len(ids)
+        yield {"doc_id": ids, "n_shingles": sizes, "high": highs, "low": lows, "features": none, "times": none}
+    if block:
+        yield repeated()
+
+
+def _signed(common):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
         seen: set[bytes] = set()
         for batch in batches:
-            ids, sizes, highs, lows, signed = [], [], [], [], []
+            ids, signed = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 features = shingles(text)
                 key = xxhash.xxh3_128_digest(features.tobytes())
-                high, low = np.frombuffer(key, np.int64).tolist()
-                if with_signatures:  # equal sets met earlier in this task say nothing new
-                    if not len(features) or key in seen:
-                        continue
-                    seen.add(key)
-                    signed.append(signatures(features).view(np.int64))
+                if not len(features) or key in seen:  # equal sets met earlier in this task say nothing new
+                    continue
+                seen.add(key)
                 ids.append(doc)
-                sizes.append(len(features))
-                highs.append(high)
-                lows.append(low)
-            if with_signatures:
-                yield {"doc_id": ids, "sigs": signed}
-            else:
-                yield {"doc_id": ids, "n_shingles": sizes, "high": highs, "low": lows}
+                signed.append(signatures(features, among(features, common.value)).view(np.int64))
+            yield {"doc_id": ids, "sigs": signed}
+
+    return work
+
+
+def among(features: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """1 for the features that the sorted array ``known`` holds, else 0."""
+    if not len(known):
+        return np.zeros(len(features), np.uint64)
+    at = np.minimum(np.searchsorted(known, features), len(known) - 1)
+    return (known[at] == features).astype(np.uint64)
+
+
+def sketch(features: np.ndarray) -> bytes:
+    """The parity of the features in each of some buckets: sets that differ in d features differ in d bits at most.
+
+    About four buckets a feature, a power of two; a long sketch folds into a short one.
+    """
+    bits = min(_MOST_BITS, max(_FEW_BITS, 1 << (4 * len(features) - 1).bit_length()))
+    return np.packbits(np.bincount((mix(features, 600) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A sketch of ``size`` bytes from one that is as long or longer."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _may_differ(both):
+    """The most features in which two linked sets of ``both`` features together differ."""
+    return both - 2 * -(-3 * both // 7)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        yield {
+            "rep": batch.column(0), "text": batch.column(1), "warm": batch.column(2),
+            "size": [len(f) for f in sets], "bits": [sketch(f) for f in sets],
+        }
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+    for batch in batches:
+        yield {"features": [shingles(t).view(np.int64) for t in batch.column(0).to_pylist()]}
+
+
+def _resigned(common):
+    """Signs with the features ``common`` last: a sorted array that is broadcast, or else a column."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+        for batch in batches:
+            out = []
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            for row in zip(*columns):
+                f = shingles(row[0])
+                known = common.value if common is not None else np.sort(np.array(row[1] or [], np.int64).view(np.uint64))
+                out.append(signatures(f, among(f, known)).view(np.int64))
+            yield {"rep": batch.column(0), "size": batch.column(1), "sigs": out}
 
     return work
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
     for batch in batches:
-        sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield {"rep": batch.column(0), "features": sets}
+        a, b, sa, sb = (np.asarray(c) for c in batch.columns[:4])
+        keep = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            size = min(len(x), len(y))
+            differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+            keep[k] = differ <= _may_differ(int(sa[k]) + int(sb[k]))
+        yield {"a": a[keep], "b": b[keep]}
+
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+    """Pairs of different components whose sketches may link, group by group of rows sorted by group.
+
+    A group is a pair of blocks of one signature's classes; nothing but the pairs that pass is given out.
+    """
+    held: list[tuple] = []
+
+    def pairs() -> dict:
+        reps, sizes, components = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
+        sides = np.array([r[4] for r in held])
+        size = min(len(r[5]) for r in held)
+        bits = np.stack([folded(r[5], size) for r in held]).view(np.uint64)
+        left = np.flatnonzero(sides != 1)
+        right = np.flatnonzero(sides != 0)
+        names, counts = np.unique(components, return_counts=True)
+        main = names[counts.argmax()]
+        found = []
+        for i in left:
+            # a pair with a member of the main component is looked at from the other side
+            if components[i] == main and (sides == 2).all():
+                continue
+            both = sizes[i] + sizes[right]
+            differ = np.bitwise_count(bits[right] ^ bits[i]).sum(1, dtype=np.int64)
+            good = (components[right] != components[i]) & (differ <= _may_differ(both))
+            good &= 4 * np.minimum(sizes[right], sizes[i]) >= 3 * np.maximum(sizes[right], sizes[i])
+            found += [(min(reps[i], r), max(reps[i], r)) for r in reps[right[good]]]
+        found = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return {"a": found[:, 0], "b": found[:, 1]}
 
-def _resigned(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
     for batch in batches:
-        out = []
-        for features, common in zip(batch.column(1), batch.column(2)):
-            f = np.sort(np.asarray(features.values).view(np.uint64))
-            c = np.asarray(common.values).view(np.uint64) if common.is_valid else np.empty(0, np.uint64)
-            out.append(signatures(f, np.isin(f, c).astype(np.uint64)).view(np.int64))
-        yield {"rep": batch.column(0), "sigs": out}
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != held[0][0]:
+                yield pairs()
+                held = []
+            held.append(row)
+    if held:
+        yield pairs()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.asarray(x.values), np.asarray(y.values)
+            x, y = shingles(x.as_py()), shingles(y.as_py())
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep[k] = 100 * both >= 75 * (len(x) + len(y) - both)
         yield {"a": batch.column(0).filter(pa.array(keep)), "b": batch.column(1).filter(pa.array(keep))}
@@ -148,19 +275,65 @@ def _grouped(signed: DataFrame) -> DataFrame:
     return signed.withColumn("n", F.count("*").over(every)).filter("n > 1")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) that link."""
-    left = sets.select(F.col("rep").alias("a"), F.col("features").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("features").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stored(by_batch(both, "a long, b long", _linked), "linked")
+def _side(reps: DataFrame, key: str, *columns: str) -> DataFrame:
+    return reps.select(F.col("rep").alias(key), *[F.col(c).alias(key + c) for c in columns])
+
+
+def _sketches_near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) whose sizes and sketches allow a link."""
+    near = pairs.join(_side(reps, "a", "size", "bits"), "a").join(_side(reps, "b", "size", "bits"), "b")
+    near = near.filter(_may_link("asize", "bsize")).select("a", "b", "asize", "bsize", "abits", "bbits")
+    return by_batch(near, "a long, b long", _near)
+
+
+def _in_blocks(members: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """The same for all pairs of different components within each group of ``members``, block by block."""
+    rows = members.join(reps.select("rep", "bits"), "rep").withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("own", own).select("*", other.alias("other"))
+    rows = rows.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
+    group = F.concat_ws(":", "sig", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(group.alias("g"), "rep", "size", "component", "side", "bits")
+    return by_batch(rows.repartition("g").sortWithinPartitions("g"), "a long, b long", _compared)
+
+
+def _verified(near: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs ``near`` that link, by their texts."""
+    near = stored(near.distinct(), "near")
+    texts = near.join(_side(reps, "a", "text"), "a").join(_side(reps, "b", "text"), "b")
+    return stored(by_batch(texts.select("a", "b", "atext", "btext"), "a long, b long", _linked), "linked")
 
 
 def _may_link(a: str, b: str):
     return F.expr(f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})")
 
 
-def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = 64) -> DataFrame:
+def _refined(warm: DataFrame, hot: int, most: int) -> DataFrame:
+    """Signature groups of the classes ``warm`` (``rep``, ``size``, ``text``) alone, their common features last."""
+    listed = by_batch(warm.select("text"), "features array<long>", _listed).select(F.explode("features").alias("f"))
+    common = stored(listed.groupBy("f").count().filter(F.col("count") > hot).select("f"), "common")
+    schema = "rep long, size int, sigs array<long>"
+    if common.count() <= most:
+        held = np.sort(common.toPandas()["f"].to_numpy(np.int64).view(np.uint64))
+        shared = warm.sparkSession.sparkContext.broadcast(held)
+        signed = by_batch(warm.select("rep", "size", "text"), schema, _resigned(shared))
+    else:
+        every = by_batch(warm.select("rep", "size", "text"), "rep long, size int, text string, features array<long>", _with_features)
+        own = every.select("rep", F.explode("features").alias("f")).join(common, "f").groupBy("rep").agg(F.collect_list("f").alias("common"))
+        signed = by_batch(warm.select("rep", "size", "text").join(own, "rep", "left"), schema, _resigned(None))
+    return _grouped(signed.select(F.explode("sigs").alias("sig"), "rep", "size").distinct())
+
+
+def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+    for batch in batches:
+        sets = [shingles(t).view(np.int64) for t in batch.column(2).to_pylist()]
+        yield {"rep": batch.column(0), "size": batch.column(1), "text": batch.column(2), "features": sets}
+
+
+def jaccard_classes(
+    df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = 64, most: int = 1 << 19, block: int = 4096
+) -> DataFrame:
     """One row per document: (``doc_id``, ``n_shingles``, ``component_id``).
 
     Two documents link when 100 * intersection >= 75 * union of their shingle
@@ -170,47 +343,55 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", hot:
     representative. Rows with equal keys but different texts are told apart by
     nothing else, so they are one node that links by any of its texts.
     ``hot`` only decides which signatures are refined, never what is found.
+    Neither does ``most``: the ``most`` features repeated oftenest (8 bytes
+    each) are broadcast, for any choice of features ordered last gives the same
+    links; above it the common features of refined classes are joined.
     """
     docs = key_and_text(df, key, text)
-    sized = stored(by_batch(docs, "doc_id long, n_shingles int, high long, low long", _set_rows(False)), "sets")
+    schema = "doc_id long, n_shingles int, high long, low long, features array<long>, times array<int>"
+    read = stored(by_batch(docs, schema, _sized), "sets")
+    sized = read.filter("n_shingles is not null").select("doc_id", "n_shingles", "high", "low")
     known = sized.filter("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    nodes = stored(known.select("doc_id", "high", "low").distinct().join(classes, ["high", "low"]).select("doc_id", "rep", "size"), "classes")
+    nodes = known.select("doc_id", "high", "low").distinct().join(classes, ["high", "low"])
+    nodes = stored(nodes.select("doc_id", "rep", "size"), "classes")
+    times = read.select(F.inline(F.arrays_zip("features", "times"))).groupBy("features").agg(F.sum("times").alias("n"))
+    often = times.orderBy(F.desc("n"), "features").limit(most).toPandas()["features"]
+    shared = df.sparkSession.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
 
     keyed = docs.filter("doc_id is not null and text is not null")
-    signed = by_batch(keyed, "doc_id long, sigs array<long>", _set_rows(True)).select("doc_id", F.explode("sigs").alias("sig"))
-    several = _grouped(signed).select("sig", "doc_id")
-    groups = several.join(nodes, "doc_id").select("sig", "rep").distinct()
+    signed = by_batch(keyed, "doc_id long, sigs array<long>", _signed(shared)).select("doc_id", F.explode("sigs").alias("sig"))
+    several = stored(_grouped(signed).select("sig", "doc_id"), "several")
+    groups = several.join(nodes, "doc_id").select("sig", "rep", "size").distinct()
     groups = stored(_grouped(groups), "groups")
-    involved = groups.select("rep").distinct()
-    chosen = keyed.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = stored(by_batch(chosen, "rep long, features array<long>", _features), "features")
-
-    cold, warm = groups.filter(F.col("n") <= hot), groups.filter(F.col("n") > hot).select("rep").distinct()
-    again = sets.join(warm, "rep", "left_semi")
-    listed = again.select("rep", F.explode("features").alias("f"))
-    frequent = listed.groupBy("f").count().filter(F.col("count") > hot).select("f")
-    marked = listed.join(frequent, "f").groupBy("rep").agg(F.collect_list("f").alias("common"))
-    resigned = by_batch(again.join(marked, "rep", "left"), "rep long, sigs array<long>", _resigned)
-    refined = _grouped(resigned.select(F.explode("sigs").alias("sig"), "rep").distinct())
-    groups = stored(cold.unionByName(refined).select("sig", "rep"), "groups")
-
-    sizes = nodes.select("rep", "size").distinct()
+
+    involved = groups.groupBy(F.col("rep").alias("doc_id")).agg((F.max("n") > hot).alias("warm"))
+    chosen = keyed.join(involved, "doc_id").select("doc_id", "text", "warm")
+    reps = stored(by_batch(chosen, "rep long, text string, warm boolean, size int, bits binary", _sketched), "reps")
+    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():  # else every class has one row
+        reps = stored(reps.dropDuplicates(["rep", "size", "bits"]), "reps")
+    warm = reps.filter("warm").select("rep", "size", "text")
+    refined = stored(_refined(warm, hot, most).select("sig", "rep", "size"), "refined")
+    groups = groups.filter(F.col("n") <= hot).select("sig", "rep", "size").unionByName(refined)
+
     centre = groups.withColumn("a", F.min("rep").over(Window.partitionBy("sig")))
-    stars = centre.select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
-    stars = stars.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").filter(_may_link("sa", "sb"))
-    links = _verified(stars.select("a", "b"), sets)
+    stars = stored(centre.select("a", F.col("rep").alias("b")).filter("a <> b").distinct(), "stars")
+    links = _verified(_sketches_near(stars, reps), reps)
 
     first = components(links)
-    members = groups.join(sizes, "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left")
+    members = groups.join(first.withColumnRenamed("id", "rep"), "rep", "left")
     members = members.withColumn("component", F.coalesce("component", "rep"))
     every = Window.partitionBy("sig")
     members = members.withColumn("low", F.min("component").over(every)).withColumn("high", F.max("component").over(every))
-    members = stored(members.filter("low <> high").select("sig", "rep", "size", "component"), "members")
-    left, right = members.toDF("sig", "a", "sa", "ca"), members.toDF("sig", "b", "sb", "cb")
+    members = members.withColumn("n", F.count("*").over(every)).filter("low <> high")
+    members = stored(members.select("sig", "rep", "size", "component", "n"), "members")
+    few = members.filter(F.col("n") <= hot).select("sig", "rep", "size", "component")
+    left, right = few.toDF("sig", "a", "sa", "ca"), few.toDF("sig", "b", "sb", "cb")
     rest = left.join(right, "sig").filter("a < b and ca <> cb").filter(_may_link("sa", "sb")).select("a", "b").distinct()
-    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    found = components(links.union(_verified(rest, sets)).union(nodes.select("doc_id", "rep").filter("doc_id <> rep")))
+    rest = _sketches_near(rest.join(stars, ["a", "b"], "left_anti"), reps)
+    many = _in_blocks(members.filter(F.col("n") > hot), reps, block)
+    more = _verified(rest.union(many), reps)
+    found = components(links.union(more).union(nodes.select("doc_id", "rep").filter("doc_id <> rep")))
     found = found.withColumnRenamed("id", "doc_id")
     out = sized.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles")).join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
