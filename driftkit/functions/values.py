@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,27 +43,32 @@ def comparable(col: Column, dtype: T.DataType) -> Column:
 def text_form(col: Column, dtype: T.DataType) -> Column:
     """The printed form of a value; NULL stays NULL.
 
-    Whole floating-point numbers print without a fraction, so ``1``, ``1.0``
-    and ``'1'`` all read alike.
+    Whole numbers print without a fraction and decimals without trailing zeros,
+    so ``1``, ``1.0``, ``1.00`` and ``'1'`` all read alike, at any size that an
+    integer or decimal type can hold.
     """
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        whole = (col == F.floor(col)) & (F.abs(col) < F.lit(1e15))
-        return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+        exact = col.cast("double")
+        digits = F.when(exact == F.rint(exact), exact.try_cast("decimal(38,0)"))
+        return F.coalesce(digits.cast("string"), col.cast("string"))
+    if isinstance(dtype, T.DecimalType):
+        return F.regexp_replace(F.regexp_replace(col.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     if isinstance(dtype, (T.MapType, T.ArrayType, T.StructType, T.VariantType)):
         return F.to_json(comparable(col, dtype))
     return col.cast("string")
 
 
-def hash_parts(col: Column, dtype: T.DataType, seed: int) -> list[Column]:
-    """What to hash so that unequal values of a ``comparable`` column differ.
+def cast_or_null(df: DataFrame, column: Column, dtype: T.DataType) -> Column:
+    """A column over ``df`` in another type; NULL where, or when, that cannot be done."""
+    read = column.try_cast(dtype)
+    try:
+        df.select(read)
+    except AnalysisException:
+        return F.lit(None).cast(dtype)
+    return read
 
-    A hash passes over NULLs and empty arrays, so these are told apart by flags
-    and sizes.
-    """
-    if isinstance(dtype, T.StructType):
-        inner = [p for f in dtype.fields for p in hash_parts(col[f.name], f.dataType, seed)]
-        return [col.isNull(), *inner]
-    if isinstance(dtype, T.ArrayType):
-        items = F.transform(col, lambda e: F.xxhash64(F.lit(seed), *hash_parts(e, dtype.elementType, seed)))
-        return [col.isNull(), F.size(col), items]
-    return [col.isNull(), col]
+
+def read_as(df: DataFrame, name: str, dtype: T.DataType) -> Column:
+    """The column ``name`` in another type; see ``cast_or_null``."""
+    column = F.col(f"`{name}`")
+    return column if df.schema[name].dataType == dtype else cast_or_null(df, column, dtype)

@@ -8,9 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftkit import model as M
-from driftkit.functions.values import comparable, text_form
+from driftkit.functions.values import comparable, read_as, text_form
 from driftkit.operators.data_diff import row_counts
 from driftkit.operators.keyed import without_match
 
@@ -110,6 +111,7 @@ def not_null_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def orphan_keys(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     """Complete child keys without a parent, with the ``rows`` that hold them.
 
+    A child key is read in its parent's types; what cannot be is an orphan.
     Both sides are reduced to their distinct keys before the shuffle, so a key
     that fills much of the child travels once per task, not once per row.
     """
@@ -119,10 +121,14 @@ def orphan_keys(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFram
         .groupBy(*[_c(c) for c in fk.columns])
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    known = parent.select(
-        *[_c(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns, strict=True)]
-    ).filter(_complete(fk.columns)).distinct()
-    return without_match(held, known, fk.columns)
+    types = [parent.schema[p].dataType for p in fk.parent_columns]
+    if all(child.schema[c].dataType == t for c, t in zip(fk.columns, types, strict=True)):
+        known = parent.select(*[_c(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns, strict=True)])
+        return without_match(held, known.filter(_complete(fk.columns)).distinct(), fk.columns)
+    read = [f"__read{i}" for i in range(len(fk.columns))]
+    held = held.select("*", *[read_as(held, c, t).alias(r) for c, t, r in zip(fk.columns, types, read, strict=True)])
+    known = parent.select(*[_c(p).alias(r) for p, r in zip(fk.parent_columns, read, strict=True)])
+    return without_match(held, known.filter(_complete(read)).distinct(), read).drop(*read)
 
 
 def _relation(fk: ForeignKey) -> list[Column]:
@@ -131,18 +137,57 @@ def _relation(fk: ForeignKey) -> list[Column]:
     ]
 
 
+def _keys_of(
+    sides: Mapping[str, Sequence[tuple[int, Sequence[str], Sequence[T.DataType]]]], tables: Mapping[str, DataFrame]
+) -> DataFrame:
+    """``relation, key`` of every complete key, as text in the given types: one scan per table.
+
+    A value that its type cannot hold stays apart from all that it can.
+    """
+
+    def key(df: DataFrame, columns: Sequence[str], types: Sequence[T.DataType]) -> Column:
+        parts = [
+            F.coalesce(
+                text_form(read_as(df, c, t), t), F.concat(F.lit("\u0000"), text_form(_c(c), df.schema[c].dataType))
+            )
+            for c, t in zip(columns, types, strict=True)
+        ]
+        return F.when(_complete(columns), F.array(*parts))
+
+    listed = []
+    for name, uses in sides.items():
+        df = tables[name]
+        keys = F.array(*[F.struct(F.lit(i).alias("relation"), key(df, c, t).alias("key")) for i, c, t in uses])
+        listed.append(df.select(F.explode(keys).alias("k")).select("k.*").filter("key is not null"))
+    return reduce(DataFrame.unionByName, listed)
+
+
 def fk_check(tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> DataFrame:
-    """Per relation: how many keys and rows have no parent."""
-    parts = [
-        orphan_keys(tables[fk.child], tables[fk.parent], fk)
-        .agg(
-            F.count(F.lit(1)).alias("orphan_keys"),
-            F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias("orphan_rows"),
-        )
-        .select(*_relation(fk), "orphan_keys", "orphan_rows")
-        for fk in fks
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Per relation: how many keys and rows have no parent.
+
+    Child keys are read in their parent's types; what cannot be is an orphan.
+    Each table is scanned once, whatever the number of its relations, and keys
+    are counted by task before the shuffle.
+    """
+    children: dict[str, list] = {}
+    parents: dict[str, list] = {}
+    for i, fk in enumerate(fks):
+        types = [tables[fk.parent].schema[c].dataType for c in fk.parent_columns]
+        children.setdefault(fk.child, []).append((i, fk.columns, types))
+        parents.setdefault(fk.parent, []).append((i, fk.parent_columns, types))
+    held = _keys_of(children, tables).groupBy("relation", "key").agg(F.count(F.lit(1)).alias("rows"))
+    orphans = without_match(held, _keys_of(parents, tables).distinct(), ["relation", "key"])
+    zero = F.lit(0).cast("bigint")
+    every = held.sparkSession.range(len(fks)).select(F.col("id").cast("int").alias("relation"), zero.alias("k"), zero.alias("r"))
+    found = orphans.select("relation", F.lit(1).cast("bigint").alias("k"), F.col("rows").alias("r"))
+    named = F.element_at(F.array(*[F.struct(*_relation(fk)) for fk in fks]), F.col("relation") + 1)
+    return (
+        found.unionByName(every)
+        .groupBy("relation")
+        .agg(F.sum("k").alias("orphan_keys"), F.sum("r").alias("orphan_rows"))
+        .select(named.alias("n"), "orphan_keys", "orphan_rows")
+        .select("n.*", "orphan_keys", "orphan_rows")
+    )
 
 
 def fk_sample(
@@ -169,7 +214,7 @@ def fk_sample(
             return F.concat_ws(", ", *[text_form(_c(c), df.schema[c].dataType) for c in columns])
 
         parts.append(
-            child.join(F.broadcast(first), list(fk.columns), "left_semi")
+            child.join(first, list(fk.columns), "left_semi")
             .orderBy(*key, *row_key)
             .limit(n)
             .select(

@@ -14,13 +14,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftkit import model as M
-from driftkit.functions.values import comparable, hash_parts, text_form
+from driftkit.functions.values import comparable, read_as, text_form
 from driftkit.operators.keyed import membership
 
 _NET = "__net"
@@ -41,16 +40,6 @@ def _is_nested(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
 
 
-def _read_as(df: DataFrame, name: str, dtype: T.DataType) -> Column:
-    """The column in another type; NULL where, or when, that cannot be done."""
-    read = _c(name).try_cast(dtype)
-    try:
-        df.select(read)
-    except AnalysisException:
-        return F.lit(None).cast(dtype)
-    return read
-
-
 def _aligned(
     old: DataFrame, new: DataFrame, columns: Sequence[str], compare: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +62,7 @@ def _aligned(
             left.append(comparable(_c(name), was).alias(name))
             right.append(comparable(_c(name), now).alias(name))
             continue
-        read = _read_as(old, name, now)
+        read = read_as(old, name, now)
         left.append(comparable(read, now).alias(name))
         right.append(comparable(_c(name), now).alias(name))
         lost = f"{_LOST}{name}"
@@ -88,50 +77,31 @@ def _signed(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy(*[_c(n) for n in left.columns]).agg(F.sum(_NET).alias(_NET)).filter(F.col(_NET) != 0)
 
 
-def _hashed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The key and 128 bits for the rest of each row."""
-    values = [f for f in df.schema.fields if f.name not in keys]
-
-    def half(seed: int) -> Column:
-        parts = [p for f in values for p in hash_parts(_c(f.name), f.dataType, seed)]
-        return F.xxhash64(F.lit(seed), *parts).alias(f"__h{seed}")
-
-    # Two seeds for the two halves.
-    hashes = [half(seed) for seed in (1, 2)]
-    return df.select(*[_c(k) for k in keys], *hashes)
-
-
-def _suspects(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides without the keys whose hashes all agree."""
-    differing = _signed(_hashed(left, keys), _hashed(right, keys))
-    return membership(left, differing, keys, present=True), membership(right, differing, keys, present=True)
-
-
 def differences(
-    old: DataFrame,
-    new: DataFrame,
-    columns: Sequence[str] | None = None,
-    compare: str = "typed",
-    mode: str = "exact",
-    keys: Sequence[str] = (),
+    old: DataFrame, new: DataFrame, columns: Sequence[str] | None = None, compare: str = "typed"
 ) -> DataFrame:
     """The compared columns plus ``__net``: copies gained (> 0) or lost (< 0).
 
     ``compare="text"`` compares printed values, so ``1`` equals ``'1'``.
-    ``mode="hash"`` first finds the ``keys`` whose rows differ by hash, and only
-    moves the rows of those: two narrow shuffles in place of a wide one.
     """
     if compare not in ("typed", "text"):
         raise ValueError("compare must be 'typed' or 'text'")
-    if mode not in ("exact", "hash"):
-        raise ValueError("mode must be 'exact' or 'hash'")
     columns = list(columns or shared_columns(old, new))
     if not columns:
         raise ValueError("the two versions share no column")
-    left, right = _aligned(old, new, columns, compare)
-    if mode == "hash":
-        left, right = _suspects(left, right, _check_keys(keys, columns))
-    return _signed(left, right)
+    return _signed(*_aligned(old, new, columns, compare))
+
+
+def _with_lost(diff: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The keys, and for retyped ones the text of values that the new type cannot hold."""
+    return [*keys, *[f"{_LOST}{k}" for k in keys if f"{_LOST}{k}" in diff.columns]]
+
+
+def _key_shown(diff: DataFrame, name: str) -> Column:
+    """A key as it is listed: as text where it was retyped, so that unreadable ones are seen."""
+    if f"{_LOST}{name}" not in diff.columns:
+        return _c(name).alias(name)
+    return F.coalesce(_c(f"{_LOST}{name}"), text_form(_c(name), diff.schema[name].dataType)).alias(name)
 
 
 def _gained(net: Column) -> Column:
@@ -171,38 +141,56 @@ def _check_keys(keys: Sequence[str], columns: Sequence[str]) -> list[str]:
     return list(keys)
 
 
+def _unreadable(rows: DataFrame, keys: Sequence[str], types: T.StructType) -> Column:
+    """Whether some key has a value that the other side's type cannot hold."""
+    lost = [_c(k).isNotNull() & read_as(rows, k, types[k].dataType).isNull() for k in keys]
+    return reduce(lambda a, b: a | b, lost)
+
+
 def added_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the new version whose key the old one does not have."""
-    return membership(new, old, keys, present=False)
+    """Rows of the new version whose key the old one does not have.
+
+    A retyped key is read in its new type; old keys that cannot be are no new row's key.
+    """
+    known = old.filter(~_unreadable(old, keys, new.schema))
+    known = known.select(*[read_as(old, k, new.schema[k].dataType).alias(k) for k in keys])
+    return membership(new, known, keys, present=False)
 
 
 def removed_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the old version whose key the new one does not have."""
-    return membership(old, new, keys, present=False)
+    """Rows of the old version whose key the new one does not have.
+
+    A retyped key is read in its new type; an old key that cannot be is removed.
+    """
+    if all(old.schema[k].dataType == new.schema[k].dataType for k in keys):
+        return membership(old, new, keys, present=False)
+    read = [f"__read{i}" for i in range(len(keys))]
+    lost = _unreadable(old, keys, new.schema)
+    rows = old.filter(~lost).select(
+        "*", *[read_as(old, k, new.schema[k].dataType).alias(r) for k, r in zip(keys, read, strict=True)]
+    )
+    known = new.select(*[_c(k).alias(r) for k, r in zip(keys, read, strict=True)])
+    return membership(rows, known, read, present=False).drop(*read).unionByName(old.filter(lost))
 
 
 def diff_rows(
-    old: DataFrame,
-    new: DataFrame,
-    keys: Sequence[str],
-    limit: int | None = None,
-    compare: str = "typed",
-    mode: str = "exact",
+    old: DataFrame, new: DataFrame, keys: Sequence[str], limit: int | None = None, compare: str = "typed"
 ) -> DataFrame:
     """Rows that differ: ``status, key, old, new, copies``.
 
     A key with one differing row on each side is ``changed``. When a key is
     repeated and more than one of its rows differ, each of them is listed as
     ``removed`` or ``added`` with its number of copies. ``limit`` applies to the
-    finished result in key order. ``mode`` is that of ``differences``.
+    finished result in key order. A retyped key is shown as text.
     """
     columns = shared_columns(old, new)
     keys = _check_keys(keys, columns)
-    diff = differences(old, new, columns, compare, mode, keys)
-    values = [c for c in diff.columns if c not in keys and c != _NET]
-    key = F.struct(*[_c(k).alias(k) for k in keys]).alias("key")
+    diff = differences(old, new, columns, compare)
+    grouped = _with_lost(diff, keys)
+    values = [c for c in columns if c not in keys]
+    key = F.struct(*[_key_shown(diff, k) for k in keys]).alias("key")
 
-    pairs = _pairs(diff, keys, values)
+    pairs = _pairs(diff, grouped, values)
     repeated = (F.col("__old_n") > 1) | (F.col("__new_n") > 1)
     single = pairs.filter(~repeated).select(
         F.when(_is_changed(), M.CHANGED).when(F.col("__new_n") == 1, M.ADDED).otherwise(M.REMOVED).alias("status"),
@@ -210,7 +198,7 @@ def diff_rows(
     )
     row = F.struct(*[_c(v).alias(v) for v in values]) if values else F.struct(F.lit(True).alias("present"))
     gained = F.col(_NET) > 0
-    several = membership(diff, _per_key(diff, keys).filter(repeated), keys, present=True).select(
+    several = membership(diff, _per_key(diff, grouped).filter(repeated), grouped, present=True).select(
         F.when(gained, M.ADDED).otherwise(M.REMOVED).alias("status"),
         key,
         F.when(~gained, row).alias("old"),
@@ -223,9 +211,7 @@ def diff_rows(
     return rows
 
 
-def diff_cells(
-    old: DataFrame, new: DataFrame, keys: Sequence[str], compare: str = "typed", mode: str = "exact"
-) -> DataFrame:
+def diff_cells(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: str = "typed") -> DataFrame:
     """Cells of changed rows that differ: keys, ``column``, ``old``, ``new`` as text.
 
     Rows of a repeated key of which several differ have no counterparts, so
@@ -234,8 +220,9 @@ def diff_cells(
     columns = shared_columns(old, new)
     keys = _check_keys(keys, columns)
     values = [c for c in columns if c not in keys]
-    diff = differences(old, new, columns, compare, mode, keys)
-    kept = [c for c in diff.columns if c not in keys and c != _NET]
+    diff = differences(old, new, columns, compare)
+    grouped = _with_lost(diff, keys)
+    kept = [c for c in diff.columns if c not in grouped and c != _NET]
     types = {f.name: f.dataType for f in diff.schema.fields}
 
     def cell(name: str) -> Column:
@@ -250,37 +237,28 @@ def diff_cells(
             F.struct(F.lit(name).alias("column"), shown.alias("old"), text_form(after, types[name]).alias("new")),
         )
 
-    changed = _pairs(diff, keys, kept).filter(_is_changed())
+    changed = _pairs(diff, grouped, kept).filter(_is_changed())
     return changed.select(
         *[_c(k) for k in keys], F.explode(F.array_compact(F.array(*[cell(v) for v in values]))).alias("__cell")
     ).select(*[_c(k) for k in keys], "__cell.*")
 
 
 def diff_counts(
-    old: DataFrame,
-    new: DataFrame,
-    keys: Sequence[str] | None = None,
-    compare: str = "typed",
-    mode: str = "exact",
+    old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None, compare: str = "typed"
 ) -> DataFrame:
     """One row ``added, removed, changed``.
 
     Without a key only the row counts are compared and their net difference is
-    reported. ``mode="hash"`` shuffles two 64-bit hashes in place of the values:
-    much narrower, with a remote chance that a change goes unseen.
+    reported.
     """
     if not keys:
         return _net_counts(old, new)
     columns = shared_columns(old, new)
     keys = _check_keys(keys, columns)
-    if mode == "hash":
-        left, right = _aligned(old, new, columns, compare)
-        diff = _signed(_hashed(left, keys), _hashed(right, keys))
-    else:
-        diff = differences(old, new, columns, compare, mode)
+    diff = differences(old, new, columns, compare)
     changed = _is_changed()
     zero = F.lit(0).cast("bigint")
-    return _per_key(diff, keys).agg(
+    return _per_key(diff, _with_lost(diff, keys)).agg(
         F.coalesce(F.sum(F.when(changed, 0).otherwise(F.col("__new_n"))), zero).alias("added"),
         F.coalesce(F.sum(F.when(changed, 0).otherwise(F.col("__old_n"))), zero).alias("removed"),
         F.count_if(changed).alias("changed"),
@@ -320,7 +298,6 @@ def diff_tables_data(
     old: Mapping[str, DataFrame],
     new: Mapping[str, DataFrame],
     keys: Mapping[str, Sequence[str]] | None = None,
-    mode: str = "exact",
 ) -> DataFrame:
     """``table, added, removed, changed`` for every table with data changes.
 
@@ -337,16 +314,13 @@ def diff_tables_data(
         elif t not in new:
             part = old[t].agg(none.alias("added"), n.alias("removed"), none.alias("changed"))
         else:
-            part = diff_counts(old[t], new[t], keys.get(t), mode=mode).filter("added + removed + changed > 0")
+            part = diff_counts(old[t], new[t], keys.get(t)).filter("added + removed + changed > 0")
         parts.append(part.select(F.lit(t).alias("table"), "added", "removed", "changed"))
     if not parts:
         raise ValueError("no tables given")
     return reduce(DataFrame.unionByName, parts)
 
 
-_MEASURABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
 def _literal(value: object, dtype: T.DataType) -> Column:
     """``value`` as a literal of a column's type; a zoneless time stays as it is."""
     if isinstance(dtype, T.TimestampNTZType) and value is not None:
@@ -354,29 +328,14 @@ def _literal(value: object, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def _near(df: DataFrame, name: str, offset: int, within: int) -> tuple[DataFrame, int]:
-    """The rows from some value of ``name`` on, and how many of them still to skip.
+def _sortable(dtype: T.DataType) -> bool:
+    return not _is_nested(dtype)
 
-    The value comes from an approximate percentile just short of the wanted
-    rank; the rows before it are counted exactly, so the page is exact.
-    """
-    col, dtype = _c(name), df.schema[name].dataType
-    rest, start, before = df, None, 0
-    while isinstance(dtype, _MEASURABLE) and offset - before > within:
-        left = rest.agg(F.count(F.lit(1))).first()[0]
-        if offset - before >= left:
-            break
-        # Aim a thousandth short, measured ten times finer.
-        rank = max((offset - before) / left - 0.001, 0.0)
-        cut = rest.agg(F.percentile_approx(col, rank, 10_000)).first()[0]
-        if cut is None or cut == start:
-            break
-        value = _literal(cut, dtype)
-        skipped = df.filter(col.isNull() | (col < value)).agg(F.count(F.lit(1))).first()[0]
-        if not before < skipped <= offset:
-            break
-        rest, start, before = df.filter(col >= value), cut, skipped
-    return rest, offset - before
+
+def page_order(df: DataFrame, order_by: Sequence[str]) -> list[str]:
+    """``order_by`` and then every other plain column: only equal rows tie in this order."""
+    rest = [f.name for f in df.schema.fields if f.name not in order_by and _sortable(f.dataType)]
+    return [*order_by, *rest]
 
 
 def page(
@@ -385,30 +344,29 @@ def page(
     limit: int,
     offset: int = 0,
     after: Sequence[object] | None = None,
-    within: int = 100_000,
+    seen: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of rows in ``order_by`` order, and the total as a one-row frame.
+    """One page of rows in ``page_order`` order, and the total as a one-row frame.
 
-    Give the last row's order values as ``after`` to read the next page: that
-    filter reaches the scan. An offset ranks the rows it skips; one beyond
-    ``within`` is first brought near by counting, if the first order column is a
-    number or a time.
+    To read the next page, give the last row's values of the ``page_order``
+    columns as ``after``, and how many rows equal to it in these columns were
+    read so far as ``seen``: the filter reaches the scan, and pages read one
+    after the other hold every row once. An ``offset`` sorts the rows it skips.
     """
-    order = [_c(c) for c in order_by]
-    if not order:
+    if not order_by:
         raise ValueError("a page needs an order")
+    names = page_order(df, order_by)
+    order = [_c(c) for c in names]
     rows = df
     if after is not None:
         if len(after) != len(order):
-            raise ValueError("after needs one value per order column")
+            raise ValueError("after needs one value per column of page_order")
         beyond = F.lit(False)
-        equal_so_far = F.lit(True)
-        for name, col, value in zip(order_by, order, after, strict=True):
+        equal = F.lit(True)
+        for name, col, value in zip(names, order, after, strict=True):
             # NULLs come first in the order.
             last = _literal(value, df.schema[name].dataType)
-            beyond = beyond | (equal_so_far & (col.isNotNull() if value is None else col > last))
-            equal_so_far = equal_so_far & (col.isNull() if value is None else col == last)
-        rows = rows.filter(beyond)
-    if offset > within:
-        rows, offset = _near(rows, order_by[0], offset, within)
+            beyond = beyond | (equal & (col.isNotNull() if value is None else col > last))
+            equal = equal & (col.isNull() if value is None else col.eqNullSafe(last))
+        rows = df.filter(equal).offset(seen).unionByName(df.filter(beyond))
     return rows.orderBy(*order).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("total"))

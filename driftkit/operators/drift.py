@@ -40,7 +40,9 @@ def drift(
 
     ``source, baseline_at, checked_at, has_drift, changes, error``; ``changes``
     lists one database's schema changes. A member that could not be read carries
-    its ``error`` and no verdict.
+    its ``error`` and no verdict; one that the live catalogs do not hold was
+    checked when the newest of them was captured. Pass one capture per database:
+    ``latest_snapshot`` gives the newest.
     """
     changes = schema_diff(baseline, live, baseline_indexes, live_indexes, by)
     item = F.struct(*[F.col(f) for f in M.CHANGE_ITEM.fieldNames()])
@@ -63,7 +65,13 @@ def drift(
                           F.col("error") if "error" in live.columns else no_text))
         .unionByName(part(changes, False, no_time, item, no_text))
     )
-    checked = F.max("__checked_at") if checked_at is None else F.lit(checked_at).cast(at_type)
+    if checked_at is not None:
+        checked = F.lit(checked_at).cast(at_type)
+    elif "captured_at" in by:
+        checked = F.max("__checked_at")
+    else:
+        now = F.coalesce(F.max(F.col("captured_at").cast(at_type)), F.current_timestamp().cast(at_type))
+        checked = F.coalesce(F.max("__checked_at"), live.agg(now.alias("at")).scalar())
     per_member = parts.groupBy(*by).agg(
         F.bool_or("__base").alias("__known"),
         F.max("__baseline_at").alias("baseline_at"),

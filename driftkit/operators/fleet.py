@@ -41,9 +41,15 @@ def registry_problems(registry: DataFrame) -> DataFrame:
         .unionByName(problem(registry.filter(blank("name")), "no name", F.lit(1)))
         .unionByName(problem(registry.filter(blank("dsn") & ~blank("name")), "no dsn", F.lit(1)))
         .unionByName(problem(repeated, "duplicate name", F.col("n")))
+        .unionByName(problem(_unplaced(registry), "no position", F.lit(1)))
     )
 
 
+def _unplaced(registry: DataFrame) -> DataFrame:
+    """Members that no rollout could put in order."""
+    return registry.filter(F.col("pos").isNull() if "pos" in registry.columns else F.lit(False))
+
+
 def fleet_status(registry: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Members, and when the baseline of each was captured."""
     captured = snapshots.groupBy(F.col("database").alias("name")).agg(F.max("captured_at").alias("baseline_at"))
@@ -53,22 +59,25 @@ def fleet_status(registry: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def fleet_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Registry after an upsert by name: ``name, dsn, baseline, tags, added, updated``.
+    """Registry after an upsert by name: ``pos, name, dsn, baseline, tags, added, updated``, by name.
 
-    The address is replaced, tags only by tags that are not empty, the baseline
-    stays. A name that comes in repeatedly is applied in ``pos`` order.
+    The address is replaced, tags only by tags that are not empty; the baseline
+    and the position of a known member stay, a new one has its first position.
+    A name that comes in repeatedly is applied in ``pos`` order.
     """
     has_tags = F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0
     coming = incoming.groupBy("name").agg(
+        F.min("pos").alias("__pos"),
         F.max_by("dsn", "pos").alias("__dsn"),
         F.min_by("baseline", "pos").alias("__baseline"),
         F.max_by("tags", F.when(has_tags, F.col("pos"))).alias("__tags"),
         F.count(F.lit(1)).alias("__n"),
     )
-    known = existing.select("name", "dsn", "baseline", "tags", F.lit(True).alias("__known"))
+    known = existing.select("pos", "name", "dsn", "baseline", "tags", F.lit(True).alias("__known"))
     is_known = F.coalesce(F.col("__known"), F.lit(False))
     comes = F.coalesce(F.col("__n"), F.lit(0).cast("bigint"))
-    return known.join(coming, "name", "full").select(
+    merged = known.join(coming, "name", "full").select(
+        F.coalesce("pos", "__pos").alias("pos"),
         "name",
         F.when(comes > 0, F.col("__dsn")).otherwise(F.col("dsn")).alias("dsn"),
         F.when(is_known, F.col("baseline")).otherwise(F.col("__baseline")).alias("baseline"),
@@ -76,6 +85,7 @@ def fleet_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         F.when(is_known, 0).otherwise(1).cast("bigint").alias("added"),
         (comes - F.when(is_known, 0).otherwise(1)).alias("updated"),
     )
+    return merged.orderBy("name")
 
 
 def merge_counts(merged: DataFrame) -> DataFrame:
@@ -92,7 +102,8 @@ def fleet_check(
 ) -> DataFrame:
     """State of every member: ``no-baseline``, ``error``, ``drift`` or ``ok``, tested in that order.
 
-    Also the member's error, and how many tables were added, removed or modified.
+    Also the member's error, and how many tables were added, removed or
+    modified. Pass one capture per database: ``latest_snapshot`` gives the newest.
     """
     changes = schema_diff(baselines, live, baseline_indexes, live_indexes)
     whole = F.col("kind").isin(M.TABLE_ADDED, M.TABLE_REMOVED)
@@ -149,44 +160,66 @@ def snapshot_report(captured: DataFrame) -> DataFrame:
     return captured.groupBy("database").agg(F.countDistinct("table").alias("tables"), F.max("error").alias("error"))
 
 
+#: Positions ranked together: what lies before is counted by ranges of this size.
+_RANGE = 4096
+
+
+def _nth_success(outcomes: DataFrame, nth: int, fleet: str) -> DataFrame:
+    """(``fleet``, ``__hold``): the place of each fleet's ``nth`` success, where it has so many.
+
+    Successes are counted by range of positions first, and only the members of
+    the range in which the count is reached are ranked.
+    """
+    good = outcomes.filter("__ok").withColumn("__range", F.floor(F.col("pos") / _RANGE))
+    ranges = good.groupBy(fleet, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(fleet).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    deciding = ranges.filter((F.col("__before") < nth) & (F.col("__before") + F.col("__n") >= nth))
+    inside = lookup(good, deciding.select(fleet, "__range", "__before"), [fleet, "__range"]).filter("__before is not null")
+    place = F.row_number().over(Window.partitionBy(fleet).orderBy("__place"))
+    return inside.withColumn("__at", F.col("__before") + place).filter(F.col("__at") == nth).select(
+        fleet, F.col("__place").alias("__hold")
+    )
+
+
 def rollout_states(
     outcomes: DataFrame, canary: int = 0, dry_run: bool = False, fleet: str = "fleet"
 ) -> DataFrame:
     """``outcomes`` with the ``state`` of each member of an ordered rollout.
 
-    ``outcomes`` has ``fleet``, ``pos`` and ``ok``: whether the member would
-    succeed. Members go in ``pos`` order; the first failure stops the rest, and
-    ``canary`` successes hold the rest back. A dry run tries every member.
+    ``outcomes`` has ``fleet``, ``pos`` (a whole number), ``ok`` (whether the
+    member would succeed) and, to settle equal positions, ``name``. Members go
+    in that order; the first failure stops the rest, and ``canary`` successes
+    hold the rest back. A dry run tries every member. A member without a
+    position fails the job: nobody could say when its turn is.
 
-    Where a fleet stops follows from two positions, its first failure and its
-    ``canary``-th success. The first is an aggregate; for the second each task
-    passes on no more than ``canary`` members of a fleet, up to the session's
-    ``spark.sql.optimizer.windowGroupLimitThreshold``.
+    Where a fleet stops follows from two places, its first failure and its
+    ``canary``-th success; no fleet is ever sorted as a whole.
     """
     ok = F.coalesce(F.col("ok"), F.lit(False))
     if dry_run:
         return outcomes.withColumn("state", F.when(ok, M.DRY_RUN).otherwise(M.FAILED))
-    pos_type = outcomes.schema["pos"].dataType
-    nowhere = F.lit(None).cast(pos_type)
-    marks = outcomes.filter(~ok).groupBy(fleet).agg(F.min("pos").alias("__fail")).withColumn("__hold", nowhere)
+    missing = F.raise_error(F.lit("a member has no position")).cast("bigint")
+    settle = [F.col("name")] if "name" in outcomes.columns else []
+    place = F.struct(F.coalesce(F.col("pos").cast("bigint"), missing).alias("pos"), *settle)
+    placed = outcomes.withColumn("__ok", ok).withColumn("__place", place)
+    nowhere = F.lit(None).cast(placed.schema["__place"].dataType)
+    marks = placed.filter("not __ok").groupBy(fleet).agg(F.min("__place").alias("__fail")).withColumn("__hold", nowhere)
     if canary > 0:
-        nth = F.row_number().over(Window.partitionBy(fleet).orderBy("pos"))
-        holds = outcomes.filter(ok).select(fleet, "pos").withColumn("__n", nth).filter(F.col("__n") <= canary)
-        marks = marks.unionByName(
-            holds.filter(F.col("__n") == canary).select(fleet, nowhere.alias("__fail"), F.col("pos").alias("__hold"))
-        )
+        holds = _nth_success(placed, canary, fleet).withColumn("__fail", nowhere)
+        marks = marks.unionByName(holds)
     stops = marks.groupBy(fleet).agg(F.min("__fail").alias("__fail"), F.min("__hold").alias("__hold"))
     fails_first = F.col("__fail").isNotNull() & (F.col("__hold").isNull() | (F.col("__fail") < F.col("__hold")))
     state = (
-        F.when(fails_first & (F.col("pos") == F.col("__fail")), M.FAILED)
-        .when(fails_first & (F.col("pos") > F.col("__fail")), M.SKIPPED)
-        .when(~fails_first & (F.col("pos") > F.col("__hold")), M.CANARY)
+        F.when(fails_first & (F.col("__place") == F.col("__fail")), M.FAILED)
+        .when(fails_first & (F.col("__place") > F.col("__fail")), M.SKIPPED)
+        .when(~fails_first & (F.col("__place") > F.col("__hold")), M.CANARY)
         .otherwise(M.APPLIED)
     )
     return (
-        lookup(outcomes, stops, [fleet])
+        lookup(placed, stops, [fleet])
         .withColumn("state", state)
-        .drop("__fail", "__hold")
+        .drop("__fail", "__hold", "__place", "__ok")
     )
 
 

@@ -43,7 +43,7 @@ def membership(rows: DataFrame, members: DataFrame, keys: Sequence[str], present
 
 
 def without_match(counted: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``counted``, one per key, whose key is not among the distinct ``known`` ones.
+    """Rows of ``counted``, one per key, whose key is not among the distinct ``known`` ones; NULL equals nothing.
 
     Both sides are aggregated by the key, so their shuffles serve the join too.
     """

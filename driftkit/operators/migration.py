@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftkit import model as M
-from driftkit.functions.values import comparable
+from driftkit.functions.values import cast_or_null, comparable, read_as
+from driftkit.operators.fleet import rollout_states
 from driftkit.operators.keyed import without_match
 from driftkit.operators.schema_diff import DATABASE, readable
 
@@ -168,10 +169,11 @@ def coercion_loss(df: DataFrame, targets: Mapping[str, T.DataType | str]) -> Dat
     counts = [F.count(F.lit(1)).alias("__rows")]
     for i, (name, new_type) in enumerate(targets.items()):
         old_type = df.schema[name].dataType
-        read = _c(name).try_cast(new_type)
+        read = cast_or_null(df, _c(name), new_type)
+        same = cast_or_null(df, read, old_type).eqNullSafe(_c(name))
         counts += [
             F.count_if(_c(name).isNotNull() & read.isNull()).alias(f"__lost{i}"),
-            F.count_if(read.isNotNull() & ~read.try_cast(old_type).eqNullSafe(_c(name))).alias(f"__altered{i}"),
+            F.count_if(read.isNotNull() & ~same).alias(f"__altered{i}"),
         ]
     shown = [
         F.struct(
@@ -207,7 +209,7 @@ def rebuild_table(
         elif df.schema[field.name].dataType == field.dataType:
             value = _c(field.name)
         else:
-            value = _c(field.name).try_cast(field.dataType)
+            value = read_as(df, field.name, field.dataType)
             if on_bad == "fail":
                 unread = _c(field.name).isNotNull() & value.isNull()
                 problem = F.lit(f"{field.name}: value does not fit {field.dataType.simpleString()}")
@@ -239,52 +241,86 @@ def migration_dry_run(
     defaults: Mapping[str, object] | None = None,
     keys: Sequence[str] = (),
     parents: Sequence[Parent] = (),
+    on_bad: str = "fail",
 ) -> DataFrame:
     """What a rebuild would break, per member, without writing anything.
 
     ``rows, lost_casts, null_violations, duplicate_keys, orphan_rows, ok``.
+    Everything is measured on the rebuilt values, so keys that only the cast
+    makes equal are found. A value lost in the cast is a violation where NULL
+    is not allowed; elsewhere ``on_bad="null"`` lets it pass. A NULL member is a
+    member like the others.
     """
-    defaults = defaults or {}
-    have = set(df.columns)
-    lost, nulls = [], []
-    for field in target.fields:
-        if field.name in have:
-            read = _c(field.name).try_cast(field.dataType)
-            if df.schema[field.name].dataType != field.dataType:
-                lost.append(_c(field.name).isNotNull() & read.isNull())
-            if not field.nullable:
-                nulls.append(_c(field.name).isNull())
-        elif not field.nullable and defaults.get(field.name) is None:
-            nulls.append(F.lit(True))
+    mark = "__member"
+    given = defaults or {}
+    fields = [f for f in target.fields if f.name != member]
+    values = {
+        f.name: read_as(df, f.name, f.dataType) if f.name in df.columns else F.lit(given.get(f.name)).cast(f.dataType)
+        for f in fields
+    }
+    # a key may use columns that the rebuild drops
+    values |= {c: _c(c) for c in [*keys, *[c for p in parents for c in p.columns]] if c not in values and c != member}
 
     def total(flags: Sequence[Column]) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return reduce(lambda a, b: a + b, [F.count_if(f) for f in flags], zero)
-
+        return reduce(lambda a, b: a + b.cast("bigint"), flags, F.lit(0).cast("bigint"))
+
+    retyped = [f.name for f in fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType]
+    rows = df.select(
+        F.struct(_c(member).alias("value")).alias(mark),  # never NULL, so that a NULL member joins too
+        total([_c(n).isNotNull() & values[n].isNull() for n in retyped]).alias("__l"),
+        total([values[f.name].isNull() for f in fields if not f.nullable]).alias("__v"),
+        *[c.alias(n) for n, c in values.items()],
+    )
+    types = {f.name: f.dataType for f in rows.schema.fields}
     measures = ("rows", "lost_casts", "null_violations", "duplicate_keys", "orphan_rows")
 
     def part(found: DataFrame, **given: Column) -> DataFrame:
         zero = F.lit(0).cast("bigint")
-        return found.select(member, *[given.get(m, zero).cast("bigint").alias(m) for m in measures])
+        return found.select(mark, *[given.get(m, zero).cast("bigint").alias(m) for m in measures])
 
-    base = df.groupBy(member).agg(
-        F.count(F.lit(1)).alias("n"), total(lost).alias("l"), total(nulls).alias("v")
-    )
+    base = rows.groupBy(mark).agg(F.count(F.lit(1)).alias("n"), F.sum("__l").alias("l"), F.sum("__v").alias("v"))
     parts = [part(base, rows=F.col("n"), lost_casts=F.col("l"), null_violations=F.col("v"))]
+
+    def named(columns: Sequence[str]) -> list[str]:
+        return [mark if c == member else c for c in columns]
+
     if keys:
-        key = [comparable(_c(k), df.schema[k].dataType).alias(k) for k in keys]
-        filled = reduce(lambda a, b: a & b, [_c(k).isNotNull() for k in keys])
-        repeated = df.filter(filled).select(member, *key).groupBy(member, *[_c(k) for k in keys]).count()
+        own = [c for c in named(keys) if c != mark]
+        key = [comparable(_c(k), types[k]).alias(k) for k in own]
+        filled = reduce(lambda a, b: a & b, [_c(k).isNotNull() for k in own], F.lit(True))
+        repeated = rows.filter(filled).select(mark, *key).groupBy(mark, *[_c(k) for k in own]).count()
         parts.append(part(repeated.filter("count > 1"), duplicate_keys=F.lit(1)))
     for p in parents:
-        own = [member] if member in p.rows.columns else []
-        filled = reduce(lambda a, b: a & b, [_c(c).isNotNull() for c in p.columns])
-        held = df.filter(filled).groupBy(member, *[_c(c) for c in p.columns]).agg(F.count(F.lit(1)).alias("__n"))
+        own = [mark] if member in p.rows.columns else []
+        columns = named(p.columns)
+        filled = reduce(lambda a, b: a & b, [_c(c).isNotNull() for c in columns])
+        held = rows.filter(filled).groupBy(*dict.fromkeys([mark, *columns])).agg(F.count(F.lit(1)).alias("__n"))
+        parent_types = [types[c] for c in columns]
         known = p.rows.select(
-            *own, *[_c(pc).alias(c) for pc, c in zip(p.parent_columns, p.columns, strict=True)]
+            *[F.struct(_c(member).alias("value")).cast(types[mark]).alias(mark) for _ in own],
+            *[read_as(p.rows, pc, t).alias(c) for pc, c, t in zip(p.parent_columns, columns, parent_types, strict=True)],
         ).distinct()
-        orphans = without_match(held, known, [*own, *p.columns])
+        orphans = without_match(held, known, list(dict.fromkeys([*own, *columns])))
         parts.append(part(orphans, orphan_rows=F.col("__n")))
-    summed = reduce(DataFrame.unionByName, parts).groupBy(member).agg(*[F.sum(m).alias(m) for m in measures])
-    broken = reduce(lambda a, b: a + b, [F.col(m) for m in measures[1:]])
-    return summed.withColumn("ok", broken == 0)
+    summed = reduce(DataFrame.unionByName, parts).groupBy(mark).agg(*[F.sum(m).alias(m) for m in measures])
+    passes = ("lost_casts",) if on_bad == "null" else ()
+    broken = reduce(lambda a, b: a + b, [F.col(m) for m in measures[1:] if m not in passes])
+    return summed.select(F.col(f"{mark}.value").alias(member), *measures, (broken == 0).alias("ok"))
+
+
+def rollout_dry_run(
+    tables: DataFrame, target: T.StructType, member: str, order: DataFrame | None = None, canary: int = 0, **measured: object
+) -> DataFrame:
+    """A dry run of all members in one job: ``tables`` holds their rows, told apart by ``member``.
+
+    What would break per member, and the ``state`` of each: every member tried,
+    or, with ``order`` (the registry's ``name`` and ``pos``), as the rollout
+    would go, with ``halted``: whether it would stop at a failure.
+    """
+    found = migration_dry_run(tables, target, member, **measured)
+    if order is None:
+        return rollout_states(found.withColumn("pos", F.lit(0)), dry_run=True).drop("pos")
+    placed = found.join(order.select(F.col("name").alias(member), "pos", "name"), member)
+    states = rollout_states(placed.withColumn("fleet", F.lit("fleet")), canary).drop("fleet")
+    stopped = states.agg(F.bool_or(F.col("state") == M.FAILED).alias("halted"))
+    return states.withColumn("halted", stopped.scalar())

@@ -198,9 +198,15 @@ def change_detail(changes: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame
     )
 
 
-def verify_schema(got: DataFrame, want: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame:
-    """Per database of ``want``: whether ``got`` has the same schema, and how many tables differ."""
-    changes = schema_diff(got, want, by=by)
+def verify_schema(
+    got: DataFrame,
+    want: DataFrame,
+    got_indexes: DataFrame | None = None,
+    want_indexes: DataFrame | None = None,
+    by: Sequence[str] = DATABASE,
+) -> DataFrame:
+    """Per database: whether ``got`` has the schema of ``want``, indexes included, and how many tables differ."""
+    changes = schema_diff(got, want, got_indexes, want_indexes, by)
     differing = changes.select(*by, F.col("table").alias("__differs")).distinct()
     known = want.select(*by).unionByName(got.select(*by)).distinct()
     return (

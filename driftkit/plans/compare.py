@@ -26,11 +26,11 @@ class DatabaseDiff:
 
 
 def diff_database(
-    spark: SparkSession, old: Tables, new: Tables, keys: Keys | None = None, mode: str = "exact"
+    spark: SparkSession, old: Tables, new: Tables, keys: Keys | None = None
 ) -> DatabaseDiff:
     """Schema changes, and data changes of every table."""
     changes = schema_diff(catalog(spark, old, "db"), catalog(spark, new, "db")).drop("database")
-    return DatabaseDiff(changes, diff_tables_data(old, new, keys, mode))
+    return DatabaseDiff(changes, diff_tables_data(old, new, keys))
 
 
 def validate_data(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftkit.operators import data_diff as D
@@ -29,15 +32,15 @@ def data_diff_counts(spark, sf_dir):
 _DOC_NEW = duck(I.DOCUMENTS_AFTER)
 
 
-@query("data_diff_counts_hash", f"""
+@query("data_diff_counts_documents", f"""
     SELECT count(*) FILTER (o.doc_id IS NULL) AS added,
            count(*) FILTER (n.doc_id IS NULL) AS removed,
            count(*) FILTER (o.doc_id IS NOT NULL AND n.doc_id IS NOT NULL
                             AND {_differs(["text", "lang", "source", "n_chars"])}) AS changed
     FROM documents o FULL JOIN {_DOC_NEW} n ON o.doc_id = n.doc_id""")
-def data_diff_counts_hash(spark, sf_dir):
+def data_diff_counts_documents(spark, sf_dir):
     return D.diff_counts(
-        table(spark, sf_dir, "documents"), derive(spark, sf_dir, I.DOCUMENTS_AFTER), ["doc_id"], mode="hash"
+        table(spark, sf_dir, "documents"), derive(spark, sf_dir, I.DOCUMENTS_AFTER), ["doc_id"]
     )
 
 
@@ -117,15 +120,15 @@ def data_diff_limit(spark, sf_dir):
 _DOC_VALUES = ["text", "lang", "source", "n_chars"]
 
 
-@query("data_diff_rows_hash", f"""
+@query("data_diff_rows_documents", f"""
     SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS status,
            CAST(1 AS BIGINT) AS copies, coalesce(o.doc_id, n.doc_id) AS doc_id,
            {", ".join(f"o.{v} AS old_{v}, n.{v} AS new_{v}" for v in _DOC_VALUES)}
     FROM documents o FULL JOIN {_DOC_NEW} n ON o.doc_id = n.doc_id
     WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR {_differs(_DOC_VALUES)}""")
-def data_diff_rows_hash(spark, sf_dir):
+def data_diff_rows_documents(spark, sf_dir):
     rows = D.diff_rows(
-        table(spark, sf_dir, "documents"), derive(spark, sf_dir, I.DOCUMENTS_AFTER), ["doc_id"], mode="hash"
+        table(spark, sf_dir, "documents"), derive(spark, sf_dir, I.DOCUMENTS_AFTER), ["doc_id"]
     )
     return _flat(rows, ["doc_id"], _DOC_VALUES)
 
@@ -209,6 +212,54 @@ def data_diff_text(spark, sf_dir):
     )
 
 
+@query("data_diff_text_numbers", f"""
+    SELECT 'changed' AS status, CAST(o.o_orderkey AS VARCHAR) AS o_orderkey,
+           CAST(o.big AS VARCHAR) AS old_big, CAST(CAST(n.big AS BIGINT) AS VARCHAR) AS new_big,
+           CAST(o.o_orderkey AS VARCHAR) AS old_amount, CAST(n.amount AS VARCHAR) AS new_amount,
+           CAST(1 AS BIGINT) AS copies
+    FROM {duck(I.ORDERS_MEASURED)} o JOIN {duck(I.ORDERS_REMEASURED)} n ON o.o_orderkey = n.o_orderkey
+    WHERE o.big <> n.big OR o.amount <> n.amount""")
+def data_diff_text_numbers(spark, sf_dir):
+    """Integers against doubles on both sides of 10^15, decimals against integers: only real changes show."""
+    rows = D.diff_rows(
+        derive(spark, sf_dir, I.ORDERS_MEASURED), derive(spark, sf_dir, I.ORDERS_REMEASURED), I.ORDERS_KEYS, compare="text"
+    )
+    shown = {f"{side}_{v}": F.col(f"{side}.{v}") for v in ("big", "amount") for side in ("old", "new")}
+    return rows.select("status", "copies", F.col("key.o_orderkey").alias("o_orderkey"), *[c.alias(n) for n, c in shown.items()])
+
+
+@query("data_diff_retyped", f"""
+    WITH o AS (SELECT * FROM {duck(I.ORDERS_CODED)}), n AS (SELECT * FROM {duck(I.ORDERS_RENUMBERED)})
+    SELECT CASE WHEN o.code IS NULL THEN 'added' WHEN n.code IS NULL THEN 'removed' ELSE 'changed' END AS status,
+           coalesce(CAST(n.code AS VARCHAR), o.code) AS code, o.o_custkey AS old_o_custkey, n.o_custkey AS new_o_custkey
+    FROM o FULL JOIN n ON TRY_CAST(o.code AS BIGINT) = n.code
+    WHERE o.code IS NULL OR n.code IS NULL OR o.o_custkey <> n.o_custkey""")
+def data_diff_retyped(spark, sf_dir):
+    """A text key that became a number: what is no number is removed, and shown."""
+    rows = D.diff_rows(derive(spark, sf_dir, I.ORDERS_CODED), derive(spark, sf_dir, I.ORDERS_RENUMBERED), ["code"])
+    return rows.select(
+        "status", F.col("key.code").alias("code"),
+        F.col("old.o_custkey").alias("old_o_custkey"), F.col("new.o_custkey").alias("new_o_custkey"),
+    )
+
+
+@query("data_diff_retyped_keys", f"""
+    WITH o AS (SELECT * FROM {duck(I.ORDERS_CODED)}), n AS (SELECT * FROM {duck(I.ORDERS_RENUMBERED)})
+    SELECT 'added' AS side, CAST(code AS VARCHAR) AS code, o_custkey FROM n
+    WHERE NOT EXISTS (SELECT 1 FROM o WHERE TRY_CAST(o.code AS BIGINT) = n.code)
+    UNION ALL
+    SELECT 'removed', code, o_custkey FROM o
+    WHERE NOT EXISTS (SELECT 1 FROM n WHERE TRY_CAST(o.code AS BIGINT) = n.code)""")
+def data_diff_retyped_keys(spark, sf_dir):
+    sides = [derive(spark, sf_dir, t) for t in (I.ORDERS_CODED, I.ORDERS_RENUMBERED)]
+
+    def listed(rows, side):
+        return rows.select(F.lit(side).alias("side"), F.col("code").cast("string").alias("code"), "o_custkey")
+
+    added, removed = D.added_rows(*sides, ["code"]), D.removed_rows(*sides, ["code"])
+    return listed(added, "added").unionByName(listed(removed, "removed"))
+
+
 @query("data_diff_keyless", """
     WITH d AS (SELECT (SELECT count(*) FROM labels) - (SELECT count(*) FROM documents) AS n)
     SELECT greatest(n, 0) AS added, greatest(-n, 0) AS removed, CAST(0 AS BIGINT) AS changed FROM d""")
@@ -217,13 +268,12 @@ def data_diff_keyless(spark, sf_dir):
 
 
 @query("data_diff_multiset", f"""
-    WITH net AS ({_net_sql("documents", duck(I.DOCUMENTS_AFTER), "text, lang, source")})
-    SELECT text, lang, source, CASE WHEN net > 0 THEN 'added' ELSE 'removed' END AS status, abs(net) AS copies
+    WITH net AS ({_net_sql("documents", duck(I.DOCUMENTS_AFTER), "text, lang, source, n_chars")})
+    SELECT text, lang, source, n_chars, CASE WHEN net > 0 THEN 'added' ELSE 'removed' END AS status, abs(net) AS copies
     FROM net""")
 def data_diff_multiset(spark, sf_dir):
     return D.diff_multiset(
-        table(spark, sf_dir, "documents").select("text", "lang", "source"),
-        derive(spark, sf_dir, I.DOCUMENTS_AFTER).select("text", "lang", "source"),
+        table(spark, sf_dir, "documents").drop("doc_id"), derive(spark, sf_dir, I.DOCUMENTS_AFTER).drop("doc_id")
     )
 
 
@@ -264,3 +314,22 @@ def table_preview_page(spark, sf_dir):
         limit=100, offset=200,
     )
     return rows.withColumn("total", total.scalar())
+
+
+@query("table_pages", "SELECT * FROM lineitem")
+def table_pages(spark, sf_dir):
+    """The whole table read page by page, each after the last row of the one before, over tied dates."""
+    rows = table(spark, sf_dir, "lineitem")
+    names = D.page_order(rows, ["l_shipdate"])
+    size = -(-rows.count() // 4)
+    pages, after, seen = [], None, 1
+    for _ in range(4):
+        got, _ = D.page(rows, ["l_shipdate"], limit=max(size, 1), after=after, seen=seen)
+        pages.append(got)
+        last = got.orderBy(*[F.desc(n) for n in names]).first()
+        if last is None:
+            break
+        before, after = after, [last[n] for n in names]
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.lit(v)) for n, v in zip(names, after, strict=True)])
+        seen = got.filter(same).count() + (seen if after == before else 0)
+    return reduce(DataFrame.unionByName, pages)

@@ -66,9 +66,9 @@ def fleet_status(spark, sf_dir):
 
 _MERGED = f"""
     WITH e AS {_MEMBERS}, i AS {duck(I.INCOMING)},
-    c AS (SELECT name, arg_max(dsn, pos) AS dsn, arg_min(baseline, pos) AS baseline,
+    c AS (SELECT name, min(pos) AS pos, arg_max(dsn, pos) AS dsn, arg_min(baseline, pos) AS baseline,
                  arg_max(tags, pos) FILTER (tags IS NOT NULL) AS tags, count(*) AS n FROM i GROUP BY name),
-    m AS (SELECT coalesce(e.name, c.name) AS name, coalesce(c.dsn, e.dsn) AS dsn,
+    m AS (SELECT coalesce(e.pos, c.pos) AS pos, coalesce(e.name, c.name) AS name, coalesce(c.dsn, e.dsn) AS dsn,
                  CASE WHEN e.name IS NULL THEN c.baseline ELSE e.baseline END AS baseline,
                  array_to_string(coalesce(c.tags, e.tags), ',') AS tags,
                  CAST(CASE WHEN e.name IS NULL THEN 1 ELSE 0 END AS BIGINT) AS added,
@@ -124,7 +124,8 @@ _DRIFT = f"""
     c AS (SELECT database, count(*) AS n,
                  string_agg({_CHANGE_LINE}, '; ' ORDER BY kind, "table", subject NULLS FIRST) AS changes
           FROM changes GROUP BY database),
-    d AS (SELECT b.database AS source, baseline_at, checked_at, coalesce(n, 0) > 0 AS has_drift,
+    d AS (SELECT b.database AS source, baseline_at,
+                 coalesce(checked_at, (SELECT max(checked_at) FROM l)) AS checked_at, coalesce(n, 0) > 0 AS has_drift,
                  coalesce(changes, '') AS changes
           FROM b LEFT JOIN l ON b.database = l.database LEFT JOIN c ON b.database = c.database)"""
 
@@ -209,6 +210,19 @@ def rollout_states_dry_run(spark, sf_dir):
     return _rolled(spark, sf_dir, canary=3, dry_run=True)
 
 
+@query("rollout_states_ties", f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY pos, name) AS i FROM {duck(I.TIED_OUTCOMES)}),
+    s AS (SELECT fleet, min(i) FILTER (NOT ok) AS fail FROM r GROUP BY fleet),
+    h AS (SELECT fleet, i AS hold FROM (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY i) AS n FROM r WHERE ok) WHERE n = 5)
+    SELECT fleet, pos, name, ok,
+           CASE WHEN fail < coalesce(hold, fail + 1) THEN CASE WHEN i = fail THEN 'failed' WHEN i > fail THEN 'skipped' ELSE 'applied' END
+                WHEN i > hold THEN 'canary' ELSE 'applied' END AS state
+    FROM r JOIN s USING (fleet) LEFT JOIN h USING (fleet)""")
+def rollout_states_ties(spark, sf_dir):
+    """Members that share positions go by name."""
+    return L.rollout_states(derive(spark, sf_dir, I.TIED_OUTCOMES), canary=5)
+
+
 @query("rollout_counts", f"""
     SELECT fleet, count(*) FILTER (state = 'applied') AS applied, count(*) FILTER (state = 'failed') AS failed,
            count(*) FILTER (state IN ('skipped', 'canary')) AS skipped
@@ -306,8 +320,7 @@ _AT = "strftime({}, '%Y-%m-%d %H:%M UTC')"
            || '{{"type":"mrkdwn","text":"*Source*\\n`' || source || '`"}},'
            || '{{"type":"mrkdwn","text":"*Changes*\\n' || tables || ' table(s)"}},'
            || '{{"type":"mrkdwn","text":"*Baseline*\\n' || {_AT.format("baseline_at")} || '"}}'
-           || coalesce(',{{"type":"mrkdwn","text":"*Detected*\\n' || {_AT.format("checked_at")} || '"}}',
-                       ',{{"type":"mrkdwn"}}') || ']}},'
+           || ',{{"type":"mrkdwn","text":"*Detected*\\n' || {_AT.format("checked_at")} || '"}}]}},'
            || '{{"type":"section","text":{{"type":"mrkdwn","text":"' || replace(lines, chr(10), '\\n') || '"}}}}]}}' AS payload
     FROM p""")
 def alert_payload(spark, sf_dir):
@@ -326,7 +339,7 @@ _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.000')"
     SELECT source, checked_at,
            '{{"text":"Schema drift detected in ' || source || ' (' || tables || ' changes)","result":{{"source":"' || source
            || '","baseline_at":"' || {_ISO.format("baseline_at")} || '"'
-           || coalesce(',"checked_at":"' || {_ISO.format("checked_at")} || '"', '')
+           || ',"checked_at":"' || {_ISO.format("checked_at")} || '"'
            || ',"has_drift":true,"changes":[' || items || ']}}}}' AS payload
     FROM d JOIN j ON source = database WHERE has_drift""")
 def alert_payload_generic(spark, sf_dir):

@@ -180,3 +180,27 @@ HISTORY = """
 OUTCOMES = """
     SELECT user_id AS fleet, event_id AS pos, event_type <> 'error' AS ok FROM {events}"""
 
+
+# Orders with large whole numbers and decimals, and the same read back from another engine, some changed.
+ORDERS_MEASURED = """
+    SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000000000000 AS big, CAST(o_orderkey AS DECIMAL(20,2)) AS amount
+    FROM {orders}"""
+ORDERS_REMEASURED = """
+    SELECT o_orderkey,
+           CAST(CAST(o_orderkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) * 1000000000000 AS DOUBLE) AS big,
+           CAST(o_orderkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS amount
+    FROM {orders}"""
+
+# Orders by a code that is text, some of it no number, and later by a number.
+ORDERS_CODED = """
+    SELECT CASE WHEN o_orderkey % 13 = 0 THEN concat('x', o_orderkey) ELSE CAST(o_orderkey AS VARCHAR(20)) END AS code, o_custkey
+    FROM {orders} WHERE o_orderkey % 17 <> 0"""
+ORDERS_RENUMBERED = """
+    SELECT CAST(o_orderkey AS BIGINT) AS code, o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS o_custkey
+    FROM {orders} WHERE o_orderkey % 19 <> 0"""
+
+# Rollouts of the events of each user, ten to a position.
+TIED_OUTCOMES = """
+    SELECT user_id AS fleet, CAST(floor(event_id / 10) AS BIGINT) AS pos, concat('m', event_id) AS name,
+           event_type <> 'error' AS ok
+    FROM {events}"""

@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 from driftkit.functions import risk_text
 from driftkit.operators import migration as G
-from driftkit.plans import apply as A
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query, table
 from driftkit.queries.schema import diff_ctes, live_changes
@@ -164,10 +163,12 @@ _PARTIES = """
 @query("migration_dry_run", f"""
     WITH m AS {duck(_MEMBERS)}, p AS {duck(_PARTIES)},
     k AS (SELECT member, count(*) AS n FROM (
-              SELECT member FROM m WHERE o_custkey IS NOT NULL GROUP BY member, o_custkey, o_orderstatus
+              SELECT member FROM m WHERE TRY_CAST(o_custkey AS BIGINT) IS NOT NULL
+              GROUP BY member, TRY_CAST(o_custkey AS BIGINT), o_orderstatus
               HAVING count(*) > 1) GROUP BY member),
-    f AS (SELECT member, count(*) AS n FROM m WHERE NOT EXISTS (
-              SELECT 1 FROM p WHERE p.member = m.member AND p.party = m.o_custkey) GROUP BY member),
+    f AS (SELECT member, count(*) AS n FROM m WHERE TRY_CAST(o_custkey AS BIGINT) IS NOT NULL AND NOT EXISTS (
+              SELECT 1 FROM p WHERE p.member = m.member AND TRY_CAST(p.party AS BIGINT) = TRY_CAST(m.o_custkey AS BIGINT))
+          GROUP BY member),
     b AS (SELECT member, count(*) AS rows, count(*) FILTER (TRY_CAST(o_custkey AS BIGINT) IS NULL) AS lost_casts,
                  count(*) FILTER (o_totalprice IS NULL) AS null_violations FROM m GROUP BY member)
     SELECT b.member AS member, rows, lost_casts, null_violations, coalesce(k.n, 0) AS duplicate_keys,
@@ -196,7 +197,7 @@ def rollout_dry_run(spark, sf_dir):
     target = T.StructType([
         T.StructField("c_custkey", T.StringType(), False), T.StructField("c_acctbal", T.DoubleType(), False),
     ])
-    return A.rollout_dry_run(members, A.Migration(target, keys=["c_custkey"]), "c_mktsegment")
+    return G.rollout_dry_run(members, target, "c_mktsegment", keys=["c_custkey"])
 
 
 @query("migration_dry_run_lines", """

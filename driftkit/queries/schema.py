@@ -164,9 +164,9 @@ def change_detail(spark, sf_dir):
 
 
 @query("verify_schema", f"""
-    WITH {diff_ctes(old=I.LATE, new=I.LIVE)},
+    WITH {diff_ctes(old=I.LATE, new=I.LIVE, old_indexes=I.LATE_INDEXES)},
     known AS (SELECT database FROM o UNION SELECT database FROM n),
-    bad AS (SELECT database, count(DISTINCT "table") AS n FROM changes WHERE kind NOT LIKE 'index%' GROUP BY database)
+    bad AS (SELECT database, count(DISTINCT "table") AS n FROM changes GROUP BY database)
     SELECT database, coalesce(n, 0) AS tables_differing, n IS NULL AS matches FROM known LEFT JOIN bad USING (database)""")
 def verify_schema(spark, sf_dir):
-    return S.verify_schema(derive(spark, sf_dir, I.LATE), derive(spark, sf_dir, I.LIVE))
+    return S.verify_schema(*[derive(spark, sf_dir, t) for t in (I.LATE, I.LIVE, I.LATE_INDEXES, I.LIVE_INDEXES)])

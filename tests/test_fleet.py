@@ -175,6 +175,20 @@ def test_rollout_states_against_model(spark):
         assert [r["state"] for r in got] == [s for p in patterns for s in model(p, canary, dry_run)]
 
 
+def test_rollout_states_with_ties_against_model(spark):
+    rows = [(f, p // 3, f"m{p % 3}", ok) for f, pattern in enumerate(itertools.product([True, False], repeat=5)) for p, ok in enumerate(pattern)]
+    outcomes = spark.createDataFrame(rows, "fleet int, pos int, name string, ok boolean")
+    for canary in range(4):
+        got = L.rollout_states(outcomes, canary).orderBy("fleet", "pos", "name").collect()
+        assert [r["state"] for r in got] == [s for p in itertools.product([True, False], repeat=5) for s in model(p, canary, False)]
+
+
+def test_rollout_refuses_members_without_a_position(spark):
+    outcomes = spark.createDataFrame([(1, None, True), (1, 2, False)], "fleet int, pos int, ok boolean")
+    with pytest.raises(Exception, match="no position"):
+        L.rollout_states(outcomes).collect()
+
+
 def test_rollout_counts(spark):
     rows = [(s,) for s in ("applied", "dry-run", "failed", "skipped", "canary")]
     assert tuple(L.rollout_counts(spark.createDataFrame(rows, "state string")).first()) == (2, 1, 2)

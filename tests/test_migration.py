@@ -6,8 +6,6 @@ from pyspark.sql import types as T
 
 from driftkit.operators import migration as G
 from driftkit.operators.schema_diff import schema_diff
-from driftkit.plans.apply import Migration, apply_migration, publish, read_current, rollout
-from tests.test_fleet import members
 from tests.test_schema import cat, idx
 
 OLD = {"users": [("id", "INTEGER", False, None, 1), ("name", "TEXT")]}
@@ -100,77 +98,39 @@ def test_dry_run_per_member(spark):
     got = G.migration_dry_run(df, layout(("id", "int", False), ("v", "int", False)), "member", keys=["id"],
                               parents=[G.Parent(("p",), parents, ("id",))])
     assert {tuple(r) for r in got.collect()} == {
-        ("a", 2, 0, 0, 0, 0, True), ("b", 2, 1, 1, 1, 1, False), ("c", 1, 0, 0, 0, 1, False)}
+        ("a", 2, 0, 0, 0, 0, True), ("b", 2, 1, 2, 1, 1, False), ("c", 1, 0, 0, 0, 1, False)}
 
 
-USERS = layout(("id", "int", True), ("name", "string", True))
-WITH_EMAIL = layout(("id", "int", True), ("name", "string", True), ("email", "string", True))
-
-
-def table(spark, root, rows=((1, "alice"), (2, "bob")), schema=USERS):
-    publish(spark.createDataFrame(list(rows), schema), str(root))
-    return str(root)
-
-
-def test_apply(spark, tmp_path):
-    root = table(spark, tmp_path / "users")
-    result = apply_migration(spark, root, Migration(WITH_EMAIL, USERS, keys=["id"]), backup_dir=str(tmp_path / "backup"))
-    assert result.ok and result.rows == 2
-    assert read_current(spark, root).columns == ["id", "name", "email"] and read_current(spark, root).count() == 2
-    assert spark.read.parquet(result.backup).columns == ["id", "name"]
-    with pytest.raises(ValueError):
-        apply_migration(spark, root, Migration(WITH_EMAIL))
-
-
-def test_apply_dry_run_changes_nothing(spark, tmp_path):
-    root = table(spark, tmp_path / "users")
-    result = apply_migration(spark, root, Migration(WITH_EMAIL), dry_run=True)
-    assert result.ok and result.dry_run and result.version is None
-    assert read_current(spark, root).columns == ["id", "name"]
-
-
-def test_failing_migrations_publish_nothing(spark, tmp_path):
-    root = table(spark, tmp_path / "users", [(1, "x"), (1, "7")])
-    lossy = apply_migration(spark, root, Migration(layout(("id", "int", True), ("name", "int", True))))
-    assert not lossy.ok and "1 values do not fit" in lossy.problems[0]
-    repeated = apply_migration(spark, root, Migration(WITH_EMAIL, keys=["id"]))
-    assert not repeated.ok and "duplicate keys" in repeated.problems[0]
-    other = apply_migration(spark, root, Migration(WITH_EMAIL, source=WITH_EMAIL))
-    assert not other.ok
-    parents = spark.createDataFrame([(5,)], "id int")
-    orphans = apply_migration(spark, root, Migration(WITH_EMAIL, parents=[G.Parent(("id",), parents, ("id",))]))
-    assert not orphans.ok and "2 rows without a parent" in orphans.problems[0]
-    # Two values become equal only once they are numbers: found in what was written.
-    late = table(spark, tmp_path / "late", [(1, "7"), (2, "07")])
-    collide = apply_migration(spark, late, Migration(layout(("id", "int", True), ("name", "int", True)), keys=["name"]))
-    assert not collide.ok and collide.problems[0].startswith("post-check")
-    for path in (root, late):
-        assert read_current(spark, path).schema["name"].dataType == T.StringType()
-    assert not apply_migration(spark, str(tmp_path / "none"), Migration(WITH_EMAIL)).ok
-
-
-def fleet(spark, tmp_path):
-    roots = [table(spark, tmp_path / "a"), table(spark, tmp_path / "b", [(1, "x", "e")], WITH_EMAIL), table(spark, tmp_path / "c")]
-    return members(spark, [(r.rsplit("/", 1)[-1], r) for r in roots])
-
-
-def states(report):
-    return [r["state"] for r in report.collect()]
-
-
-def test_rollout(spark, tmp_path):
-    reg = fleet(spark, tmp_path)
-    migration = Migration(WITH_EMAIL, USERS)
-    assert states(rollout(reg, migration, dry_run=True)) == ["dry-run", "failed", "dry-run"]
-    assert states(rollout(reg, migration)) == ["applied", "failed", "skipped"]
-    assert read_current(spark, str(tmp_path / "a")).columns[-1] == "email"
-    assert read_current(spark, str(tmp_path / "c")).columns[-1] == "name"
-    with pytest.raises(ValueError):
-        rollout(reg, Migration(T.StructType([])))
-    with pytest.raises(ValueError):
-        rollout(reg.filter(F.lit(False)), migration)
-
-
-def test_rollout_canary(spark, tmp_path):
-    report = rollout(fleet(spark, tmp_path), Migration(WITH_EMAIL, USERS), canary=1)
-    assert states(report) == ["applied", "canary", "canary"]
+def test_dry_run_measures_rebuilt_values(spark):
+    df = spark.createDataFrame(
+        [("a", "1", "5"), ("a", "01", "5"), ("b", "1", "x"), ("b", "2", "6"), ("c", "y", "5"), (None, "3", "5"), (None, "03", "7")],
+        "member string, id string, p string")
+    parents = spark.createDataFrame([("a", "05"), ("b", "5"), ("c", "5"), (None, "5"), ("b", "no")], "member string, id string")
+    target = layout(("id", "int", False), ("p", "int", True))
+    got = G.migration_dry_run(df, target, "member", keys=["id"], parents=[G.Parent(("p",), parents, ("id",))])
+    assert {tuple(r) for r in got.collect()} == {
+        ("a", 2, 0, 0, 1, 0, False), ("b", 2, 1, 0, 0, 1, False), ("c", 1, 1, 1, 0, 0, False), (None, 2, 0, 0, 1, 1, False)}
+    lenient = G.migration_dry_run(df.filter("member = 'c'"), target, "member", on_bad="null").first()
+    assert (lenient["lost_casts"], lenient["null_violations"], lenient["ok"]) == (1, 1, False)
+    allowed = layout(("id", "int", True), ("p", "int", True))
+    assert G.migration_dry_run(df.filter("member = 'c'"), allowed, "member", on_bad="null").first()["ok"]
+
+
+def test_impossible_types(spark):
+    df = spark.createDataFrame([("a", [1]), ("a", None)], "member string, v array<int>")
+    assert tuple(G.coercion_loss(df, {"v": "int"}).first()) == ("v", "int", 2, 1, 0)
+    row = G.migration_dry_run(df, layout(("v", "int", True)), "member").first()
+    assert (row["lost_casts"], row["ok"]) == (1, False)
+    assert [r["v"] for r in G.rebuild_table(df, layout(("v", "int", True)), on_bad="null").collect()] == [None, None]
+
+
+def test_rollout_of_measured_members(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3")], "member string, id string")
+    order = spark.createDataFrame([("a", 2), ("b", 2), ("c", 3)], "name string, pos bigint")
+    target = layout(("id", "int", True))
+    got = {r["member"]: (r["state"], r["halted"]) for r in G.rollout_dry_run(df, target, "member", order).collect()}
+    assert got == {"a": ("applied", True), "b": ("failed", True), "c": ("skipped", True)}
+    held = G.rollout_dry_run(df, target, "member", order, canary=1).collect()
+    assert {(r["member"], r["state"], r["halted"]) for r in held} == {("a", "applied", False), ("b", "canary", False), ("c", "canary", False)}
+    tried = {r["member"]: r["state"] for r in G.rollout_dry_run(df, target, "member").collect()}
+    assert tried == {"a": "dry-run", "b": "failed", "c": "dry-run"}

