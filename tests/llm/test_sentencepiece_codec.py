@@ -51,7 +51,7 @@ def _message(*fields):
 def unigram(squeeze: int) -> bytes:
     """A small unigram model with byte fallback, written by hand."""
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
-    pieces += [(p, -1.0 - k / 7, 1) for k, p in enumerate(["▁the", "▁", "the", "▁a", "ab", "a", "b", "c", "bc", "▁ab", "abc", "t", "h", "e"])]
+    pieces += [(p, -1.0 - k**1.37 / 7, 1) for k, p in enumerate(["▁the", "▁", "the", "▁a", "ab", "a", "b", "c", "bc", "▁ab", "abc", "t", "h", "e"])]
     out = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
     return out + _message((2, _message((3, 1), (35, 1)))) + _message((3, _message((1, b"identity"), (3, 1), (4, squeeze), (5, 1))))
 

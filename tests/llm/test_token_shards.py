@@ -15,7 +15,7 @@ def test_permutation():
 
 
 def written(df, tmp_path, **options):
-    index, folder, plan = T.write_shards(df, MODEL, str(tmp_path / "out"), length=64, shard_bytes=1 << 15, **options)
+    index, folder, plan = T.write_shards(df, MODEL, str(tmp_path / "out"), length=64, shard_bytes=1 << 14, **options)
     return index.collect(), folder, plan
 
 
