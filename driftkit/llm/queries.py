@@ -15,7 +15,7 @@ from .language_id import language_report
 from .quality import quality_scores
 from .quotations import linked_conversations
 from .sentencepiece_codec import encoded_documents
-from .surrogates import HINT, PATTERN, with_surrogates
+from .surrogates import PATTERN, may_mention, with_surrogates
 from .token_shards import write_shards
 from .topk import top_k
 
@@ -142,7 +142,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates in place of personal data; ``n_replaced`` counts the mentions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mentions = F.when(F.col("text").rlike(HINT), F.regexp_count("text", F.lit(PATTERN))).otherwise(0)
+    mentions = F.when(may_mention(F.col("text")), F.regexp_count("text", F.lit(PATTERN))).otherwise(0)
     return with_surrogates(docs.withColumn("n_replaced", mentions), KEY)[0]
 
 

@@ -50,11 +50,22 @@ _PATTERNS = {
     "name": rf"(?<!\w)(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}\p{{M}}'’]+(?: \p{{Lu}}[\p{{Ll}}\p{{M}}'’]+)?",
 }
 PATTERN = "|".join(f"(?:{_PATTERNS[t]})" for t in TYPES)
-#: What every mention holds; texts without it are not searched.
-HINT = rf"[0-9@]|(?<!\w)(?:{_TITLES})\.? \p{{Lu}}|(?:sk|pk|ghp|gho|xox[abp])[_-]|eyJ"
 HEX = "0123456789abcdef"
 
 
+def may_mention(text: Column) -> Column:
+    """Whether a text holds what every mention does; false for all others, which are not searched.
+
+    A digit, an at sign, a title or the start of a key: plain searches, many
+    times as fast as the pattern.
+    """
+    starts = [*_MALE, *_FEMALE, "sk-", "sk_", "pk-", "pk_", "gho", "ghp", "xox", "AKIA", "eyJ"]
+    found = text.rlike("[0-9@]")
+    for start in starts:
+        found = found | text.contains(start)
+    return F.coalesce(found, F.lit(False))
+
+
 def _type(mention: Column) -> Column:
     """The first type whose pattern is the whole mention."""
     found = F.lit(None).cast("string")
@@ -238,7 +249,7 @@ def with_surrogates(df: DataFrame, key: str, text: str = "text") -> tuple[DataFr
     it as safe as the key.
     """
     found = F.regexp_extract_all(F.col("text"), F.lit(f"({PATTERN})"), F.lit(1))
-    texts = df.select(df[text].cast("string").alias("text")).filter(F.col("text").rlike(HINT))
+    texts = df.select(df[text].cast("string").alias("text")).filter(may_mention(F.col("text")))
     texts = texts.withColumn("mentions", found).filter(F.size("mentions") > 0)
     mentions = texts.select(F.explode("mentions").alias("mention")).distinct()
     kind = _type(F.col("mention"))
@@ -255,7 +266,7 @@ def with_surrogates(df: DataFrame, key: str, text: str = "text") -> tuple[DataFr
     replaced = replaced.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["s"]).alias("__new"))
     replaced = stored(replaced, "replaced")
     whole = df[text].cast("string")
-    keyed = df.withColumn("__key", F.when(whole.rlike(HINT), F.sha2(whole, 256)))
+    keyed = df.withColumn("__key", F.when(may_mention(whole), F.sha2(whole, 256)))
     plain = keyed.filter(F.col("__key").isNull()).select(*df.columns)
     joined = keyed.filter(F.col("__key").isNotNull()).join(replaced, "__key", "left")
     gaps = F.split(F.col(text), PATTERN, -1)
