@@ -269,7 +269,7 @@ def history_timeline(spark, sf_dir):
           for f in M.DRIFT_REPORT.fields]
     )
     append_report(checks, path)
-    return load_history(spark, path).select(
+    return load_history(spark, path, ordered=True).select(
         "source", F.col("checked_at").cast("timestamp_ntz").alias("checked_at"), "has_drift"
     )
 

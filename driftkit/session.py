@@ -39,9 +39,10 @@ def work_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _own_dir(spark.sparkContext.applicationId)
+    return _own_dir(spark.sparkContext.applicationId).name
 
 
 @functools.cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"driftkit-{application}-")
+def _own_dir(application: str) -> tempfile.TemporaryDirectory:
+    """A folder that goes when this process ends."""
+    return tempfile.TemporaryDirectory(prefix=f"driftkit-{application}-", ignore_cleanup_errors=True)

@@ -17,11 +17,12 @@ def append_report(drift: DataFrame, path: str) -> None:
     drift.select(*M.DRIFT_REPORT.fieldNames()).write.mode("append").option("timestampFormat", REPORT_TIME).json(path)
 
 
-def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """All reports at ``path``, oldest first; blank lines are skipped, a malformed one fails."""
+def load_history(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """All reports at ``path``, oldest first if ``ordered``; blank lines are skipped, a malformed one fails."""
     reader = spark.read.schema(M.DRIFT_REPORT).option("mode", "FAILFAST").option("timestampFormat", REPORT_TIME)
     reports = reader.json(path)
-    return reports.select(*M.DRIFT_REPORT.fieldNames()).orderBy("checked_at")
+    reports = reports.select(*M.DRIFT_REPORT.fieldNames())
+    return reports.orderBy("checked_at") if ordered else reports
 
 
 def to_json_report(df: DataFrame) -> DataFrame:

@@ -46,6 +46,7 @@ def watch(
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read several times below
         report = drift_of_snapshots(_now(baseline), batch, _now(baseline_indexes), _now(indexes))
         report = report.withColumn("batch_id", F.lit(batch_id))
         (
@@ -55,6 +56,7 @@ def watch(
             .partitionBy("batch_id")
             .json(report_path)
         )
+        batch.unpersist()
 
     writer = snapshots.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

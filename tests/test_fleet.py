@@ -133,7 +133,7 @@ def test_history(spark, tmp_path):
     append_report(reports(spark, [("a", at(3), True)]), path)
     append_report(reports(spark, [("a", at(2), False), ("b", at(4), False)]), path)
     (tmp_path / "history" / "hand.json").write_text("\n\n")
-    history = load_history(spark, path)
+    history = load_history(spark, path, ordered=True)
     assert [r["checked_at"].day for r in history.collect()] == [2, 3, 4]
     summary = {r["source"]: r for r in R.history_summary(history).collect()}
     assert (summary["a"]["total_checks"], summary["a"]["drift_count"], summary["b"]["last_drift"]) == (2, 1, None)
