@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def change_text(table: Column, subject: Column, kind: Column, detail: Column) -> Column:
     """One change as a line: ``t.s: kind detail``, or ``t: kind`` without a subject."""
+    # The two line formats.
     return F.when(
         subject.isNotNull(),
         F.format_string("%s.%s: %s %s", table, subject, kind, F.coalesce(detail, F.lit(""))),
@@ -16,6 +17,7 @@ def change_text(table: Column, subject: Column, kind: Column, detail: Column) ->
 
 def risk_text(description: Column, rows: Column) -> Column:
     """One risk as a line, with its row count when that is known."""
+    # The line format.
     return F.when(
         rows.isNotNull(), F.format_string("%s (%d rows affected)", description, rows)
     ).otherwise(description)
