@@ -34,7 +34,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # Element names of HTML.
@@ -53,6 +53,13 @@ _FOREIGN = set(
     "promoted related remark replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "toolbar widget complementary contentinfo".split()
 )
+# Words that name a part together with one of these, and whose text a comment or reply is.
+_PARTS = set(
+    "area article articles aside bar block blocks bottom box button buttons container entry form global group head heading icon "
+    "icons inner item items left link links list main media menu mobile module nav outer page panel post posts primary region "
+    "right row secondary section site small story stories text this title top us widget widgets wrap wrapper".split()
+)
+_REPLIES = {"comment", "comments", "disqus", "replies", "respond"}
 
 
 @dataclass
@@ -65,46 +72,89 @@ class Block:
     links: int = 0  # words in links
     marked: bool = False  # inside an article or main element
     foreign: bool = False  # in a part that is never content
+    article: bool = False  # inside an article element
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def _foreign(tag: str, attributes: str, marked: bool) -> bool:
-    if tag in _NEVER or tag == "header" and not marked:
-        return True
-    if tag in _CONTENT or tag in ("body", "html"):
-        return False
-    return any(not _FOREIGN.isdisjoint(w.lower() for w in _WORDS.findall(m)) for m in _NAMED.findall(attributes))
+def _foreign_name(attributes: str) -> str:
+    """The first class, id, role or label that names a part that is never content; "" without one.
+
+    A name counts as a whole: one word is of _FOREIGN and the others are of it
+    or of _PARTS. "share-bar" is such a name, "no-sidebar" and "related-work" are not.
+    """
+    for kind, value in _NAMED.findall(attributes):
+        value = value.strip("\"'")
+        for name in [value] if kind.lower() == "aria-label" else value.split():
+            own = {w.lower() for w in _WORDS.findall(name)}
+            if not _FOREIGN.isdisjoint(own) and own <= _FOREIGN | _PARTS:
+                return name
+    return ""
 
 
 def blocks(html: str | None, every: bool = False) -> tuple[list[Block], bool]:
     """The blocks of a page in order; whether content is marked.
 
     Parts that are never content are left out, or given as ``foreign`` blocks if ``every`` block is asked for.
+    A part left out for its name is read after all if it wraps the content: it
+    holds an article or main element or most of the words, and no article is outside.
+    """
+    spared: set[int] = set()
+    for _ in range(8):
+        out, any_mark, named = _read(html, every, spared)
+        if not named:
+            break
+        n = {b: len(b_.text().split()) for b, b_ in enumerate(out) if not b_.foreign}
+        if any(n[b] and out[b].article for b in n):
+            break
+        marked, total = sum(n[b] for b in n if out[b].marked), sum(n.values()) + sum(w for w, _, _ in named.values())
+        more = {
+            at for at, (w, marks, replies) in named.items()
+            if not replies and (marked == 0 and (marks or 2 * w > total) or marks and 2 * w > total)
+        }
+        if not more:
+            break
+        spared |= more
+    else:  # a wrapper within a wrapper and so on: no name counts
+        out, any_mark, _ = _read(html, every, None)
+    return [b for b in out if b.text()], any_mark
+
+
+def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[Block], bool, dict[int, list]]:
+    """The blocks, whether content is marked, and [words, marks, replies] of each outermost part left out for its name.
+
+    ``spared`` are the parts (by the place of their tag) whose names do not count; None means all.
     """
     out, stack = [], []  # stack: (tag, left out, content mark)
+    named: dict[int, list] = {}
+    part, depth = None, 0  # the part left out for its name around here, and how deep it stands
     any_mark, tags, block = False, Counter(), None
-    skipped = links = marks = 0
+    skipped = links = marks = articles = 0
 
     def pop() -> str:
-        nonlocal skipped, links, marks
+        nonlocal skipped, links, marks, articles, part
         tag, left_out, mark = stack.pop()
         skipped -= left_out
         marks -= mark
+        articles -= tag == "article"
         links -= tag == "a"
+        if part is not None and len(stack) <= depth:
+            part = None
         return tag
 
     for m in _TOKEN.finditer(html or ""):
         tag, text = m["tag"], m["text"]
         if text is not None:
+            if part is not None and skipped == 1:
+                part[0] += len(text.split())
             if skipped and not every:
                 continue
             if block is None or block.foreign != (skipped > 0):
                 if not text.strip():
                     continue
                 near = next((t for t, _, _ in reversed(stack) if t in _BLOCKS), "body")
-                block = Block(near, tags, marked=marks > 0 and not skipped, foreign=skipped > 0)
+                block = Block(near, tags, marked=marks > 0 and not skipped, foreign=skipped > 0, article=articles > 0)
                 out.append(block)
                 tags = Counter()
             block.parts.append(text)
@@ -134,13 +184,24 @@ def blocks(html: str | None, every: bool = False) -> tuple[list[Block], bool]:
         elif closed and any(t == "p" for t, _, _ in stack[-4:]):  # a block ends an open paragraph
             while stack and stack[-1][0] in closed:
                 pop()
-        left_out, mark = _foreign(tag, m["attributes"], marks > 0), tag in _CONTENT
+        mark = tag in _CONTENT
+        left_out = tag in _NEVER or tag == "header" and not marks
+        if not left_out and not mark and tag not in ("body", "html") and not skipped and spared is not None and m.start() not in spared:
+            name = _foreign_name(m["attributes"])
+            left_out = name != ""
+            if name:
+                words = {w.lower() for w in _WORDS.findall(name)}
+                part, depth = [0, 0, not _REPLIES.isdisjoint(words)], len(stack)
+                named[m.start()] = part
+        if part is not None and skipped == 1:
+            part[1] += mark
         stack.append((tag, left_out, mark))
         skipped += left_out
         marks += mark
+        articles += tag == "article"
         links += tag == "a"
         any_mark |= mark and not skipped
-    return [b for b in out if b.text()], any_mark
+    return out, any_mark, named
 
 
 @dataclass(frozen=True)

@@ -60,3 +60,22 @@ def test_tables_with_odd_rows(spark):
     assert {(r["page_id"], r["text"] != "") for r in found} == {(1, True), (2, False), (None, False)}
     none = spark.createDataFrame([], schema)
     assert H.learn_weights(none) == H.DEFAULT and H.extract(none, H.DEFAULT).collect() == []
+
+
+def test_wrappers_with_foreign_words_in_their_names():
+    body = "<h1>A title</h1><p>The first long paragraph of it.</p><section id='related-work'><p>Work before ours.</p></section><p>The end.</p>"
+    expected = "A title\nThe first long paragraph of it.\nWork before ours.\nThe end."
+    more = "<div class='related-posts'><article><p>Another post</p></article></div><div id='comments'><article><p>Nice one</p></article></div>"
+    for name in ("content-sidebar-wrap", "site no-sidebar", "has-comments", "social-policy", "sidebar-wrap", "widget"):
+        for inside in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+            page = f"<body><nav>Home</nav><div class='{name}'>{inside}</div><div class='share-bar'>share me</div></body>"
+            assert H.main_text(page) == expected, (name, inside)
+        assert H.main_text(f"<body><main><h1>Site</h1><div class='{name}'><article>{body}</article></div>{more}</main></body>").endswith(expected)
+        marked = f"<body><article>{body}<div class='comment-list'><p>{'so many words ' * 50}</p></div></article>{more}</body>"
+        assert H.main_text(marked) == expected
+    deep = "<div class='sidebar-wrap'>" * 200 + f"<article>{body}</article>" + "</div>" * 200
+    assert H.main_text(deep) == expected
+
+
+def test_data_attributes_are_no_names():
+    assert H.main_text("<article><p data-id='share'>Kept words.</p><p class='share'>Gone</p></article>") == "Kept words."
