@@ -27,8 +27,7 @@ from .common import by_batch
 _ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*'|["'])*"""
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|button|audio|video)\b"
-    rf"{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>script|style|textarea)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
     r"|<[!?][^>]*>"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attributes>{_ATTRIBUTES})(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
@@ -45,6 +44,8 @@ _BLOCKS = set(
     "table tbody td tfoot th thead tr ul".split()
 )
 _NEVER = set("head title nav aside footer form menu dialog search fieldset label input option".split())
+# Left out too; without an end tag further on they are read as empty.
+_EMBEDDED = set("noscript template svg iframe object canvas select button audio video".split())
 _CONTENT = {"article", "main"}
 # Words in class, id and role names of parts that are not content.
 _FOREIGN = set(
@@ -131,6 +132,7 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
     part, depth = None, 0  # the part left out for its name around here, and how deep it stands
     any_mark, tags, block = False, Counter(), None
     skipped = links = marks = articles = 0
+    last_end: dict[str, int] = {}  # where the last end tag of an embedded element begins
 
     def pop() -> str:
         nonlocal skipped, links, marks, articles, part
@@ -177,6 +179,15 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
             continue
         if tag in _VOID or m["attributes"].endswith("/") and tag not in _BLOCKS:
             continue
+        if tag in _EMBEDDED:
+            if tag not in last_end:
+                ends_at = (e.start() for e in re.finditer(rf"</{tag}(?=[\s/>]|\Z)", html, re.I | re.A))
+                last_end[tag] = max(ends_at, default=-1)
+            if last_end[tag] < m.start():
+                continue
+            if tag in ("select", "button") and any(t == tag for t, _, _ in stack):  # these do not nest
+                while pop() != tag:
+                    pass
         closed = {"p", "b", "i", "em", "strong", "u", "span", "a", "font"} if tag in _BLOCKS else ()
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             while stack and stack[-1][0] in {tag, "p", "dd", "dt"} - ({"tr"} if tag in ("td", "th") else set()):
@@ -185,7 +196,7 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
             while stack and stack[-1][0] in closed:
                 pop()
         mark = tag in _CONTENT
-        left_out = tag in _NEVER or tag == "header" and not marks
+        left_out = tag in _NEVER or tag in _EMBEDDED or tag == "header" and not marks
         if not left_out and not mark and tag not in ("body", "html") and not skipped and spared is not None and m.start() not in spared:
             name = _foreign_name(m["attributes"])
             left_out = name != ""

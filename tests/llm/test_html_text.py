@@ -79,3 +79,17 @@ def test_wrappers_with_foreign_words_in_their_names():
 
 def test_data_attributes_are_no_names():
     assert H.main_text("<article><p data-id='share'>Kept words.</p><p class='share'>Gone</p></article>") == "Kept words."
+
+
+def test_embedded_elements_lose_nothing_after_them():
+    for part in (
+        '<svg class="i"/>', '<svg><path d="M0"/><title>icon</title></svg>', '<iframe src="x"/>', '<iframe src="x">', "<iframe src=x></iframe>",
+        "<video-player src=x></video-player>", "<script-x></script-x>", "<select><option>gone", "<button>", "<object data=x>", "<canvas>",
+        "<button>gone</button>", "<select><option>gone</select>", "<video><p>gone</p></video>", "<template><p>gone</p></template>",
+        "<script>if (a < b) '</p>'</script >", "<textarea></article></textarea>", "<style>p > a {}</style>", "<noscript><img></noscript>",
+    ):
+        page = f"<article><div><p>One two.</p><div>{part}</div><p>Three four.</p></div></article><footer>f</footer>"
+        assert H.main_text(page).replace("\ngone", "") == "One two.\nThree four.", part
+    twice = "<article><p>One.</p><div><button>gone</div><p>Two.</p><button>gone<button>gone</button><p>Three.</p></article>"
+    assert H.main_text(twice) == "One.\nTwo.\nThree."
+    assert H.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "So x=2 holds."
