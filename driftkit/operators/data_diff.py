@@ -321,7 +321,7 @@ def diff_tables_data(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _literal(value: object, dtype: T.DataType) -> Column:
+def literal(value: object, dtype: T.DataType) -> Column:
     """``value`` as a literal of a column's type; a zoneless time stays as it is."""
     if isinstance(dtype, T.TimestampNTZType) and value is not None:
         return F.lit(str(value)).cast(dtype)
@@ -351,7 +351,8 @@ def page(
     To read the next page, give the last row's values of the ``page_order``
     columns as ``after``, and how many rows equal to it in these columns were
     read so far as ``seen``: the filter reaches the scan, and pages read one
-    after the other hold every row once. An ``offset`` sorts the rows it skips.
+    after the other hold every row once. An ``offset`` sorts the rows it skips;
+    ``order_index`` leads straight to a page, however deep.
     """
     if not order_by:
         raise ValueError("a page needs an order")
@@ -365,7 +366,7 @@ def page(
         equal = F.lit(True)
         for name, col, value in zip(names, order, after, strict=True):
             # NULLs come first in the order.
-            last = _literal(value, df.schema[name].dataType)
+            last = literal(value, df.schema[name].dataType)
             beyond = beyond | (equal & (col.isNotNull() if value is None else col > last))
             equal = equal & (col.isNull() if value is None else col.eqNullSafe(last))
         rows = df.filter(equal).offset(seen).unionByName(df.filter(beyond))

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from driftkit import model as M
 from driftkit.operators.keyed import membership
+from driftkit.operators.order_index import order_index, ranked
 from driftkit.operators.schema_diff import DATABASE, schema_diff
 
+#: Spark's own limit for keeping the first rows of a group in each task.
+_KEPT_BY_TASK = 1000
+
 
 def latest_snapshot(snapshots: DataFrame, by: Sequence[str] = DATABASE) -> DataFrame:
     """The catalog rows of each database's newest snapshot."""
@@ -131,7 +135,15 @@ def history_summary(history: DataFrame) -> DataFrame:
 
 
 def history_last(history: DataFrame, n: int, then_by: Sequence[str] = ()) -> DataFrame:
-    """The newest ``n`` checks of each source, oldest first; ``then_by`` settles equal times."""
+    """The newest ``n`` checks of each source, oldest first; ``then_by`` settles equal times.
+
+    Up to 1,000 every task keeps the newest of each source before the shuffle.
+    Beyond that an order index ranks them, so a source may fill many tasks.
+    """
+    if n > _KEPT_BY_TASK:
+        rows = ranked(order_index(history, ["source", "checked_at", *then_by]), ["source"])
+        newest = rows.filter(F.col("rank") >= F.col("size") - n).drop("rank", "size")
+        return newest.orderBy("source", "checked_at", *then_by)
     newest_first = Window.partitionBy("source").orderBy(F.desc("checked_at"), *[F.desc(c) for c in then_by])
     return (
         history.withColumn("__n", F.row_number().over(newest_first))

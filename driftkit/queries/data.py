@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftkit.operators import data_diff as D
+from driftkit.operators import order_index as O
 from driftkit.queries import inputs as I
 from driftkit.queries.base import TABLES, derive, duck, query, table, tables
 
@@ -316,20 +317,24 @@ def table_preview_page(spark, sf_dir):
     return rows.withColumn("total", total.scalar())
 
 
-@query("table_pages", "SELECT * FROM lineitem")
+_PLACED = """
+    SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+                                          l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS position
+    FROM lineitem"""
+
+
+@query("table_pages", f"SELECT *, position // 100 AS page FROM ({_PLACED})")
 def table_pages(spark, sf_dir):
-    """The whole table read page by page, each after the last row of the one before, over tied dates."""
-    rows = table(spark, sf_dir, "lineitem")
-    names = D.page_order(rows, ["l_shipdate"])
-    size = -(-rows.count() // 4)
-    pages, after, seen = [], None, 1
-    for _ in range(4):
-        got, _ = D.page(rows, ["l_shipdate"], limit=max(size, 1), after=after, seen=seen)
-        pages.append(got)
-        last = got.orderBy(*[F.desc(n) for n in names]).first()
-        if last is None:
-            break
-        before, after = after, [last[n] for n in names]
-        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.lit(v)) for n, v in zip(names, after, strict=True)])
-        seen = got.filter(same).count() + (seen if after == before else 0)
-    return reduce(DataFrame.unionByName, pages)
+    """The whole table cut into pages of 100 rows, over tied dates."""
+    return O.pages(O.order_index(table(spark, sf_dir, "lineitem"), ["l_shipdate"]), 100)
+
+
+@query("table_page_at", f"""
+    SELECT p.* FROM ({_PLACED}) p, (SELECT count(*) AS n FROM lineitem)
+    WHERE position < 100 OR position // 100 = n // 200 OR position >= n - n % 100 - 100""")
+def table_page_at(spark, sf_dir):
+    """The first page, the one in the middle and the last two, each read through the index."""
+    index = O.order_index(table(spark, sf_dir, "lineitem"), ["l_shipdate"])
+    n = index.total()
+    wanted = [(0, 100), (n // 200 * 100, 100), (max(n - n % 100 - 100, 0), 200)]
+    return reduce(DataFrame.unionByName, [O.page_at(index, *page) for page in wanted])

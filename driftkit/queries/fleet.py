@@ -249,6 +249,14 @@ def history_last_n(spark, sf_dir):
     return R.history_last(derive(spark, sf_dir, I.HISTORY), 3, ["event_id"])
 
 
+@query("history_last_many", f"""
+    SELECT * FROM {_HISTORY}
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY checked_at DESC, event_id DESC) <= 1200""")
+def history_last_many(spark, sf_dir):
+    """More of a source than a task should rank."""
+    return R.history_last(derive(spark, sf_dir, I.HISTORY), 1200, ["event_id"])
+
+
 def _typed(catalog):
     return catalog.select(*[F.col(f.name).cast(f.dataType) for f in M.CATALOG.fields])
 

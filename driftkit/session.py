@@ -42,6 +42,12 @@ def work_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId).name
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @functools.cache
 def _own_dir(application: str) -> tempfile.TemporaryDirectory:
     """A folder that goes when this process ends."""
