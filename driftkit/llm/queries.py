@@ -12,16 +12,27 @@ from .decontamination import leaks
 from .html_text import extract, learn_weights
 from .jaccard_join import jaccard_classes
 from .language_id import language_report
+from .merkle import verified_manifest, without_line_ends
 from .quality import quality_scores
 from .quotations import linked_conversations
 from .sentencepiece_codec import encoded_documents
 from .surrogates import PATTERN, may_mention, with_surrogates
+from .token_counts import token_counts
 from .token_shards import write_shards
 from .topk import top_k
+from .whitening import whiten
 
 #: A public vocabulary of the installed tokenizer files.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+
+def public_model(name: str) -> str:
+    """Where the installed vocabulary files have the one of that name."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: The key of the surrogates; a deployment passes its own secret.
 KEY = "driftkit"
 
@@ -146,8 +157,81 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_surrogates(docs.withColumn("n_replaced", mentions), KEY)[0]
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and which rows still prove against it once line ends are lost."""
+    docs = table(spark, sf_dir, "documents")
+    return verified_manifest(docs, without_line_ends(docs))
+
+
+_VALUE = "coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+_LEAF = " || ".join(_VALUE.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+#: Parity of the crc32 of doc_id: the reflected polynomial, a bit at a time.
+_CRC = """list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All nodes of the trees over ``leaves`` (tree, i, n, d), and their siblings."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, i, n, d FROM {leaves}
+  UNION ALL
+  SELECT tree, any_value(level) + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i))
+  FROM {name} WHERE n > 1 GROUP BY tree, i // 3
+), {name}_siblings AS (
+  SELECT a.tree, a.level, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {name} a JOIN {name} b ON a.tree IS NOT DISTINCT FROM b.tree AND a.level = b.level AND a.i // 3 = b.i // 3
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.i
+), {name}_paths AS (
+  SELECT a.tree, a.i, coalesce(list({{'l': s.l, 'r': s.r}} ORDER BY s.level) FILTER (s.level IS NOT NULL), []) AS path
+  FROM {leaves} a LEFT JOIN {name}_siblings s
+    ON a.tree IS NOT DISTINCT FROM s.tree AND s.i = a.i // CAST(pow(3, s.level) AS BIGINT) GROUP BY a.tree, a.i
+)"""
+
+
+_SQL["op11_merkle"] = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source AS tree, sha256({_LEAF}) AS d,
+    CASE WHEN {_CRC} % 2 = 1 THEN sha256({_LEAF.replace("text", "replace(text, chr(10), '')")}) ELSE sha256({_LEAF}) END AS claimed
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM rows
+), {_tree("lower_tree", "leaves")}, subroots AS (
+  SELECT tree AS source, CAST(NULL AS VARCHAR) AS tree, d, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM lower_tree WHERE n = 1
+), {_tree("upper_tree", "subroots")}, whole AS (
+  SELECT a.doc_id, a.d AS leaf, a.claimed, s.d AS subroot, list_concat(p.path, q.path) AS path,
+    (SELECT d FROM upper_tree WHERE n = 1) AS root
+  FROM leaves a JOIN lower_tree_paths p ON a.tree IS NOT DISTINCT FROM p.tree AND a.i = p.i
+  JOIN subroots s ON a.tree IS NOT DISTINCT FROM s.source JOIN upper_tree_paths q ON q.i = s.i
+), folded AS (
+  SELECT *, list_reduce(list_transform(path, lambda x: {{'l': x.l, 'own': '', 'r': x.r}}),
+    lambda a, x: {{'l': '', 'own': sha256(x.l || a.own || x.r), 'r': ''}}, {{'l': '', 'own': claimed, 'r': ''}}).own AS folded_root
+  FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the public piece model."""
+    return token_counts(table(spark, sf_dir, "documents"), public_model("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_language_id, op3_html_text, op4_quality, op5_decontamination, op6_topk, op7_jaccard_join, op8_quotations, op9_sentencepiece, op10_surrogates)}
+    every = (
+        op1_token_shards, op2_language_id, op3_html_text, op4_quality, op5_decontamination, op6_topk, op7_jaccard_join,
+        op8_quotations, op9_sentencepiece, op10_surrogates, op11_merkle, op12_whitening, op13_token_counts,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
