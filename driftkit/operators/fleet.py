@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftkit import model as M
 from driftkit.functions.text import provider, redact
+from driftkit.operators.drift import if_one_capture
 from driftkit.operators.keyed import lookup
 from driftkit.operators.schema_diff import schema_diff
 
@@ -63,14 +64,17 @@ def fleet_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     The address is replaced, tags only by tags that are not empty; the baseline
     and the position of a known member stay, a new one has its first position.
-    A name that comes in repeatedly is applied in ``pos`` order.
+    A name that comes in repeatedly is applied in ``pos`` order; rows without a
+    position come after those with one, and equal positions go by address,
+    baseline and tags.
     """
     has_tags = F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0
+    turn = F.struct(F.col("pos").isNull().alias("last"), "pos", "dsn", "baseline", "tags")
     coming = incoming.groupBy("name").agg(
         F.min("pos").alias("__pos"),
-        F.max_by("dsn", "pos").alias("__dsn"),
-        F.min_by("baseline", "pos").alias("__baseline"),
-        F.max_by("tags", F.when(has_tags, F.col("pos"))).alias("__tags"),
+        F.max(turn)["dsn"].alias("__dsn"),
+        F.min(turn)["baseline"].alias("__baseline"),
+        F.max(F.when(has_tags, turn))["tags"].alias("__tags"),
         F.count(F.lit(1)).alias("__n"),
     )
     known = existing.select("pos", "name", "dsn", "baseline", "tags", F.lit(True).alias("__known"))
@@ -103,20 +107,30 @@ def fleet_check(
     """State of every member: ``no-baseline``, ``error``, ``drift`` or ``ok``, tested in that order.
 
     Also the member's error, and how many tables were added, removed or
-    modified. Pass one capture per database: ``latest_snapshot`` gives the newest.
+    modified. More than one capture of a member on either side is an error:
+    ``latest_snapshot`` gives the newest.
     """
     changes = schema_diff(baselines, live, baseline_indexes, live_indexes)
     whole = F.col("kind").isin(M.TABLE_ADDED, M.TABLE_REMOVED)
-    no_text, no = F.lit(None).cast("string"), F.lit(False)
+    no_text, no, no_time = F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string")
+
+    def time(rows: DataFrame) -> Column:
+        return F.col("captured_at").cast("string") if "captured_at" in rows.columns else no_time
+
     changed = changes.groupBy("database", "table").agg(F.max(F.when(whole, F.col("kind"))).alias("__kind")).select(
-        "database", no.alias("known"), no_text.alias("error"), F.coalesce("__kind", F.lit("modified")).alias("change")
+        "database", no.alias("known"), no_text.alias("error"), F.coalesce("__kind", F.lit("modified")).alias("change"),
+        no_time.alias("base_at"), no_time.alias("live_at"),
+    )
+    seen = baselines.select(
+        "database", F.lit(True).alias("known"), no_text.alias("error"), no_text.alias("change"),
+        time(baselines).alias("base_at"), no_time.alias("live_at"),
     )
-    seen = baselines.select("database", F.lit(True).alias("known"), no_text.alias("error"), no_text.alias("change"))
-    errors = live.filter(F.col("error").isNotNull()).select(
-        "database", no.alias("known"), "error", no_text.alias("change")
+    found = live.select(
+        "database", no.alias("known"), (F.col("error") if "error" in live.columns else no_text).alias("error"),
+        no_text.alias("change"), no_time.alias("base_at"), time(live).alias("live_at"),
     )
-    summary = seen.unionByName(errors).unionByName(changed).groupBy("database").agg(
-        F.bool_or("known").alias("known"),
+    summary = seen.unionByName(found).unionByName(changed).groupBy("database").agg(
+        if_one_capture(F.bool_or("known"), "base_at", "live_at").alias("known"),
         F.max("error").alias("error"),
         F.count_if(F.col("change") == M.TABLE_ADDED).alias("a"),
         F.count_if(F.col("change") == M.TABLE_REMOVED).alias("r"),

@@ -16,6 +16,7 @@ from driftkit.queries.schema import CHANGES, diff_ctes, live_changes
 from driftkit.session import work_dir
 from driftkit.sources.history import append_report, load_history, to_json_report
 from driftkit.sources.snapshots import load_snapshots, save_snapshot
+from driftkit.streaming import transitions as W
 from driftkit.streaming.alerts import alert_payload as alerts
 from driftkit.streaming.alerts import drift_lines
 from driftkit.streaming.watch import snapshot_stream, watch
@@ -88,6 +89,22 @@ def fleet_merge_counts(spark, sf_dir):
     return L.merge_counts(L.fleet_merge(_registry(spark, sf_dir), derive(spark, sf_dir, I.INCOMING)))
 
 
+@query("fleet_merge_unplaced", f"""
+    WITH e AS {_MEMBERS}, i AS {duck(I.UNPLACED)},
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos NULLS LAST, dsn) AS turn FROM i),
+    c AS (SELECT name, min(pos) AS pos, arg_max(dsn, turn) AS dsn, arg_min(baseline, turn) AS baseline,
+                 arg_max(tags, turn) FILTER (tags IS NOT NULL) AS tags, count(*) AS n FROM r GROUP BY name)
+    SELECT coalesce(e.pos, c.pos) AS pos, coalesce(e.name, c.name) AS name, coalesce(c.dsn, e.dsn) AS dsn,
+           CASE WHEN e.name IS NULL THEN c.baseline ELSE e.baseline END AS baseline,
+           array_to_string(coalesce(c.tags, e.tags), ',') AS tags,
+           CAST(CASE WHEN e.name IS NULL THEN 1 ELSE 0 END AS BIGINT) AS added,
+           coalesce(c.n, 0) - CASE WHEN e.name IS NULL THEN 1 ELSE 0 END AS updated
+    FROM e FULL JOIN c ON e.name = c.name""")
+def fleet_merge_unplaced(spark, sf_dir):
+    """Members that come in without a position are applied last and keep their address."""
+    return L.fleet_merge(_registry(spark, sf_dir), derive(spark, sf_dir, I.UNPLACED)).withColumn("tags", _tags())
+
+
 @query("snapshot_latest", f"""
     SELECT database, "table", "column", captured_at FROM {duck(I.SNAPSHOTS)}
     QUALIFY rank() OVER (PARTITION BY database ORDER BY captured_at DESC) = 1""")
@@ -132,12 +149,58 @@ _DRIFT = f"""
 
 @query("drift_check", _DRIFT + "SELECT * FROM d")
 def drift_check(spark, sf_dir):
+    return _change_lines(_drift(spark, sf_dir)).drop("error")
+
+
+# Every capture against the baseline in force: as-of join, then the two schemas side by side.
+_IN_FORCE = f"""
+    WITH caps AS {duck(I.CAPTURES)}, bases AS {duck(I.BASES)},
+    checks AS (SELECT database, captured_at, max(error) AS error FROM caps GROUP BY ALL),
+    times AS (SELECT DISTINCT database, captured_at FROM bases),
+    pairs AS (SELECT c.database, c.captured_at, c.error, t.captured_at AS baseline_at
+              FROM checks c ASOF JOIN times t ON c.database = t.database AND c.captured_at >= t.captured_at),
+    o AS (SELECT p.database, p.captured_at, b."table", b."column", b.type, b.not_null
+          FROM pairs p JOIN bases b ON b.database = p.database AND b.captured_at = p.baseline_at WHERE p.error IS NULL),
+    n AS (SELECT p.database, p.captured_at, c."table", c."column", c.type, c.not_null
+          FROM pairs p JOIN caps c ON c.database = p.database AND c.captured_at = p.captured_at WHERE p.error IS NULL),
+    both_sides AS (SELECT database, captured_at, "table", o.type IS NOT NULL AS old, n.type IS NOT NULL AS new, "column",
+                 o.type AS old_type, n.type AS new_type, o.not_null AS old_null, n.not_null AS new_null,
+                 bool_or(o.type IS NOT NULL) OVER w AS in_old, bool_or(n.type IS NOT NULL) OVER w AS in_new
+          FROM o FULL JOIN n USING (database, captured_at, "table", "column")
+          WINDOW w AS (PARTITION BY database, captured_at, "table")),
+    changes AS (
+        SELECT DISTINCT database, captured_at, CASE WHEN in_new THEN 'table added' ELSE 'table removed' END AS kind, "table",
+               CAST(NULL AS VARCHAR) AS subject, CAST(NULL AS VARCHAR) AS detail FROM both_sides WHERE in_old <> in_new
+        UNION ALL
+        SELECT database, captured_at, CASE WHEN NOT old THEN 'column added' WHEN NOT new THEN 'column removed'
+                                           ELSE 'column type changed' END, "table", "column",
+               CASE WHEN old AND new THEN old_type || '→' || new_type END
+        FROM both_sides WHERE in_old AND in_new
+          AND (old <> new OR old_type IS DISTINCT FROM new_type OR old_null IS DISTINCT FROM new_null)),
+    listed AS (SELECT database, captured_at, string_agg({_CHANGE_LINE}, '; ' ORDER BY kind, "table", subject NULLS FIRST) AS changes
+               FROM changes GROUP BY ALL),
+    reports AS (SELECT p.database AS source, baseline_at, p.captured_at AS checked_at,
+                       CASE WHEN error IS NULL THEN changes IS NOT NULL END AS has_drift, coalesce(changes, '') AS changes, error
+                FROM pairs p LEFT JOIN listed l ON p.database = l.database AND p.captured_at = l.captured_at)"""
+
+
+def _change_lines(report):
     def line(c):
         subject = F.coalesce(F.concat(F.lit("."), c["subject"]), F.lit(""))
         detail = F.coalesce(F.concat(F.lit(" "), c["detail"]), F.lit(""))
         return F.concat(c["kind"], F.lit(" "), c["table"], subject, detail)
 
-    return _drift(spark, sf_dir).withColumn("changes", F.array_join(F.transform("changes", line), "; ")).drop("error")
+    return report.withColumn("changes", F.array_join(F.transform("changes", line), "; "))
+
+
+def _captures(spark, sf_dir):
+    return derive(spark, sf_dir, I.BASES).drop("first"), derive(spark, sf_dir, I.CAPTURES)
+
+
+@query("drift_in_force", _IN_FORCE + "SELECT * FROM reports")
+def drift_in_force(spark, sf_dir):
+    """Captures of years, each against the baseline that was in force when it was taken."""
+    return _change_lines(R.drift_in_force(*_captures(spark, sf_dir)))
 
 
 def _states(spark, sf_dir):
@@ -373,6 +436,59 @@ def watch_drift(spark, sf_dir):
     )
 
 
+_DELAY = 30
+# Verdicts of captures in time order, as far as the watermark has come, and those that differ from the one before.
+_TRANSITIONS = f"""
+    WITH caps AS {duck(I.CAPTURES)}, bases AS {duck(I.BASES)},
+    line AS (SELECT max(captured_at) - {_DELAY} AS seen FROM caps),
+    checks AS (SELECT database, captured_at, max(error) AS error FROM caps, line WHERE captured_at <= seen GROUP BY ALL),
+    times AS (SELECT DISTINCT database, captured_at FROM bases),
+    pairs AS (SELECT c.database, c.captured_at, c.error, t.captured_at AS baseline_at
+              FROM checks c ASOF JOIN times t ON c.database = t.database AND c.captured_at >= t.captured_at),
+    differing AS (
+        SELECT database, captured_at, new, l FROM (
+            SELECT p.database, p.captured_at, true AS new, [c."table", c."column", c.type, CAST(c.not_null AS VARCHAR)] AS l
+            FROM pairs p JOIN caps c ON c.database = p.database AND c.captured_at = p.captured_at AND c.error IS NULL
+            UNION ALL
+            SELECT p.database, p.captured_at, false, [b."table", b."column", b.type, CAST(b.not_null AS VARCHAR)]
+            FROM pairs p JOIN bases b ON b.database = p.database AND b.captured_at = p.baseline_at)
+        QUALIFY count(*) OVER (PARTITION BY database, captured_at, l) = 1),
+    sums AS (SELECT database, captured_at, count(*) FILTER (new) AS appeared, count(*) FILTER (NOT new) AS vanished,
+                    string_agg(new || array_to_string(l, chr(1)), chr(2) ORDER BY new, l) AS text FROM differing GROUP BY ALL),
+    judged AS (SELECT p.*, appeared, vanished, CASE WHEN p.error IS NOT NULL THEN 'error' WHEN text IS NULL THEN 'ok' ELSE 'drift' END AS state,
+                      coalesce(p.error, text, '') AS verdict
+               FROM pairs p LEFT JOIN sums s ON p.database = s.database AND p.captured_at = s.captured_at),
+    told AS (SELECT *, lag(state, 1, 'ok') OVER w AS before, lag(verdict, 1, '') OVER w AS last FROM judged
+             WINDOW w AS (PARTITION BY database ORDER BY captured_at))
+    SELECT database AS source, CAST(baseline_at AS TIMESTAMP) AS baseline_at, CAST(captured_at AS TIMESTAMP) AS checked_at, state, before,
+           CASE WHEN error IS NULL THEN coalesce(appeared, 0) END AS appeared,
+           CASE WHEN error IS NULL THEN coalesce(vanished, 0) END AS vanished, error
+    FROM told WHERE state <> before OR verdict <> last"""
+
+
+@query("watch_transitions", _TRANSITIONS)
+def watch_transitions(spark, sf_dir):
+    """Captures arrive by year in two runs; with the second come late copies of the first that say something else."""
+    arrived, closed, report, first, second = (_new_folder(spark, f"transitions-{n}") for n in ("in", "closed", "out", "c1", "c2"))
+    bases, caps = _captures(spark, sf_dir)
+    rows = caps.withColumn("is_baseline", F.lit(False)).unionByName(
+        bases.withColumn("is_baseline", F.lit(True)), allowMissingColumns=True
+    )
+    rows = rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in W.ARRIVING.fields
+    ])
+    early = F.year("captured_at") < 1999
+    late = rows.filter(early & (F.year("captured_at") < 1998)).withColumn("type", F.lit("late"))
+    repeated = rows.filter(F.year("captured_at") == 1999)
+    for arrivals in (rows.filter(early), rows.filter(~early).unionByName(late).unionByName(repeated)):
+        arrivals.repartition("database", "captured_at").write.mode("append").parquet(arrived)
+        W.closed_captures(W.arriving(spark, arrived), f"{_DELAY} days", closed, first).awaitTermination()
+        W.watch_transitions(spark, closed, report, second).awaitTermination()
+    return spark.read.schema(W.TRANSITIONS).parquet(report).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("baseline_at", "checked_at")}
+    )
+
+
 @query("snapshot_round_trip", f"""
     SELECT database, "table", "column", type, not_null FROM {duck(I.BASELINE)}""")
 def snapshot_round_trip(spark, sf_dir):

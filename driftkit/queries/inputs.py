@@ -98,7 +98,8 @@ def catalog_of(limit: int | None, days: int) -> str:
            min(o_totalprice) >= {145000 if limit else 150000} AS not_null,
            CASE WHEN count(*) > 1 THEN '0' ELSE NULL END AS default_value,
            CASE WHEN substr({_priority(limit)}, 1, 1) = '1' THEN 1 ELSE 0 END AS pk,
-           max(o_orderdate) + INTERVAL '{days}' DAY AS captured_at, CAST(NULL AS STRING) AS error
+           max(max(o_orderdate)) OVER (PARTITION BY o_custkey) + INTERVAL '{days}' DAY AS captured_at,
+           CAST(NULL AS STRING) AS error
     FROM {{orders}}
     GROUP BY o_custkey, {_status(limit)}, {_priority(limit)}"""
 
@@ -166,6 +167,37 @@ SNAPSHOTS = """
            CASE WHEN min(o_totalprice) < 1500 THEN 'file is not a database' ELSE NULL END AS error
     FROM {orders} GROUP BY o_custkey, o_orderstatus, o_orderpriority, year(o_orderdate)"""
 
+# Captures of many databases over the years: closed orders are one database, captured every day of an order, which
+# is about half of all captures; the others are captured by month. Some captures could not be read.
+_CAPTURED = """
+    SELECT CASE WHEN o_orderstatus = 'F' THEN 'hot' ELSE concat('nation_', o_custkey % 25) END AS database,
+           concat('orders_', lower(substr(o_orderpriority, 3, 3))) AS "table", o_orderstatus AS "column",
+           o_totalprice AS price, o_orderdate,
+           CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE)
+                ELSE CAST(concat(year(o_orderdate), '-', lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0'), '-01') AS DATE)
+           END AS captured_at
+    FROM {orders}"""
+CAPTURES = f"""
+    SELECT database, "table", "column",
+           CASE WHEN max(price) >= 400000 THEN 'decimal(12,2)' WHEN max(price) >= 100000 THEN 'double' ELSE 'int' END AS type,
+           min(price) >= 200000 AS not_null, captured_at,
+           CASE WHEN max(price) >= 499900 THEN 'unable to open database file' ELSE NULL END AS error
+    FROM ({_CAPTURED}) AS o GROUP BY database, "table", "column", captured_at"""
+# A baseline is the first capture of each year.
+BASES = f"""
+    SELECT * FROM (
+        SELECT database, "table", "column", type, not_null, captured_at,
+               min(captured_at) OVER (PARTITION BY database, year(captured_at)) AS first
+        FROM ({CAPTURES}) AS c WHERE error IS NULL) AS f
+    WHERE captured_at = first"""
+
+# Incoming members of which the urgent ones have lost their position.
+UNPLACED = """
+    SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderkey END AS pos, concat('cust_', o_custkey * 3) AS name,
+           concat('/moved/', o_orderkey) AS dsn, concat('/base/o', o_orderkey) AS baseline,
+           CASE o_orderstatus WHEN 'F' THEN split(concat('moved,', o_orderpriority), ',') ELSE NULL END AS tags
+    FROM {orders}"""
+
 # Live catalogs with members that could not be read: customers deep in debt.
 UNREADABLE = """
     SELECT concat('cust_', c_custkey) AS database, 'unable to open database file' AS error
