@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftkit import model as M
@@ -14,6 +16,7 @@ from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query
 from driftkit.queries.schema import CHANGES, diff_ctes, live_changes
 from driftkit.session import work_dir
+from driftkit.sources import intervals as V
 from driftkit.sources.history import append_report, load_history, to_json_report
 from driftkit.sources.snapshots import load_snapshots, save_snapshot
 from driftkit.streaming import transitions as W
@@ -495,3 +498,56 @@ def snapshot_round_trip(spark, sf_dir):
     path = _new_folder(spark, "snapshots")
     save_snapshot(_typed(derive(spark, sf_dir, I.BASELINE)).withColumn("captured_at", _taken("1998-04-15")), path)
     return load_snapshots(spark, path).select("database", "table", "column", "type", "not_null")
+
+
+def _stored_captures(spark, sf_dir):
+    """All captures in a store, appended in three parts."""
+    path = _new_folder(spark, "captures")
+    rows = derive(spark, sf_dir, I.CAPTURES)
+    # A capture with a member that could not be read is no capture.
+    whole = rows.withColumn("error", F.max("error").over(Window.partitionBy("database", "captured_at")))
+    year = F.year("captured_at")
+    for part in (year < 1997, (year >= 1997) & (year < 2001), year >= 2001):
+        V.append_captures(_typed(whole.select("*", *[F.lit(None).alias(c) for c in ("ordinal", "default_value", "pk")]).filter(part)), path)
+    return V.open_store(spark, path)
+
+
+_SOUND = f"""
+    WITH caps AS (SELECT database, "table", "column", type, not_null, captured_at FROM {duck(I.CAPTURES)}
+                  QUALIFY max(error) OVER (PARTITION BY database, captured_at) IS NULL),
+    numbered AS (SELECT database, captured_at, row_number() OVER (PARTITION BY database ORDER BY captured_at) AS k,
+                        lead(captured_at) OVER (PARTITION BY database ORDER BY captured_at) AS following
+                 FROM (SELECT DISTINCT database, captured_at FROM caps))"""
+
+
+@query("snapshot_rebuilt", _SOUND + """
+    SELECT database, "table", "column", type, not_null, CAST(captured_at AS TIMESTAMP) AS captured_at FROM caps""")
+def snapshot_rebuilt(spark, sf_dir):
+    """Every capture, read back from what changed between them."""
+    rows = V.every_capture(_stored_captures(spark, sf_dir))
+    return rows.select("database", "table", "column", "type", "not_null", F.col("captured_at").cast("timestamp_ntz").alias("captured_at"))
+
+
+@query("snapshot_intervals", _SOUND + """,
+    islands AS (SELECT c.*, n.following, k - row_number() OVER (
+                    PARTITION BY c.database, "table", "column", type, not_null ORDER BY k) AS island
+                FROM caps c JOIN numbered n ON c.database = n.database AND c.captured_at = n.captured_at)
+    SELECT database, "table", "column", type, not_null, CAST(min(captured_at) AS TIMESTAMP) AS valid_from,
+           CAST(max(following) FILTER (captured_at = final) AS TIMESTAMP) AS valid_to
+    FROM (SELECT *, max(captured_at) OVER (PARTITION BY database, "table", "column", type, not_null, island) AS final FROM islands)
+    GROUP BY database, "table", "column", type, not_null, island""")
+def snapshot_intervals(spark, sf_dir):
+    """When each column was there, gaps and islands over the captures of its database."""
+    spans = V.intervals(_stored_captures(spark, sf_dir)).withColumn("c", F.from_json("line", V.LINE))
+    return spans.select("database", *[f"c.{c}" for c in ("table", "column", "type", "not_null")], *[
+        F.col(c).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_to")
+    ])
+
+
+@query("snapshot_as_of", _SOUND + """
+    SELECT database, "table", "column", type, not_null FROM caps
+    WHERE captured_at <= DATE '1999-06-15'
+    QUALIFY rank() OVER (PARTITION BY database ORDER BY captured_at DESC) = 1""")
+def snapshot_as_of(spark, sf_dir):
+    rows = V.captures_as_of(_stored_captures(spark, sf_dir), datetime.datetime(1999, 6, 15))
+    return rows.select("database", "table", "column", "type", "not_null")
