@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,7 @@ from driftkit import model as M
 from driftkit.functions.values import comparable, read_as, text_form
 from driftkit.operators.data_diff import row_counts
 from driftkit.operators.keyed import without_match
+from driftkit.session import discard, work_dir
 
 
 @dataclass(frozen=True)
@@ -137,29 +139,73 @@ def _relation(fk: ForeignKey) -> list[Column]:
     ]
 
 
-def _keys_of(
-    sides: Mapping[str, Sequence[tuple[int, Sequence[str], Sequence[T.DataType]]]], tables: Mapping[str, DataFrame]
-) -> DataFrame:
-    """``relation, key`` of every complete key, as text in the given types: one scan per table.
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+@dataclass(frozen=True)
+class _KeyForm:
+    """How the keys of all relations share the same few columns: whole numbers as longs, all else as text.
 
-    A value that its type cannot hold stays apart from all that it can.
+    A key has ``whole`` longs and ``text`` texts at most; what a relation does not
+    use is 0 or empty, the relation tells them apart. A value that its parent's
+    type cannot hold is text that no parent key has.
     """
 
-    def key(df: DataFrame, columns: Sequence[str], types: Sequence[T.DataType]) -> Column:
-        parts = [
-            F.coalesce(
-                text_form(read_as(df, c, t), t), F.concat(F.lit("\u0000"), text_form(_c(c), df.schema[c].dataType))
-            )
-            for c, t in zip(columns, types, strict=True)
+    tables: Mapping[str, DataFrame]
+    fks: Sequence[ForeignKey]
+
+    def _types(self, fk: ForeignKey) -> list[T.DataType]:
+        return [self.tables[fk.parent].schema[c].dataType for c in fk.parent_columns]
+
+    def is_whole(self, fk: ForeignKey) -> list[bool]:
+        child = self.tables[fk.child].schema
+        return [
+            isinstance(t, _WHOLE) and isinstance(child[c].dataType, _WHOLE)
+            for c, t in zip(fk.columns, self._types(fk), strict=True)
         ]
-        return F.when(_complete(columns), F.array(*parts))
 
-    listed = []
-    for name, uses in sides.items():
-        df = tables[name]
-        keys = F.array(*[F.struct(F.lit(i).alias("relation"), key(df, c, t).alias("key")) for i, c, t in uses])
-        listed.append(df.select(F.explode(keys).alias("k")).select("k.*").filter("key is not null"))
-    return reduce(DataFrame.unionByName, listed)
+    @property
+    def columns(self) -> list[str]:
+        whole = max(sum(self.is_whole(fk)) for fk in self.fks)
+        text = max(len(fk.columns) - sum(self.is_whole(fk)) for fk in self.fks)
+        return [*[f"__w{k}" for k in range(whole)], *[f"__t{k}" for k in range(text)]]
+
+    def key(self, fk: ForeignKey, df: DataFrame, columns: Sequence[str]) -> list[Column]:
+        """The key columns of a relation from the columns of its child or its parent."""
+        out = {c: F.lit(0).cast("bigint") if c.startswith("__w") else F.lit("") for c in self.columns}
+        whole = text = 0
+        for c, t, w in zip(columns, self._types(fk), self.is_whole(fk), strict=True):
+            if w:
+                out[f"__w{whole}"] = _c(c).cast("bigint")
+                whole += 1
+            else:
+                strange = F.concat(F.lit("\u0000"), text_form(_c(c), df.schema[c].dataType))
+                out[f"__t{text}"] = F.coalesce(text_form(read_as(df, c, t), t), strange)
+                text += 1
+        return [v.alias(c) for c, v in out.items()]
+
+    def keys(self, parents: bool) -> DataFrame:
+        """``relation`` and key of every complete key of the children, or of the parents: one scan per table."""
+        sides: dict[str, list[tuple[int, ForeignKey]]] = {}
+        for i, fk in enumerate(self.fks):
+            sides.setdefault(fk.parent if parents else fk.child, []).append((i, fk))
+        listed = []
+        for name, uses in sides.items():
+            df = self.tables[name]
+            structs = []
+            for i, fk in uses:
+                columns = fk.parent_columns if parents else fk.columns
+                structs.append(F.when(_complete(columns), F.struct(F.lit(i).alias("relation"), *self.key(fk, df, columns))))
+            # One relation needs no array; several become one row each.
+            one = df.select(structs[0].alias("k")) if len(structs) == 1 else df.select(F.explode(F.array(*structs)).alias("k"))
+            listed.append(one.filter("k is not null").select("k.*"))
+        return reduce(DataFrame.unionByName, listed)
+
+    def orphans(self) -> DataFrame:
+        """``relation``, key and ``rows`` of every child key without a parent."""
+        by = ["relation", *self.columns]
+        held = self.keys(parents=False).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+        return without_match(held, self.keys(parents=True).distinct(), by)
 
 
 def fk_check(tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> DataFrame:
@@ -169,24 +215,24 @@ def fk_check(tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> Data
     Each table is scanned once, whatever the number of its relations, and keys
     are counted by task before the shuffle.
     """
-    children: dict[str, list] = {}
-    parents: dict[str, list] = {}
-    for i, fk in enumerate(fks):
-        types = [tables[fk.parent].schema[c].dataType for c in fk.parent_columns]
-        children.setdefault(fk.child, []).append((i, fk.columns, types))
-        parents.setdefault(fk.parent, []).append((i, fk.parent_columns, types))
-    held = _keys_of(children, tables).groupBy("relation", "key").agg(F.count(F.lit(1)).alias("rows"))
-    orphans = without_match(held, _keys_of(parents, tables).distinct(), ["relation", "key"])
+    form = _KeyForm(tables, fks)
+    found = form.orphans().select("relation", F.lit(1).cast("bigint").alias("k"), F.col("rows").alias("r"))
+    return _named(_with_all(found, fks).groupBy("relation").agg(
+        F.sum("k").alias("orphan_keys"), F.sum("r").alias("orphan_rows")
+    ), fks)
+
+
+def _with_all(found: DataFrame, fks: Sequence[ForeignKey]) -> DataFrame:
+    """``found`` and a row of zeros for each relation, so that one without orphans is reported too."""
     zero = F.lit(0).cast("bigint")
-    every = held.sparkSession.range(len(fks)).select(F.col("id").cast("int").alias("relation"), zero.alias("k"), zero.alias("r"))
-    found = orphans.select("relation", F.lit(1).cast("bigint").alias("k"), F.col("rows").alias("r"))
+    every = found.sparkSession.range(len(fks)).select(F.col("id").cast("int").alias("relation"), zero.alias("k"), zero.alias("r"))
+    return found.unionByName(every)
+
+
+def _named(rows: DataFrame, fks: Sequence[ForeignKey]) -> DataFrame:
     named = F.element_at(F.array(*[F.struct(*_relation(fk)) for fk in fks]), F.col("relation") + 1)
-    return (
-        found.unionByName(every)
-        .groupBy("relation")
-        .agg(F.sum("k").alias("orphan_keys"), F.sum("r").alias("orphan_rows"))
-        .select(named.alias("n"), "orphan_keys", "orphan_rows")
-        .select("n.*", "orphan_keys", "orphan_rows")
+    return rows.select(named.alias("__n"), *[c for c in rows.columns if c != "relation"]).select(
+        "__n.*", *[c for c in rows.columns if c != "relation"]
     )
 
 
@@ -198,28 +244,41 @@ def fk_sample(
 ) -> DataFrame:
     """The first ``n`` violating rows per relation, next to the exact number.
 
-    The rows come in key order. Each orphan key has a row, so the first ``n``
-    rows hold no other keys than the first ``n`` keys, and only those are
-    looked up in the child.
+    The rows come in key order, then in the order of the row key. Each orphan key
+    has a row, so the first ``n`` rows hold no other keys than the first ``n`` keys:
+    ``n`` keys per relation at most, which are broadcast to one scan of each child. Keys of other
+    types than whole numbers and texts go in the order of their printed form. All
+    relations together take one scan of each parent and two of each child.
     """
+    form = _KeyForm(tables, fks)
+    columns, spark = form.columns, next(iter(tables.values())).sparkSession
+    counted = Window.partitionBy("relation")
+    path = f"{work_dir(spark).rstrip('/')}/orphans-{uuid.uuid4().hex}"
+    form.orphans().write.parquet(path)
+    orphans = spark.read.parquet(path)
+    # Spark keeps the first n of each relation in every task, so no task sees all orphans of one.
+    turn = F.row_number().over(counted.orderBy(*columns))
+    first = orphans.withColumn("__turn", turn).filter(F.col("__turn") <= n).select("relation", *columns)
+    totals = orphans.groupBy("relation").agg(F.sum("rows").alias("violations"))
+    # At most n keys and one total per relation, so these are small whatever the tables hold.
+    wanted, totals = (spark.createDataFrame(df.collect(), df.schema) for df in (first, totals))
+    discard(spark, path)
     parts = []
-    for fk in fks:
-        child = tables[fk.child]
-        key, row_key = [_c(c) for c in fk.columns], [_c(k) for k in row_keys[fk.child]]
-        orphans = orphan_keys(child, tables[fk.parent], fk)
-        first = orphans.orderBy(*key).limit(n).select(*key)
-        total = orphans.agg(F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")))
-
-        def text(columns: Sequence[str], df: DataFrame = child) -> Column:
-            return F.concat_ws(", ", *[text_form(_c(c), df.schema[c].dataType) for c in columns])
-
-        parts.append(
-            child.join(first, list(fk.columns), "left_semi")
-            .orderBy(*key, *row_key)
-            .limit(n)
-            .select(
-                *_relation(fk), text(fk.columns).alias("key"), text(row_keys[fk.child]).alias("row_key"),
-                total.scalar().alias("violations"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    for name in dict.fromkeys(fk.child for fk in fks):
+        child, own = tables[name], [(i, fk) for i, fk in enumerate(fks) if fk.child == name]
+        needed = [_c(c) for c in dict.fromkeys([*row_keys[name], *[c for _, fk in own for c in fk.columns]])]
+        keys = [F.when(_complete(fk.columns), F.struct(F.lit(i).alias("relation"), *form.key(fk, child, fk.columns)))
+                for i, fk in own]
+        rows = child.select(F.struct(*needed).alias("__row"), F.explode(F.array(*keys)).alias("__k"))
+        rows = rows.filter("__k is not null").select("__row", "__k.*")
+        held = rows.join(F.broadcast(wanted), ["relation", *columns], "left_semi")
+
+        def text(names: Sequence[str], schema: T.StructType = child.schema) -> Column:
+            return F.concat_ws(", ", *[text_form(F.col("__row").getField(c), schema[c].dataType) for c in names])
+
+        shown = reduce(lambda rest, use: F.when(F.col("relation") == use[0], text(use[1].columns)).otherwise(rest), own, F.lit(None))
+        turn = F.row_number().over(counted.orderBy(*columns, *[F.col("__row").getField(k) for k in row_keys[name]]))
+        kept = held.withColumn("__turn", turn).filter(F.col("__turn") <= n)
+        parts.append(kept.select("relation", "__turn", shown.alias("key"), text(row_keys[name]).alias("row_key")))
+    sample = reduce(DataFrame.unionByName, parts)
+    return _named(sample.join(totals, "relation").orderBy("relation", "__turn").drop("__turn"), fks)

@@ -95,3 +95,53 @@ def test_database_diff(spark):
     diff = diff_database(spark, {"t": items(spark, 3)}, {"t": items(spark, 2).drop("val")}, {"t": ["id"]})
     assert [r["kind"] for r in diff.schema.collect()] == ["column removed"]
     assert [tuple(r) for r in diff.data.collect()] == [("t", 0, 1, 0)]
+
+
+def mixed(spark):
+    """Children whose keys are whole numbers of other sizes, texts, times and pairs, some unreadable, some NULL."""
+    child = spark.createDataFrame(
+        [(1, 1, "1", "a", 2.5), (2, 1 << 40, "x", "b", 1.0), (3, None, None, "zz", None), (4, 1, "7", None, 3.0), (5, 9, "09", "a", 2.5)],
+        "id int, big long, code string, name string, price double",
+    )
+    parents = {
+        "small": spark.createDataFrame([(1,), (9,), (None,)], "k int"),
+        "names": spark.createDataFrame([("a", 1.0), ("b", 1.0)], "k string, p double"),
+    }
+    fks = [
+        C.ForeignKey("child", ("big",), "small", ("k",)), C.ForeignKey("child", ("code",), "small", ("k",)),
+        C.ForeignKey("child", ("name",), "names", ("k",)), C.ForeignKey("child", ("name", "price"), "names", ("k", "p")),
+        C.ForeignKey("child", ("big", "name"), "pairs", ("a", "b")),
+    ]
+    parents["pairs"] = spark.createDataFrame([(1, "a"), (9, "zz")], "a short, b string")
+    return {"child": child, **parents}, fks
+
+
+def test_keys_of_many_types_in_one_pass(spark):
+    tables, fks = mixed(spark)
+    got = {(r["columns"], r["parent"]): (r["orphan_keys"], r["orphan_rows"]) for r in C.fk_check(tables, fks).collect()}
+    assert got == {
+        ("big", "small"): (1, 1), ("code", "small"): (2, 2), ("name", "names"): (1, 1), ("name, price", "names"): (1, 2),
+        ("big, name", "pairs"): (2, 2),
+    }
+    for fk in fks:  # the same as one relation at a time
+        alone = C.orphan_keys(tables["child"], tables[fk.parent], fk)
+        assert (alone.count(), sum(r["rows"] for r in alone.collect())) == got[", ".join(fk.columns), fk.parent]
+
+
+def test_sample_of_many_types(spark):
+    tables, fks = mixed(spark)
+    rows = C.fk_sample(tables, fks, {"child": ["id"]}, n=1).collect()
+    got = {(r["columns"], r["parent"]): (r["key"], r["row_key"], r["violations"]) for r in rows}
+    assert got[("big", "small")] == (str(1 << 40), "2", 1) and got[("code", "small")][2] == 2
+    assert got[("name, price", "names")] == ("a, 2.5", "1", 2) and len(rows) == 5
+
+
+def test_each_table_is_scanned_once(spark, tmp_path):
+    tables, fks = mixed(spark)
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    stored = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in tables}
+    plan = C.fk_check(stored, fks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == len(tables)
+    plan = C.fk_sample(stored, fks, {"child": ["id"]})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
