@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from driftkit import model as M
 from driftkit.functions.values import cast_or_null, comparable, read_as
 from driftkit.operators.fleet import rollout_states
-from driftkit.operators.keyed import without_match
+from driftkit.operators.keyed import lookup, without_match
 from driftkit.operators.schema_diff import DATABASE, readable
 
 _TABLE = [*DATABASE, "table"]
@@ -37,11 +37,15 @@ def table_definitions(catalog: DataFrame) -> DataFrame:
     )
 
 
-def migration_plan(changes: DataFrame, new_catalog: DataFrame | None = None) -> DataFrame:
+def migration_plan(
+    changes: DataFrame, new_catalog: DataFrame | None = None, levels: DataFrame | None = None
+) -> DataFrame:
     """Ordered steps per database: ``step, table, action, key, detail, warning``.
 
     A table that loses or changes a column is rebuilt; otherwise its new columns
-    are added one by one. Index changes are noted. Steps go by table name.
+    are added one by one. Index changes are noted. Steps go by table name. With
+    the ``levels`` of tables (``dependency_levels``) tables are created after those
+    they refer to, then altered, and dropped before them.
     """
 
     def items(kind: str) -> Column:
@@ -105,8 +109,14 @@ def migration_plan(changes: DataFrame, new_catalog: DataFrame | None = None) ->
         .when(F.col("__removed"), F.array(step("drop table", none, gone)))
         .otherwise(altered)
     )
-    listed = tables.select(*_TABLE, steps.alias("__steps"))
-    earlier = Window.partitionBy(*DATABASE).orderBy("table").rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.lit(0)
+    if levels is not None:
+        tables = lookup(tables, levels.select(*_TABLE, F.col("level").alias("__level")), _TABLE)
+        level = F.coalesce("__level", F.lit(0))
+        phase = F.when(F.col("__added"), 0).when(F.col("__removed"), 2).otherwise(1)
+        turn = F.struct(phase.alias("phase"), F.when(F.col("__removed"), -level).otherwise(level).alias("level"))
+    listed = tables.select(*_TABLE, steps.alias("__steps"), turn.alias("__turn"))
+    earlier = Window.partitionBy(*DATABASE).orderBy("__turn", "table").rowsBetween(Window.unboundedPreceding, -1)
     numbered = listed.withColumn("__before", F.coalesce(F.sum(F.size("__steps")).over(earlier), F.lit(0)))
     return numbered.select(*_TABLE, "__before", F.posexplode("__steps").alias("__i", "s")).select(
         *DATABASE, (F.col("__before") + F.col("__i") + 1).cast("int").alias("step"), "table", "s.*"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftkit.operators.checks import check_row_ranges, compare_counts, not_null_check, pk_unique_check
 from driftkit.operators.data_diff import diff_tables_data, row_counts
+from driftkit.operators.keys import keys_for
 from driftkit.operators.schema_diff import schema_diff
 from driftkit.operators.validation import validate
 from driftkit.sources.catalog import catalog
@@ -26,11 +27,15 @@ class DatabaseDiff:
 
 
 def diff_database(
-    spark: SparkSession, old: Tables, new: Tables, keys: Keys | None = None
+    spark: SparkSession, old: Tables, new: Tables, keys: Keys | None = None, declared: DataFrame | None = None
 ) -> DatabaseDiff:
-    """Schema changes, and data changes of every table."""
+    """Schema changes, and data changes of every table.
+
+    ``declared`` is a catalog of the database: the keys that it declares serve the
+    tables without one in ``keys``. A table with neither is compared by its number of rows.
+    """
     changes = schema_diff(catalog(spark, old, "db"), catalog(spark, new, "db")).drop("database")
-    return DatabaseDiff(changes, diff_tables_data(old, new, keys))
+    return DatabaseDiff(changes, diff_tables_data(old, new, keys_for(old, new, keys or {}, declared)))
 
 
 def validate_data(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from driftkit.functions import change_text
 from driftkit.operators import checks as C
+from driftkit.operators import keys as K
 from driftkit.operators import schema_diff as S
 from driftkit.operators import validation as V
 from driftkit.plans import compare as P
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query, table, tables
-from driftkit.queries.schema import diff_ctes, live_changes
+from driftkit.queries.schema import KEYS, diff_ctes, live_changes
+from driftkit.sources.catalog import catalog
 
 _REFERENCE = ("customer", "documents", "labels", "lineitem", "orders")
 
@@ -222,6 +226,52 @@ def diff_database(spark, sf_dir):
     )
 
 
+@query("diff_database_declared", f"""
+    WITH o AS (SELECT count(*) FILTER (o.o_orderkey IS NULL) AS a, count(*) FILTER (n.o_orderkey IS NULL) AS r,
+                      count(*) FILTER (o.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL AND (
+                          o.o_totalprice <> n.o_totalprice OR o.o_orderpriority <> n.o_orderpriority)) AS c
+               FROM orders o FULL JOIN {duck(I.ORDERS_AFTER)} n ON o.o_orderkey = n.o_orderkey),
+    e AS (SELECT count(*) AS c FROM events o JOIN {duck(I.EVENTS_AFTER)} n ON o.event_id = n.event_id
+          WHERE o.user_id IS DISTINCT FROM n.user_id OR o.props IS DISTINCT FROM n.props),
+    t AS (SELECT count(*) AS c FROM conversations WHERE role = 'user')
+    SELECT 'orders' AS "table", a AS added, r AS removed, c AS changed FROM o WHERE a + r + c > 0
+    UNION ALL SELECT 'events', 0, 0, c FROM e WHERE c > 0
+    UNION ALL SELECT 'conversations', 0, 0, c FROM t WHERE c > 0""")
+def diff_database_declared(spark, sf_dir):
+    """No key is given; the catalog declares them, one of two columns among them."""
+    old = tables(spark, sf_dir, "orders", "events", "conversations", "nation")
+    new = {
+        **tables(spark, sf_dir, "nation"),
+        "orders": derive(spark, sf_dir, I.ORDERS_AFTER), "events": derive(spark, sf_dir, I.EVENTS_AFTER),
+        "conversations": derive(spark, sf_dir, I.CONVERSATIONS_AFTER),
+    }
+    declared = catalog(spark, old, "main", {t: KEYS[t] for t in old})
+    return P.diff_database(spark, old, new, declared=declared).data
+
+
+_SEARCHED = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": _EVENT_COLUMNS, "conversations": ["conv_id", "turn", "role", "text"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+_SETS = [(t, s) for t, c in _SEARCHED.items() for n in (1, 2) for s in combinations(c, n)]
+
+
+@query("key_candidates", "WITH sets AS (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", [{", ".join(f"'{c}'" for c in s)}] AS cols,
+               count(*) > 0 AND count(*) = count(DISTINCT ({", ".join(s)})) AND {" AND ".join(f"count(*) = count({c})" for c in s)} AS is_key
+        FROM {t}""" for t, s in _SETS) + """)
+    SELECT "table", array_to_string(cols, ', ') AS key FROM sets s
+    WHERE is_key AND NOT EXISTS (SELECT 1 FROM sets p WHERE p."table" = s."table" AND p.is_key
+                                 AND len(p.cols) < len(s.cols) AND list_has_all(s.cols, p.cols))""")
+def key_candidates(spark, sf_dir):
+    """The minimal keys of up to two columns that the rows of five tables show."""
+    loaded = tables(spark, sf_dir, *_SEARCHED)
+    found = [(t, ", ".join(key)) for t, c in _SEARCHED.items() for key in K.key_candidates(loaded[t], 2, c)]
+    return spark.createDataFrame(found, "`table` string, key string")
+
+
 # The changes that were expected are those of a later live state.
 _EXPECTED = diff_ctes(new=I.LATE, new_indexes=I.LATE_INDEXES, p="e")
 _VALIDATED = f"""

@@ -213,6 +213,22 @@ OUTCOMES = """
     SELECT user_id AS fleet, event_id AS pos, event_type <> 'error' AS ok FROM {events}"""
 
 
+# Foreign keys: in the database of an order a line refers to an earlier one, which its quantity names; returned lines
+# are referred to as well, undiscounted ones refer to themselves.
+LINE_TABLES = """
+    SELECT concat('order_', l_orderkey) AS database, concat('t', l_linenumber) AS "table" FROM {lineitem}"""
+LINE_KEYS = """
+    SELECT concat('order_', l_orderkey) AS database, concat('t', l_linenumber) AS "table",
+           concat('t', CASE WHEN l_discount = 0 THEN l_linenumber ELSE CAST(l_quantity AS INT) % l_linenumber END) AS parent
+    FROM {lineitem}
+    UNION ALL
+    SELECT concat('order_', l_orderkey) AS database, concat('t', CAST(l_quantity AS INT) % l_linenumber) AS "table",
+           concat('t', l_linenumber) AS parent
+    FROM {lineitem} WHERE l_returnflag = 'R' AND l_linestatus = 'F'"""
+
+CONVERSATIONS_AFTER = """
+    SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN concat(text, '.') ELSE text END AS text FROM {conversations}"""
+
 # Orders with large whole numbers and decimals, and the same read back from another engine, some changed.
 ORDERS_MEASURED = """
     SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000000000000 AS big, CAST(o_orderkey AS DECIMAL(20,2)) AS amount
@@ -236,3 +252,12 @@ TIED_OUTCOMES = """
     SELECT user_id AS fleet, CAST(floor(event_id / 10) AS BIGINT) AS pos, concat('m', event_id) AS name,
            event_type <> 'error' AS ok
     FROM {events}"""
+
+# Tables of the fleet before and after, and what they refer to: an order of some priority names the other table.
+FLEET_TABLES = f"""
+    SELECT database, "table" FROM ({BASELINE}) AS b UNION SELECT database, "table" FROM ({LIVE}) AS l"""
+FLEET_KEYS = f"""
+    SELECT concat('cust_', o_custkey) AS database, {fleet_table(LIVE_LIMIT)} AS "table",
+           concat('orders_', CASE o_orderpriority WHEN '1-URGENT' THEN 'f' WHEN '2-HIGH' THEN 'o' WHEN '3-MEDIUM' THEN 'p'
+                                                  ELSE 'x' END) AS parent
+    FROM {{orders}} WHERE o_orderstatus <> 'O'"""

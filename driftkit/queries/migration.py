@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftkit.functions import risk_text
+from driftkit.operators import dependencies as Y
 from driftkit.operators import migration as G
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query, table
@@ -60,6 +61,45 @@ def migration_plan(spark, sf_dir):
     return _plan(spark, sf_dir)
 
 
+def _levels(tables, fks):
+    """CTEs up to ``levels``: what reaches what, components of what reaches itself, longest ways between them."""
+    return f"""
+    every AS (SELECT DISTINCT database, "table" FROM {duck(tables)}),
+    edges AS (SELECT DISTINCT f.database, f."table" AS child, f.parent FROM {duck(fks)} f
+              SEMI JOIN every a ON a.database = f.database AND a."table" = f."table"
+              SEMI JOIN every b ON b.database = f.database AND b."table" = f.parent WHERE f."table" <> f.parent),
+    ways AS (SELECT database, child, parent FROM edges UNION
+             SELECT w.database, w.child, e.parent FROM ways w JOIN edges e ON w.database = e.database AND w.parent = e.child),
+    mutual AS (SELECT w.database, w.child AS "table", min(w.parent) AS other FROM ways w
+               JOIN ways b ON w.database = b.database AND w.child = b.parent AND w.parent = b.child AND w.child <> w.parent GROUP BY ALL),
+    members AS (SELECT e.database, e."table", least(e."table", coalesce(other, e."table")) AS component, other IS NOT NULL AS in_cycle
+                FROM every e LEFT JOIN mutual m ON e.database = m.database AND e."table" = m."table"),
+    over_edges AS (SELECT DISTINCT e.database, c.component AS child, p.component AS parent FROM edges e
+              JOIN members c ON c.database = e.database AND c."table" = e.child
+              JOIN members p ON p.database = e.database AND p."table" = e.parent WHERE c.component <> p.component),
+    climbs AS (SELECT DISTINCT database, component, 0 AS level FROM members UNION
+               SELECT o.database, o.child, level + 1 FROM climbs c JOIN over_edges o ON o.database = c.database AND o.parent = c.component),
+    levels AS (SELECT m.database, m."table", CAST(max(level) AS INT) AS level, m.component, m.in_cycle
+               FROM members m JOIN climbs c ON c.database = m.database AND c.component = m.component GROUP BY ALL)"""
+
+
+@query("dependency_levels", f"WITH RECURSIVE {_levels(I.LINE_TABLES, I.LINE_KEYS)} SELECT * FROM levels")
+def dependency_levels(spark, sf_dir):
+    return Y.dependency_levels(derive(spark, sf_dir, I.LINE_TABLES), derive(spark, sf_dir, I.LINE_KEYS))
+
+
+@query("migration_order", _PLAN.replace("WITH ", f"WITH RECURSIVE {_levels(I.FLEET_TABLES, I.FLEET_KEYS)}, ", 1).replace(
+    'PARTITION BY database ORDER BY "table", part, ord', f"""PARTITION BY database ORDER BY
+        CASE action WHEN 'create table' THEN 0 WHEN 'drop table' THEN 2 ELSE 1 END,
+        (SELECT CASE action WHEN 'drop table' THEN -level ELSE level END FROM levels l
+         WHERE l.database = s.database AND l."table" = s."table"), "table", part, ord""") + "SELECT * FROM plan")
+def migration_order(spark, sf_dir):
+    """The plan with tables created after those they refer to and dropped before them."""
+    levels = Y.dependency_levels(derive(spark, sf_dir, I.FLEET_TABLES), derive(spark, sf_dir, I.FLEET_KEYS))
+    plan = G.migration_plan(live_changes(spark, sf_dir), derive(spark, sf_dir, I.LIVE), levels)
+    return plan.withColumn("key", F.array_join("key", ","))
+
+
 @query("migration_warnings", _PLAN + "SELECT * FROM plan WHERE warning IS NOT NULL")
 def migration_warnings(spark, sf_dir):
     return G.plan_warnings(_plan(spark, sf_dir))
