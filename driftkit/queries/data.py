@@ -11,6 +11,7 @@ from driftkit.operators import data_diff as D
 from driftkit.operators import order_index as O
 from driftkit.queries import inputs as I
 from driftkit.queries.base import TABLES, derive, duck, query, table, tables
+from driftkit.sources.tables import load_tables
 
 _NEW = duck(I.ORDERS_AFTER)
 _VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -283,6 +284,16 @@ def row_counts(spark, sf_dir):
     return D.row_counts(tables(spark, sf_dir))
 
 
+@query("table_set", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS columns FROM {t}"
+    for t in TABLES))
+def table_set(spark, sf_dir):
+    """All tables found in the folder, with their rows and columns."""
+    found = load_tables(spark, sf_dir)
+    columns = spark.createDataFrame([(t, len(df.columns)) for t, df in found.items()], "`table` string, columns bigint")
+    return D.row_counts(found).join(columns, "table")
+
+
 @query("data_diff_tables", f"""
     SELECT 'customer' AS "table", CAST(0 AS BIGINT) AS added, count(*) AS removed, CAST(0 AS BIGINT) AS changed
     FROM customer

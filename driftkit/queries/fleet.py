@@ -12,13 +12,16 @@ from driftkit import model as M
 from driftkit.functions import change_text
 from driftkit.operators import drift as R
 from driftkit.operators import fleet as L
+from driftkit.operators.validation import spec_from_diff
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query
 from driftkit.queries.schema import CHANGES, diff_ctes, live_changes
 from driftkit.session import work_dir
 from driftkit.sources import intervals as V
 from driftkit.sources.history import append_report, load_history, to_json_report
+from driftkit.sources.registry import load_registry, save_registry
 from driftkit.sources.snapshots import load_snapshots, save_snapshot
+from driftkit.sources.specs import load_spec, save_spec
 from driftkit.streaming import transitions as W
 from driftkit.streaming.alerts import alert_payload as alerts
 from driftkit.streaming.alerts import drift_lines
@@ -551,3 +554,44 @@ def snapshot_intervals(spark, sf_dir):
 def snapshot_as_of(spark, sf_dir):
     rows = V.captures_as_of(_stored_captures(spark, sf_dir), datetime.datetime(1999, 6, 15))
     return rows.select("database", "table", "column", "type", "not_null")
+
+
+@query("registry_round_trip", f"""
+    SELECT pos, name, replace(replace(dsn, 'tok@', ''), 'tok' || pos || '@', '') AS dsn, baseline,
+           array_to_string(tags, ',') AS tags FROM {_MEMBERS}""")
+def registry_round_trip(spark, sf_dir):
+    """Members stored and read again; the tokens in their addresses stay out."""
+    path = _new_folder(spark, "registry")
+    save_registry(_registry(spark, sf_dir), path)
+    return load_registry(spark, path).withColumn("tags", _tags())
+
+
+@query("spec_round_trip", CHANGES + """SELECT database, kind, "table", subject FROM changes""")
+def spec_round_trip(spark, sf_dir):
+    """Specs of what changed, stored and read again, expect those changes."""
+    path = _new_folder(spark, "specs")
+    save_spec(spec_from_diff(live_changes(spark, sf_dir), by=["database"]), path)
+    return load_spec(spark, path, lines=True)[0].select("database", "kind", "table", "subject")
+
+
+@query("watch_errors", f"""
+    WITH {diff_ctes()}, u AS {duck(I.UNREADABLE)},
+    b AS (SELECT database, max(captured_at) AS baseline_at FROM o GROUP BY database),
+    c AS (SELECT database, count(*) AS n FROM changes WHERE kind NOT LIKE 'index%' GROUP BY database),
+    s AS (SELECT DISTINCT database FROM n UNION SELECT database FROM u)
+    SELECT b.database AS source, baseline_at, u.error IS NULL AS readable, u.error AS error,
+           CASE WHEN u.error IS NULL THEN coalesce(n, 0) > 0 END AS has_drift,
+           CASE WHEN u.error IS NULL THEN coalesce(n, 0) ELSE 0 END AS changes
+    FROM b SEMI JOIN s ON b.database = s.database LEFT JOIN u ON b.database = u.database LEFT JOIN c ON b.database = c.database""")
+def watch_errors(spark, sf_dir):
+    """Members that could not be read are reported with their error, and the watch goes on."""
+    arrived, report, checkpoint = (_new_folder(spark, f"errors-{n}") for n in ("in", "out", "checkpoint"))
+    failed = derive(spark, sf_dir, I.UNREADABLE)
+    live = derive(spark, sf_dir, I.LIVE).join(failed.select("database"), "database", "left_anti")
+    rows = live.unionByName(failed, allowMissingColumns=True)
+    _typed(rows).withColumn("captured_at", _taken("2001-09-01")).repartition("database").write.parquet(arrived)
+    watch(snapshot_stream(spark, arrived), _typed(derive(spark, sf_dir, I.BASELINE)), report, checkpoint).awaitTermination()
+    return load_history(spark, report).select(
+        "source", F.col("baseline_at").cast("timestamp_ntz").alias("baseline_at"), F.col("error").isNull().alias("readable"),
+        "error", "has_drift", F.size("changes").cast("bigint").alias("changes"),
+    )

@@ -7,10 +7,12 @@ from pyspark.sql import types as T
 
 from driftkit.functions import risk_text
 from driftkit.operators import dependencies as Y
+from driftkit.operators import layout as C
 from driftkit.operators import migration as G
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query, table
 from driftkit.queries.schema import diff_ctes, live_changes
+from driftkit.sources.catalog import catalog
 
 _PLAN = f"""
     WITH {diff_ctes()},
@@ -106,10 +108,10 @@ def migration_warnings(spark, sf_dir):
 
 
 # Rows per table before the migration; tables of the smaller customers are not known.
+# The rows of a table are the lines of its orders: none for some, unknown for tables that are new.
 _ROWS = """
-    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table",
-           count(CASE WHEN o_totalprice >= 250000 THEN 1 END) AS rows
-    FROM {orders} GROUP BY o_custkey, o_orderstatus HAVING max(o_totalprice) >= 200000"""
+    SELECT concat('cust_', o_custkey) AS database, concat('orders_', lower(o_orderstatus)) AS "table", count(l_orderkey) AS rows
+    FROM {orders} LEFT JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderstatus"""
 
 
 @query("migration_risks", f"""
@@ -185,6 +187,60 @@ def rebuild_table(spark, sf_dir):
     return G.rebuild_table(derive(spark, sf_dir, _LOOSE_ORDERS), _TARGET, {"region": "none"}, on_bad="null")
 
 
+# What orders are declared to look like, with two columns that the loose table lacks.
+_DECLARED = """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'none' AS region, CAST(0.5 AS DOUBLE) AS share FROM {orders}"""
+
+
+def _orders_layout(spark, sf_dir):
+    declared = catalog(
+        spark, {"orders": derive(spark, sf_dir, _DECLARED)}, "main", {"orders": ["o_orderkey"]},
+        {"orders": {"region": "concat('no', 'ne')", "share": "1 / 4"}},
+    )
+    return C.compile_layouts(declared.withColumn("not_null", F.col("column") == "o_totalprice"))["orders"]
+
+
+@query("rebuild_from_catalog", f"""
+    SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, TRY_CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, o_totalprice,
+           CAST(NULL AS TIMESTAMP) AS o_orderdate, o_orderpriority, 'none' AS region, CAST(0.25 AS DOUBLE) AS share
+    FROM {_LOOSE}""")
+def rebuild_from_catalog(spark, sf_dir):
+    """A loose table in the layout that a catalog declares for it."""
+    layout = _orders_layout(spark, sf_dir)
+    return G.rebuild_table(derive(spark, sf_dir, _LOOSE_ORDERS), layout.schema, layout.defaults, on_bad="null")
+
+
+@query("dry_run_from_catalog", f"""
+    SELECT o_orderpriority, count(*) AS rows, count(*) FILTER (TRY_CAST(o_custkey AS BIGINT) IS NULL) AS lost_casts,
+           count(*) FILTER (o_totalprice IS NULL) AS null_violations, CAST(0 AS BIGINT) AS duplicate_keys,
+           CAST(0 AS BIGINT) AS orphan_rows,
+           count(*) FILTER (TRY_CAST(o_custkey AS BIGINT) IS NULL OR o_totalprice IS NULL) = 0 AS ok
+    FROM {_LOOSE} GROUP BY o_orderpriority""")
+def dry_run_from_catalog(spark, sf_dir):
+    layout = _orders_layout(spark, sf_dir)
+    loose = derive(spark, sf_dir, _LOOSE_ORDERS)
+    return G.migration_dry_run(loose, layout.schema, "o_orderpriority", layout.defaults, layout.key)
+
+
+# Parts as columns of a database per brand, in types of several engines and some that are none; names repeat but for case.
+_FOREIGN_CATALOG = """
+    SELECT p_brand AS database, concat('t', p_size) AS "table",
+           CASE WHEN p_retailprice < 1000 THEN upper(p_name) ELSE p_name END AS "column",
+           CASE p_type WHEN 'SMALL' THEN 'INTEGER' WHEN 'LARGE' THEN 'decimal(12,2)' WHEN 'MEDIUM' THEN 'VARCHAR(20)'
+                       WHEN 'PROMO' THEN 'decimal(12,99)' WHEN 'ECONOMY' THEN 'array<text' ELSE 'TEXT' END AS type
+    FROM {part}"""
+
+
+@query("layout_problems", f"""
+    WITH c AS {duck(_FOREIGN_CATALOG)}
+    SELECT DISTINCT database, "table", "column", 'unreadable type ' || type AS problem FROM c
+    WHERE type IN ('decimal(12,99)', 'array<text')
+    UNION ALL
+    SELECT database, "table", min("column"), 'repeated column' FROM c GROUP BY database, "table", lower("column") HAVING count(*) > 1""")
+def layout_problems(spark, sf_dir):
+    return C.layout_problems(derive(spark, sf_dir, _FOREIGN_CATALOG))
+
+
 _STRICT = T.StructType([
     T.StructField("o_orderkey", T.LongType(), False),
     T.StructField("o_custkey", T.LongType()),
