@@ -9,6 +9,7 @@ from driftkit.functions import risk_text
 from driftkit.operators import dependencies as Y
 from driftkit.operators import layout as C
 from driftkit.operators import migration as G
+from driftkit.operators import narrowing as N
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, duck, query, table
 from driftkit.queries.schema import diff_ctes, live_changes
@@ -171,6 +172,47 @@ def coercion_loss(spark, sf_dir):
     )
 
 
+# Lines with some columns as text, as a dump holds them.
+_DUMPED = """
+    SELECT l_orderkey, l_linenumber, l_quantity, l_tax, l_shipdate, l_returnflag,
+           concat('', l_partkey) AS part_text, concat('', CAST(l_tax AS DECIMAL(12,2))) AS tax_text,
+           concat('', CAST(l_shipdate AS DATE)) AS day_text, concat('0', l_suppkey) AS padded,
+           CASE WHEN l_linestatus = 'F' THEN 'true' ELSE 'false' END AS final, CAST(l_extendedprice AS DECIMAL(38,10)) AS price,
+           CASE WHEN l_returnflag = 'never' THEN l_tax END AS empty
+    FROM {lineitem}"""
+
+
+def _narrow(column, own, *choices):
+    """The first of the choices (type, what rules a value out) that no value rules out."""
+    cases = " ".join(f"WHEN count(*) FILTER ({column} IS NOT NULL AND ({out})) = 0 THEN '{t}'" for t, out in choices)
+    return f"""
+        SELECT '{column}' AS "column", '{own}' AS type, CASE WHEN count({column}) = 0 THEN 'void' {cases} ELSE '{own}' END AS narrowest,
+               count(*) AS rows, count(*) - count({column}) AS nulls FROM d"""
+
+
+def _wholes(value):
+    return [(t, f"{value} NOT BETWEEN -{1 << b} AND {(1 << b) - 1}") for t, b in (("tinyint", 7), ("smallint", 15), ("int", 31))]
+
+
+@query("narrowest_types", f"WITH d AS {duck(_DUMPED)}" + " UNION ALL ".join([
+    _narrow("l_orderkey", "bigint", *_wholes("l_orderkey")), _narrow("l_linenumber", "int", *_wholes("l_linenumber")[:2]),
+    _narrow("l_quantity", "double", *[(t, f"l_quantity <> trunc(l_quantity) OR {out}") for t, out in _wholes("l_quantity")],
+            ("float", "CAST(CAST(l_quantity AS FLOAT) AS DOUBLE) <> l_quantity")),
+    _narrow("l_tax", "double", *[(t, f"l_tax <> trunc(l_tax) OR {out}") for t, out in _wholes("l_tax")],
+            ("float", "CAST(CAST(l_tax AS FLOAT) AS DOUBLE) <> l_tax")),
+    _narrow("l_shipdate", "timestamp_ntz", ("date", "CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) <> l_shipdate")),
+    _narrow("l_returnflag", "string"), _narrow("part_text", "string", *_wholes("CAST(part_text AS BIGINT)")),
+    _narrow("tax_text", "string", ("decimal(2,2)", "CAST(tax_text AS DECIMAL(12,2)) >= 1")),
+    _narrow("day_text", "string", ("date", "CAST(CAST(day_text AS DATE) AS VARCHAR) <> day_text")), _narrow("padded", "string"),
+    _narrow("final", "string", ("boolean", "final NOT IN ('true', 'false')")), _narrow("empty", "double"),
+    """
+        SELECT 'price', 'decimal(38,10)', 'decimal(' || (max(length(CAST(trunc(price) AS VARCHAR)) - CASE WHEN price < 1 THEN 1 ELSE 0 END
+               - position('.' IN reverse(CAST(trunc(price) AS VARCHAR)))) + max(length(rtrim(split_part(CAST(price AS VARCHAR), '.', 2), '0'))))
+               || ',' || max(length(rtrim(split_part(CAST(price AS VARCHAR), '.', 2), '0'))) || ')', count(*), 0 FROM d"""]))
+def narrowest_types(spark, sf_dir):
+    return N.narrowest_types(derive(spark, sf_dir, _DUMPED))
+
+
 _TARGET = T.StructType([
     T.StructField("o_orderkey", T.LongType(), False),
     T.StructField("region", T.StringType(), False),
