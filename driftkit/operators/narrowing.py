@@ -74,6 +74,12 @@ def narrowest_types(df: DataFrame) -> DataFrame:
     """
     measured: list[Column] = [F.count(F.lit(1)).alias("rows")]
     choices: list[Column] = []
+    read: list[Column] = []  # what several measures share, worked out once per row
+
+    def once(column: Column, name: str) -> Column:
+        read.append(column.alias(name))
+        return F.col(name)
+
     for i, f in enumerate(df.schema.fields):
         value, dtype = F.col(f"`{f.name}`"), f.dataType
 
@@ -88,6 +94,7 @@ def narrowest_types(df: DataFrame) -> DataFrame:
             options.append((left_over(value.isin("true", "false"), f"o{i}"), F.lit("boolean")))
         whole = _whole(value, dtype)
         if whole is not None:
+            whole = once(whole, f"__whole{i}")
             all_whole = left_over(whole.isNotNull(), f"w{i}")
             measured += [F.min(whole).alias(f"lo{i}"), F.max(whole).alias(f"hi{i}")]
             for t, bits in _WHOLE.items():
@@ -96,6 +103,7 @@ def narrowest_types(df: DataFrame) -> DataFrame:
         digits = _digits(f.name, dtype)
         if digits:
             before, after, formed = digits
+            after = once(after, f"__after{i}")
             measured += [
                 F.max(F.coalesce(before, F.lit(0))).alias(f"b{i}"), F.max(after).alias(f"a{i}"), F.min(after).alias(f"m{i}"),
             ]
@@ -117,4 +125,4 @@ def narrowest_types(df: DataFrame) -> DataFrame:
         )
         for i, (f, choice) in enumerate(zip(df.schema.fields, choices, strict=True))
     ]
-    return df.agg(*measured).select(F.explode(F.array(*shown)).alias("c")).select("c.*")
+    return df.select("*", *read).agg(*measured).select(F.explode(F.array(*shown)).alias("c")).select("c.*")
