@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import by_batch
 
-_ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*'|["'])*"""
+# Each character is read in one way only, so that no page takes more than linear time.
+_ATTRIBUTES = r"""(?>[^<>"']+|"[^"]*"|'[^']*'|["'])*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     rf"|<(?P<raw>script|style|textarea)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
-    r"|<[!?][^>]*>"
-    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attributes>{_ATTRIBUTES})(?:>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attributes>{_ATTRIBUTES}(?=>|\Z)|[^<>]*+)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -44,6 +45,8 @@ _BLOCKS = set(
     "table tbody td tfoot th thead tr ul".split()
 )
 _NEVER = set("head title nav aside footer form menu dialog search fieldset label input option".split())
+# Of these, what may also be around a whole page: read after all where it wraps the content.
+_AROUND = {"form", "fieldset"}
 # Left out too; without an end tag further on they are read as empty.
 _EMBEDDED = set("noscript template svg iframe object canvas select button audio video".split())
 _CONTENT = {"article", "main"}
@@ -98,11 +101,12 @@ def blocks(html: str | None, every: bool = False) -> tuple[list[Block], bool]:
     """The blocks of a page in order; whether content is marked.
 
     Parts that are never content are left out, or given as ``foreign`` blocks if ``every`` block is asked for.
-    A part left out for its name is read after all if it wraps the content: it
-    holds an article or main element or most of the words, and no article is outside.
+    A part left out for its name, and a form, is read after all if it wraps the
+    content: it holds an article or main element or most of the words, and no
+    article is outside. Wrappers within wrappers cost one more reading a level.
     """
     spared: set[int] = set()
-    for _ in range(8):
+    while True:
         out, any_mark, named = _read(html, every, spared)
         if not named:
             break
@@ -117,17 +121,16 @@ def blocks(html: str | None, every: bool = False) -> tuple[list[Block], bool]:
         if not more:
             break
         spared |= more
-    else:  # a wrapper within a wrapper and so on: no name counts
-        out, any_mark, _ = _read(html, every, None)
     return [b for b in out if b.text()], any_mark
 
 
-def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[Block], bool, dict[int, list]]:
-    """The blocks, whether content is marked, and [words, marks, replies] of each outermost part left out for its name.
+def _read(html: str | None, every: bool, spared: set[int]) -> tuple[list[Block], bool, dict[int, list]]:
+    """The blocks, whether content is marked, and [words, marks, replies] of each outermost part that may be spared.
 
-    ``spared`` are the parts (by the place of their tag) whose names do not count; None means all.
+    These are forms and parts left out for their names; ``spared`` are those (by the place of their tag) that are read.
     """
     out, stack = [], []  # stack: (tag, left out, content mark)
+    opened: Counter = Counter()  # the tags on the stack
     named: dict[int, list] = {}
     part, depth = None, 0  # the part left out for its name around here, and how deep it stands
     any_mark, tags, block = False, Counter(), None
@@ -137,6 +140,7 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
     def pop() -> str:
         nonlocal skipped, links, marks, articles, part
         tag, left_out, mark = stack.pop()
+        opened[tag] -= 1
         skipped -= left_out
         marks -= mark
         articles -= tag == "article"
@@ -173,7 +177,7 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
         elif tag == "br" and block is not None and not skipped:
             block.parts.append(" ")
         if ends:
-            if any(t == tag for t, _, _ in stack):
+            if opened[tag]:
                 while pop() != tag:
                     pass
             continue
@@ -185,7 +189,7 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
                 last_end[tag] = max(ends_at, default=-1)
             if last_end[tag] < m.start():
                 continue
-            if tag in ("select", "button") and any(t == tag for t, _, _ in stack):  # these do not nest
+            if tag in ("select", "button") and opened[tag]:  # these do not nest
                 while pop() != tag:
                     pass
         closed = {"p", "b", "i", "em", "strong", "u", "span", "a", "font"} if tag in _BLOCKS else ()
@@ -197,8 +201,10 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
                 pop()
         mark = tag in _CONTENT
         left_out = tag in _NEVER or tag in _EMBEDDED or tag == "header" and not marks
-        if not left_out and not mark and tag not in ("body", "html") and not skipped and spared is not None and m.start() not in spared:
-            name = _foreign_name(m["attributes"])
+        if tag in _AROUND and (m.start() in spared or part is not None):  # within a part that part decides first
+            left_out = False
+        elif (tag in _AROUND or not left_out) and not mark and tag not in ("body", "html") and not skipped and m.start() not in spared:
+            name = tag if tag in _AROUND else _foreign_name(m["attributes"])
             left_out = name != ""
             if name:
                 words = {w.lower() for w in _WORDS.findall(name)}
@@ -207,6 +213,7 @@ def _read(html: str | None, every: bool, spared: set[int] | None) -> tuple[list[
         if part is not None and skipped == 1:
             part[1] += mark
         stack.append((tag, left_out, mark))
+        opened[tag] += 1
         skipped += left_out
         marks += mark
         articles += tag == "article"
@@ -256,15 +263,18 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(html: str | None, weights: Weights = DEFAULT) -> str:
-    """The blocks of the best run whose words score above 0, one line each; "" for a page without any."""
+    """The blocks of the best run, one line each; "" for a page without any.
+
+    Nothing inside the run is dropped, but for what stands outside of all marks
+    on a page whose author marked the content.
+    """
     parts, any_mark = blocks(html)
-    scores, positive = [], []
+    scores = []
     for block in parts:
         words, tags = weights.of(block, any_mark)
         scores += [tags, words]
-        positive.append(words > 0)
     a, b = best_run(scores)
-    return "\n".join(p.text() for k, p in enumerate(parts) if a <= 2 * k + 1 < b and positive[k])
+    return "\n".join(p.text() for k, p in enumerate(parts) if a <= 2 * k + 1 < b and (p.marked or not any_mark))
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from driftkit.llm import html_text as H
 
@@ -93,3 +94,35 @@ def test_embedded_elements_lose_nothing_after_them():
     twice = "<article><p>One.</p><div><button>gone</div><p>Two.</p><button>gone<button>gone</button><p>Three.</p></article>"
     assert H.main_text(twice) == "One.\nTwo.\nThree."
     assert H.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "So x=2 holds."
+
+
+def test_broken_pages_take_linear_time():
+    n = 100_000
+    ends = "<p>The end.</p>"
+    begin = time.monotonic()
+    for page in (
+        "<a " + '"' * (n + 1) + ends, "<a " + "'" * n + ends, "<a " + "\"'" * n + ends, "<a \"" * n + ends, "<a '\"" * n + ends,
+        "<a =\"<" * n + ends, "<!" * n + ends, "<script " + '"' * n + ends, "<" * n + ends, "<div>" * n + "</x>" * n + ends,
+    ):
+        H.main_text(page)
+    assert time.monotonic() - begin < 20
+    assert H.main_text("<article><p>One <a title=\"x>two</a> <b class='y'>three</b></p></article>") == "One two three"
+
+
+def test_forms_around_the_page():
+    body = "<h1>A title</h1><p>The first long paragraph of it.</p><p>The end.</p>"
+    expected = "A title\nThe first long paragraph of it.\nThe end."
+    fields = "<label>Your name</label><input><select><option>gone</option></select><button>Send</button>"
+    for inside in (f"<article>{body}</article>", f"<main>{body}</main>", body, f"<fieldset>{body}</fieldset>"):
+        page = f"<body><form method=post>{fields}<div>{inside}</div></form><form>Subscribe <input></form></body>"
+        assert H.main_text(page) == expected, inside
+    assert H.main_text(f"<body><article>{body}</article><form><p>{'many words ' * 90}</p></form></body>") == expected
+    nested = "<form><div class='sidebar-wrap'>" * 20 + f"<article>{body}</article>" + "</div></form>" * 20
+    assert H.main_text(nested) == expected
+
+
+def test_nothing_inside_the_run_is_dropped():
+    page = "<p>A long paragraph of the page before.</p><ul><li><a>One link item</a></li></ul><p>A long paragraph of the page after.</p>"
+    lines = ["A long paragraph of the page before.", "One link item", "A long paragraph of the page after."]
+    assert H.main_text(page) == "\n".join(lines)
+    assert H.main_text(f"<article>{page}</article>") == "\n".join(lines)
