@@ -16,7 +16,7 @@ from .merkle import verified_manifest, without_line_ends
 from .quality import quality_scores
 from .quotations import linked_conversations
 from .sentencepiece_codec import encoded_documents
-from .surrogates import PATTERN, may_mention, with_surrogates
+from .surrogates import with_surrogates
 from .token_counts import token_counts
 from .token_shards import write_shards
 from .topk import top_k
@@ -153,8 +153,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates in place of personal data; ``n_replaced`` counts the mentions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mentions = F.when(may_mention(F.col("text")), F.regexp_count("text", F.lit(PATTERN))).otherwise(0)
-    return with_surrogates(docs.withColumn("n_replaced", mentions), KEY)[0]
+    return with_surrogates(docs, KEY, counted="n_replaced")[0]
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftkit.llm import surrogates as P
 
@@ -95,3 +97,50 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = P.with_surrogates(docs, "k")[0]._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_names_of_all_forms(spark):
+    texts = [
+        "Mr McDonald, Mrs O'Neil's dog", "Ms Anna-Maria Smith and Señora Ana López Díaz", "Mr John Ronald Smith",
+        "Dr. Anna Smith, Mr. J. Smith, Prof. J.R. Tolk", "Mr John Smith came. John Smith and Mr Smith, then Smith's JOHN; Smithson stays",
+        "Señor Juan de la Cruz. Cruz", "no title: John Smith", "Mrs Lee and Mr Lee; Lee", "г-н Иванов-Петров. Петров",
+    ]
+    out, used = rewritten(spark, texts)
+    for old in ("McDonald", "Neil", "Anna", "Maria", "López", "Díaz", "Ronald", "Tolk", "Cruz", "Lee", "Иванов", "Петров"):
+        assert not any(old in t for t in out), old
+    a, b = re.fullmatch(r"Mr (\w+), Mrs (\w+)'s dog", out[0]).groups()
+    assert a.endswith("ron") and b.endswith("na")
+    assert re.fullmatch(r"Ms \w+na-\w+na \w+na and Señora \w+na \w+na \w+na", out[1]) and re.fullmatch(r"Mr \w+ron \w+ron \w+ron", out[2])
+    assert re.fullmatch(r"Dr\. \w+len \w+len, Mr\. [A-IK-Z]\. \w+ron, Prof\. [A-IK-Z]\.[A-QS-Z]\. \w+len", out[3])
+    john, smith = re.match(r"Mr (\w+) (\w+) came", out[4]).groups()
+    assert out[4] == f"Mr {john} {smith} came. {john} {smith} and Mr {smith}, then {smith}'s {john.upper()}; Smithson stays"
+    assert out[2].split()[1] == john and out[2].split()[3] == smith  # over texts too
+    cruz = re.match(r"Señor \w+ de la (\w+)\.", out[5])[1]
+    assert out[5].endswith(f". {cruz}") and out[6] == texts[6]
+    lee, other, bare = re.fullmatch(r"Mrs (\w+) and Mr (\w+); (\w+)", out[7]).groups()
+    assert bare == lee != other
+    assert re.fullmatch(r"г-н [А-Я][а-я]+рон-([А-Я][а-я]+рон)\. \1", out[8])
+
+
+def test_every_mention_is_searched_for(spark):
+    draw = random.Random(3)
+    hexes = ["".join(draw.choice("abcdef") for _ in range(32)), "".join(draw.choice("ABCDEF") for _ in range(40)), "deadbeefcafebabe" * 2]
+    keys = [lead + "".join(draw.choice("abcXYZ") for _ in range(24)) for lead in ("sk-", "pk_", "ghp_", "gho_", "xoxb-")]
+    names = [f"{t} Abc" for t in P._MALE + P._FEMALE + P._NEUTRAL]
+    texts = [*hexes, *keys, *names, "AKIA" + "Q" * 16, "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "a@b.c", "GB29NWBK60161331926819"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select("text", P.may_mention(F.col("text")).alias("may"), F.col("text").rlike(P.PATTERN).alias("is")).collect()
+    assert all(r["may"] and r["is"] for r in rows)
+    out, _ = rewritten(spark, texts)
+    assert not set(out) & set(texts)
+
+
+def test_ibans_stay_valid_and_mentions_are_counted(spark):
+    texts = ["GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "Mr Jo Lee, a@b.c; Lee and Jo", "none", None, "FR14 2004 1010 0505 0001 3M02 606"]
+    out, _ = P.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), "k", counted="found")
+    rows = sorted(out.collect(), key=lambda r: r["n"])
+    assert [r["found"] for r in rows] == [1, 1, 4, 0, 0, 1]
+    for k in (0, 1, 5):
+        new = rows[k]["text"].replace(" ", "")
+        assert new[:2] == texts[k][:2] and rows[k]["text"] != texts[k] and [c == " " for c in rows[k]["text"]] == [c == " " for c in texts[k]]
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
