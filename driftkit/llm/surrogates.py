@@ -177,18 +177,15 @@ def _script(text: Column) -> Column:
 
 def _name(noise: Column, entity: Column, attempt: Column) -> Column:
     """A made-up word of a name, as ``gender:word`` in lower case; longer from the third draw on."""
-    out = F.lit("")
-    for (script, gender), ending in _ENDINGS.items():
-        parts = F.array(*[F.lit(s) for s in _SYLLABLES[script]])
-
-        def syllables(first: int, count: int, parts: Column = parts) -> Column:
-            at = [F.conv(F.substring(noise, first + j, 1), 16, 10).cast("int") + 1 for j in range(count)]
-            return F.concat(*[F.element_at(parts, a) for a in at])
-
-        given = F.concat(F.when(attempt > 1, syllables(20, 4)).otherwise(""), syllables(1, 3), F.lit(ending))
-        here = (_script(F.substring(entity, 3, 1 << 30)) == script) & entity.startswith(f"{gender}:")
-        out = F.when(here, F.concat(F.lit(f"{gender}:"), given)).otherwise(out)
-    return out
+    script, gender = _script(F.substring(entity, 3, 1 << 30)), F.substring(entity, 1, 1)
+    parts, ending = F.lit(" ".join(_SYLLABLES["latin"])), F.lit("")
+    for name in ("cyrillic", "greek"):
+        parts = F.when(script == name, " ".join(_SYLLABLES[name])).otherwise(parts)
+    for (name, sex), last in _ENDINGS.items():
+        ending = F.when((script == name) & (gender == sex), last).otherwise(ending)
+    digits = F.split(F.when(attempt > 1, F.concat(F.substring(noise, 20, 4), F.substring(noise, 1, 3))).otherwise(F.substring(noise, 1, 3)), "")
+    word = F.transform(F.filter(digits, lambda d: d != ""), lambda d: F.element_at(F.split(parts, " "), F.conv(d, 16, 10).cast("int") + 1))
+    return F.concat(gender, F.lit(":"), F.array_join(word, ""), ending)
 
 
 def _surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
