@@ -1,6 +1,7 @@
 import random
 
 from driftkit import model as M
+from driftkit.operators import dependencies as D
 from driftkit.operators.dependencies import dependency_levels
 from driftkit.operators.migration import migration_plan
 
@@ -83,3 +84,43 @@ def test_a_plan_creates_parents_first_and_drops_them_last(spark):
         ("create table", "zeta"), ("create table", "alpha"), ("add column", "mid"), ("drop table", "old"), ("drop table", "base"),
     ]
     assert [r["table"] for r in migration_plan(changes).orderBy("step").collect()] == ["alpha", "base", "mid", "old", "zeta"]
+
+
+def test_databases_of_all_sizes_agree(spark, monkeypatch):
+    draw = random.Random(7)
+    tables, fks = [], []
+    for d, size in enumerate([1, 2, 5, 64, 65]):
+        names = [f"t{k}" for k in range(size)]
+        tables += [(f"d{d}", n) for n in names]
+        fks += [(f"d{d}", draw.choice(names), draw.choice(names)) for _ in range(size // 2)]
+        fks += [(f"d{d}", f"t{k}", f"t{k - 1}") for k in range(size - size % 9, size)]
+    fks += [("d2", "t1", "t0")] * 200
+    check(spark, tables, fks)
+    # in a row, by the number of rows, by the number of tables
+    for most, rows in ((64, 150), (4, 10_000)):
+        monkeypatch.setattr(D, "TABLES", most)
+        monkeypatch.setattr(D, "ROWS", rows)
+        check(spark, tables, fks)
+
+
+def test_small_databases_take_few_jobs(spark):
+    """A fleet of small databases is gathered once; rounds of joins are for large ones."""
+    tables = [(f"d{d}", f"t{k}") for d in range(50) for k in range(6)]
+    fks = [(f"d{d}", f"t{k}", f"t{k - 1}") for d in range(50) for k in range(1, 6)]
+    spark.sparkContext.setJobGroup("levels", "levels")
+    got = dependency_levels(spark.createDataFrame(tables, TABLES), spark.createDataFrame(fks, KEYS))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels"))
+    spark.sparkContext.setJobGroup("", "")
+    assert {(r["table"], r["level"]) for r in got.collect()} == {(f"t{k}", k) for k in range(6)}
+    assert jobs <= 12
+
+
+def test_unnamed_tables_and_databases(spark):
+    got = dependency_levels(
+        spark.createDataFrame([("a", None), ("a", "t"), ("a", "u"), (None, "t"), (None, "u")], TABLES),
+        spark.createDataFrame([("a", "u", "t"), (None, "u", "t"), ("a", None, "t")], KEYS),
+    ).collect()
+    assert sorted((str(r["database"]), str(r["table"]), r["level"], str(r["component"]), r["in_cycle"]) for r in got) == [
+        ("None", "t", 0, "t", False), ("None", "u", 0, "u", False),
+        ("a", "None", 0, "None", False), ("a", "t", 0, "t", False), ("a", "u", 1, "u", False),
+    ]
