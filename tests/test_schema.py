@@ -221,6 +221,13 @@ def test_schema_diff_is_mirrored_and_ignores_repeats(spark):
     assert twice.count() == 5 and {(k, t, s) for k, t, s, _ in listed(twice)} == there
 
 
+def test_rows_are_not_sorted_before_the_first_shuffle(spark):
+    plan = full_diff(spark)._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("name", plan.rindex("Exchange hashpartitioning(database"))
+    assert "SortAggregate" in plan[:dealt]
+    assert "Sort" not in plan[dealt:]
+
+
 def test_indexes_of_unknown_tables_are_left_out(spark):
     stray = idx(spark, [("nowhere", "i", False)])
     assert S.schema_diff(cat(spark, USERS), cat(spark, USERS), None, stray).count() == 0
