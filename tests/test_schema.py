@@ -228,6 +228,28 @@ def test_rows_are_not_sorted_before_the_first_shuffle(spark):
     assert "Sort" not in plan[dealt:]
 
 
+def test_one_shuffle_and_one_sort_of_flat_rows(spark):
+    plan = full_diff(spark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("- Sort ") == 1
+    dealt = plan[plan.index("Exchange "):]
+    assert "struct" not in dealt and "collect_list" not in plan
+
+
+def test_table_with_many_changes_next_to_one_that_came_and_one_that_went(spark):
+    wide = [(f"c{i}", "INT") for i in range(300)]
+    old = cat(spark, {"wide": [("id", "INT"), *wide], "gone": wide, "same": wide})
+    new = cat(spark, {"wide": [("id", "TEXT")], "logs": wide, "same": wide})
+    unique = idx(spark, [("wide", "i", None), ("gone", "i", True), ("same", "i", False)])
+    plain = idx(spark, [("wide", "j", False), ("logs", "j", True), ("same", "i", True)])
+    got = [tuple(r) for r in S.schema_diff(old, new, unique, plain).select(
+        "kind", "table", "subject", "detail", "old.type", "new.type").collect()]
+    want = [("column removed", "wide", c, None, "INT", None) for c, _ in wide] + [
+        ("column type changed", "wide", "id", "INT→TEXT", "INT", "TEXT"),
+        ("index removed", "wide", "i", None, None, None), ("index added", "wide", "j", None, None, None),
+        ("table removed", "gone", None, None, None, None), ("table added", "logs", None, None, None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_indexes_of_unknown_tables_are_left_out(spark):
     stray = idx(spark, [("nowhere", "i", False)])
     assert S.schema_diff(cat(spark, USERS), cat(spark, USERS), None, stray).count() == 0
