@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ def _cuts(spec: Spec) -> tuple[re.Pattern | None, bool]:
     joined = spec.ids(NORMAL, USER)
     if any(re.search(f"[^{MARK}]{MARK}", p) for p in joined):
         return None, False
-    kept = spec.escape and not spec.charsmap and not spec.squeeze
+    kept = spec.escape and not spec.charsmap and not spec.squeeze and (spec.byte_fallback or "\n" in joined)
     lines = kept and not any("\n" in p and len(p) > 1 for p in joined)
     return re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+"), lines
 
@@ -200,16 +201,18 @@ class Codec:
         start = self.own.encode("\n")
         joint = ["\n" + "\n".join(units[k : k + TOGETHER]) for k in range(0, len(units), TOGETHER)]
         found = [f.ids for f in self.tokenizer.encode_batch_fast(joint, add_special_tokens=False)]
-        plain = [x.replace(MARK, " ") for x in joint] if self.verify else []
-        lead = len(start) - len(end)
-        own = (x[lead:] for x in self.own.encode(plain, num_threads=1)) if self.verify else found
         self.units["\n"] = array(self.code, end).tobytes()
-        for k, (ids, check) in enumerate(zip(found, own)):
-            raw = array(self.code, ids)
-            cut = [j for j, i in enumerate(ids) if i == end[0]] + [len(ids)]
-            for unit, a, b in zip(units[k * TOGETHER :], cut, cut[1:]):
-                self.units[unit] = raw[a + 1 : b].tobytes()
-            if ids != check:
+        # A line end stands before every unit and in none, so all joint texts are cut as one run of bytes.
+        ids = np.fromiter(chain.from_iterable(found), self.wide)
+        raw, size = ids.tobytes(), self.wide.itemsize
+        cut = [*(np.flatnonzero(ids == end[0]) * size).tolist(), len(raw)]
+        self.units.update(zip(units, [raw[a + size : b] for a, b in pairwise(cut)], strict=True))
+        if not self.verify:
+            return
+        lead = len(start) - len(end)
+        plain = [x.replace(MARK, " ") for x in joint]
+        for k, (ids, check) in enumerate(zip(found, self.own.encode(plain, num_threads=1))):
+            if ids != check[lead:]:
                 for unit in units[k * TOGETHER : (k + 1) * TOGETHER]:
                     right = self.own.encode("\n" + unit.replace(MARK, " "))[len(start) :]
                     if self.units[unit] != array(self.code, right).tobytes():

@@ -66,6 +66,16 @@ def test_unigram_with_byte_fallback(squeeze):
     assert not own.differing
 
 
+def test_a_model_without_line_ends():
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(p, -1.0 - k**1.37 / 7, 1) for k, p in enumerate(["▁the", "▁", "ab", "a", "b", "c"])]
+    out = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    data = out + _message((2, _message((3, 1)))) + _message((3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    own, library = S.Codec(data, verify=False), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["the aZb ab\nc Z", "ab\nthe", "c c c", "Zthe\n\nab"]
+    assert [np.frombuffer(i, own.wide).tolist() for i in own.encode_batch(texts)] == library.encode(texts)
+
+
 def test_a_wrong_unit_is_noticed(data):
     own = S.Codec(data)
     own.tokenizer = S.build(S.Spec(own.spec.pieces[:-20000], own.spec.kind, True, b"", True, False, True))
