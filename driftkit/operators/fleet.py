@@ -103,14 +103,15 @@ def fleet_check(
     live: DataFrame,
     baseline_indexes: DataFrame | None = None,
     live_indexes: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """State of every member: ``no-baseline``, ``error``, ``drift`` or ``ok``, tested in that order.
 
     Also the member's error, and how many tables were added, removed or
     modified. More than one capture of a member on either side is an error:
-    ``latest_snapshot`` gives the newest.
+    ``latest_snapshot`` gives the newest. ``partitions`` is that of ``schema_diff``.
     """
-    changes = schema_diff(baselines, live, baseline_indexes, live_indexes)
+    changes = schema_diff(baselines, live, baseline_indexes, live_indexes, partitions=partitions)
     whole = F.col("kind").isin(M.TABLE_ADDED, M.TABLE_REMOVED)
     no_text, no, no_time = F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("string")
 

@@ -10,6 +10,7 @@ from driftkit.operators import checks as C
 from driftkit.operators import data_diff as D
 from driftkit.operators import drift as R
 from driftkit.operators import fleet as L
+from driftkit.queries import base
 from driftkit.queries import inputs as I
 from driftkit.queries.base import derive, table
 
@@ -147,3 +148,17 @@ def test_no_cartesian_products_or_python(spark):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
         assert "Python" not in plan and "Pandas" not in plan, name
+
+
+def test_the_larger_a_fleet_the_more_partitions_compare_it(spark, monkeypatch):
+    from driftkit import queries as registered
+
+    assert base.tasks(spark, "/root/testdata/sf0.001", "orders") == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(base, "ROWS_PER_TASK", 100)
+    n = base.tasks(spark, SF_DIR, "orders")
+    assert n == -(-table(spark, SF_DIR, "orders").count() // 100) > 100
+    plan = executed(registered.queries()["change_list"](spark, SF_DIR))
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#.*, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert set(dealt) == {("o_custkey", str(n)), ("database", str(n))}
+    # The grouping of the inputs and the sort of the diff use these; the session's own number of partitions is not.
+    assert "ENSURE_REQUIREMENTS" not in plan

@@ -250,6 +250,15 @@ def test_table_with_many_changes_next_to_one_that_came_and_one_that_went(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_rows_are_dealt_into_as_many_partitions_as_asked_for(spark):
+    old, new = cat(spark, {**USERS, "gone": [("id", "INT")]}), cat(spark, {"users": [("id", "TEXT")], "logs": [("id", "INT")]})
+    dealt = S.schema_diff(old, new, idx(spark, [("users", "i", True)]), idx(spark, []), partitions=13)
+    assert dealt.rdd.getNumPartitions() == 13
+    assert listed(dealt) == listed(S.schema_diff(old, new, idx(spark, [("users", "i", True)]), idx(spark, [])))
+    assert dealt.count() == 5
+    assert S.diff_columns(old, new, partitions=13).rdd.getNumPartitions() == 13
+
+
 def test_indexes_of_unknown_tables_are_left_out(spark):
     stray = idx(spark, [("nowhere", "i", False)])
     assert S.schema_diff(cat(spark, USERS), cat(spark, USERS), None, stray).count() == 0
