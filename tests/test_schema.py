@@ -96,6 +96,14 @@ def test_fleet_in_one_go(spark):
     assert verdict == {"a": True, "b": False}
 
 
+def test_verify_counts_databases_in_one_grouping(spark):
+    same, other = cat(spark, USERS, "a"), {"users": [("id", "TEXT")], "logs": [("id", "INT")]}
+    got = same.unionByName(cat(spark, USERS, None)).unionByName(cat(spark, USERS, "only"))
+    verdict = S.verify_schema(got, same.unionByName(cat(spark, other, None)))
+    assert {tuple(r) for r in verdict.collect()} == {("a", 0, True), (None, 2, False), ("only", 1, False)}
+    assert "Join" not in verdict._jdf.queryExecution().executedPlan().toString()
+
+
 def test_catalog_of_frames(spark):
     df = spark.createDataFrame([(1, [1.0], "x")], "id bigint not null, v array<float>, t string")
     rows = catalog(spark, {"t": df}, "db", {"t": ["t", "id"]}, {"t": {"t": "'-'"}}).orderBy("ordinal").collect()
